@@ -155,8 +155,8 @@ MAILS = r"""mails as (select doc_id, source, lower(unnest(regexp_extract_all(tex
 def mails(spark, sf_dir) -> DataFrame:
     from orgweave.functions.html import EMAIL_PATTERN
     return table(spark, sf_dir, "documents").select(
-        "doc_id", "source", F.lower(F.explode(F.regexp_extract_all("text", F.lit(EMAIL_PATTERN), F.lit(0))))
-        .alias("email"))
+        "doc_id", "source", F.explode(F.transform(
+            F.regexp_extract_all("text", F.lit(EMAIL_PATTERN), F.lit(0)), F.lower)).alias("email"))
 
 
 PRODUCTS = """products as (select p_partkey as seq, lower(p_type) || '.com' as domain, p_name as name,

@@ -45,20 +45,22 @@ _COMBINE = {
 }
 
 
-def running(df: DataFrame, keys: Sequence[str], order: str, values: dict[str, tuple[str, Column]],
-            width: int = BUCKET_ROWS) -> DataFrame:
+def running(df: DataFrame, keys: Sequence[str], order: str | Sequence[str], values: dict[str, tuple[str, Column]],
+            width: int = BUCKET_ROWS, bucket: Column | None = None) -> DataFrame:
     """Add running aggregates along ``order`` within ``keys``.
 
-    ``order`` is a unique integer column. ``values`` maps an output name to
-    ``(kind, expression)`` with kind sum, max or min; the running value includes
-    the current row. Rows are windowed per (keys, bucket of ``order``); the
-    bucket totals, one row per bucket, carry the running value across buckets.
+    ``order`` is a unique integer column, or several columns together with a
+    ``bucket`` expression that grows with them. ``values`` maps an output name
+    to ``(kind, expression)`` with kind sum, max or min; the running value
+    includes the current row. Rows are windowed per (keys, bucket); the bucket
+    totals, one row per bucket, carry the running value across buckets.
     """
     keys = list(keys)
-    df = df.withColumn("_bucket", id_bucket(order, width))
+    order = [order] if isinstance(order, str) else list(order)
+    df = df.withColumn("_bucket", id_bucket(order[0], width) if bucket is None else bucket)
     for name, (_, expr) in values.items():
         df = df.withColumn(f"_v_{name}", expr)
-    local = (Window.partitionBy(*keys, "_bucket").orderBy(order)
+    local = (Window.partitionBy(*keys, "_bucket").orderBy(*order)
              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     totals = df.groupBy(*keys, "_bucket").agg(
         *[_COMBINE[kind][0](f"_v_{name}").alias(f"_t_{name}") for name, (kind, _) in values.items()])
@@ -71,7 +73,7 @@ def running(df: DataFrame, keys: Sequence[str], order: str, values: dict[str, tu
           for name, (kind, _) in values.items()])
     for name, (kind, _) in values.items():
         df = df.withColumn(f"_l_{name}", _COMBINE[kind][0](f"_v_{name}").over(local))
-    on = [F.col("_bucket") == F.col("_b")]
+    on = [F.col("_bucket").eqNullSafe(F.col("_b"))]
     on += [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
     joined = df.join(offsets, on, "inner")
     for name, (kind, _) in values.items():

@@ -25,10 +25,21 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return keep
 
 
+# tables whose queries spend their time on text, pages or vectors, not on reading
+HEAVY = {"documents", "pages", "embeddings", "conversations"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table; zone-less timestamps are read as UTC instants."""
+    """A given table; zone-less timestamps are read as UTC instants.
+
+    Text tables that arrive in fewer splits than there are cores (one small
+    file) are spread over the cores; larger ones keep their scan partitions.
+    """
     tune(spark)
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if name in HEAVY and df.rdd.getNumPartitions() * 2 <= cores:
+        df = df.repartition(cores)
     for column, kind in df.dtypes:
         if kind == "timestamp_ntz":
             df = df.withColumn(column, F.col(column).cast("timestamp"))

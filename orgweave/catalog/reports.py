@@ -116,8 +116,8 @@ def a10(spark, d):
     results = ev.select(F.col("user_id").alias("domain"), F.when(kind.isin("click", "view"), "approved").when(
         kind.isin("signup", "purchase"), "rejected").alias("status"), (kind == "click").alias("saved"))
     runs = ev.select((F.col("value") < 50).alias("success"), F.col("ts").alias("started_at"), F.col("ts").alias("completed_at"))
-    one = lambda df: df.withColumn("_one", F.lit(1))
-    return one(ops.discovery_summary(results)).join(one(ops.execution_summary(runs)), "_one").drop("_one")
+    totals = ops.execution_summary(runs)
+    return ops.discovery_summary(results).withColumns({c: totals.select(c).scalar() for c in totals.columns})
 
 
 @query("a11_vetting_split", """with v as (select event_id as seq, 'd' || user_id as domain, case when value > 40 then

@@ -38,18 +38,20 @@ def fresh_domains(spark, d):
         F.expr("substring(domain, 2)"), F.regexp_replace(domain, r"^([^.]+)", "best$1"))).alias("domain")).distinct()
 
 
-@query("f45_pattern_score", f"""with {NEW_SQL}, p as ({PARTS_SQL}, row_number() over (order by domain) as n from (
-  select domain from reg union select domain from fresh))
-select a.domain, b.domain as other, {SCORE_SQL} as score from p a join p b on b.n = a.n + 1""")
+@query("f45_pattern_score", f"""with {REG_SQL}, pr as (select domain as x, regexp_replace(domain, '\.[a-z]+$', '.co') as y
+  from reg union select domain, regexp_replace(domain, '^([^.]+)', '\1-shop') from reg union select domain, substr(domain, 2)
+  from reg union select domain, regexp_replace(domain, '^([^.]+)', 'best\1') from reg
+  union select domain, substr(domain, 3, 1) || substr(domain, 4) from reg),
+names as (select x as domain from pr union select y from pr), p as ({PARTS_SQL} from names)
+select x as domain, y as other, {SCORE_SQL} as score from pr join p a on a.domain = x join p b on b.domain = y""")
 def f45(spark, d):
     from orgweave.operators.similarity import name_parts
-    domains = registered(spark, d).select("domain").unionByName(fresh_domains(spark, d)).distinct()
-    ids = domains.select("domain", F.lit(1).alias("one"))
-    from pyspark.sql.window import Window
-    # neighbours in alphabetical order; a test input of a few hundred host names
-    pairs = ids.withColumn("other", F.lead("domain").over(Window.partitionBy("one").orderBy("domain"))).where(
-        "other is not null").select("domain", "other")
-    parts = name_parts(domains)
+    domain = F.col("domain")
+    pairs = registered(spark, d).select("domain", F.explode(F.array(
+        F.regexp_replace(domain, r"\.[a-z]+$", ".co"), F.regexp_replace(domain, r"^([^.]+)", "$1-shop"),
+        F.expr("substring(domain, 2)"), F.regexp_replace(domain, r"^([^.]+)", "best$1"),
+        F.expr("substring(domain, 3)"))).alias("other")).distinct()
+    parts = name_parts(pairs.select("domain").union(pairs.select("other")))
     b = parts.select(*[F.col(c).alias(f"o_{c}") for c in parts.columns])
     j = pairs.join(parts, "domain").join(b, F.col("other") == F.col("o_domain"))
     return j.select("domain", "other", scores.pattern_score(

@@ -17,6 +17,11 @@ ECOMMERCE_TERMS = ["product", "cart", "checkout", "shop", "store", "buy", "price
 BLANKS = r"[ \t\r\n\x0B\f]+"
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value evaluated once per row."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def sha256_text(text: Column) -> Column:
     return F.sha2(text, 256)
 
@@ -69,9 +74,13 @@ def edit_similarity(a: Column, b: Column) -> Column:
 
 def jaccard_words(a: Column, b: Column) -> Column:
     """Share of common words in the union of both word sets."""
-    x, y = F.array_distinct(words(a)), F.array_distinct(words(b))
-    score = F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y))
-    return F.when(a.isNull() | b.isNull() | (F.size(x) <= 0) | (F.size(y) <= 0), F.lit(0.0)).otherwise(score)
+    def score(s: Column) -> Column:
+        common = F.size(F.array_intersect(s["x"], s["y"]))
+        return F.when((F.size(s["x"]) == 0) | (F.size(s["y"]) == 0), F.lit(0.0)).otherwise(
+            let(common, lambda n: n / (F.size(s["x"]) + F.size(s["y"]) - n)))
+
+    sets = F.struct(F.array_distinct(words(a)).alias("x"), F.array_distinct(words(b)).alias("y"))
+    return F.when(a.isNull() | b.isNull(), F.lit(0.0)).otherwise(let(sets, score))
 
 
 def parse_price(text: Column, locale_aware: bool = False) -> Column:
@@ -122,7 +131,10 @@ def fenced_json_list(text: Column) -> Column:
 def list_lines(text: Column) -> Column:
     """Up to five list entries: numbered lines, else bullets, else short lines."""
     lines = F.transform(F.split(text, "\n"), lambda s: F.trim(s, F.lit(" \t\r\x0B\f")))
+    return let(lines, _list_entries)
+
 
+def _list_entries(lines: Column) -> Column:
     def entries(pattern: str) -> Column:
         hit = F.filter(lines, lambda s: s.rlike(pattern))
         body = F.transform(hit, lambda s: F.regexp_extract(s, pattern, 1))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from orgweave.functions.scores import pattern_score
 from orgweave.functions.urls import brand_name, site_stem
 from orgweave.partitioning import first_n_per_key
+from orgweave.session import cut_lineage
 
 
 def name_parts(df: DataFrame, domain: str = "domain", expand_gk: bool = True) -> DataFrame:
@@ -69,7 +70,9 @@ def fuzzy_domain_join(new: DataFrame, existing: DataFrame, threshold: float = 0.
     Domains should be registrable domains: a brand then occurs at most once per
     public suffix, which bounds how many domains share it.
     """
-    a, b = name_parts(new, expand_gk=expand_gk), name_parts(existing, expand_gk=expand_gk)
+    # the name parts are used three times: keep them, not the tables they come from
+    a = cut_lineage(name_parts(new, expand_gk=expand_gk))
+    b = cut_lineage(name_parts(existing, expand_gk=expand_gk))
     old = b.select(*[F.col(c).alias(f"c_{c}") for c in b.columns])
     brands = brand_pairs(a.select("brand").distinct(), b.select("brand").distinct(), threshold)
     by_brand = (a.join(brands, a["brand"] == brands["a"]).drop("a")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from orgweave.functions.scores import homepage_score
 from orgweave.operators.similarity import best_duplicate, fuzzy_domain_join
+from orgweave.session import cut_lineage
 
 
 def duplicate_check(new: DataFrame, crawled: DataFrame, pattern_threshold: float = 0.20,
@@ -18,7 +19,7 @@ def duplicate_check(new: DataFrame, crawled: DataFrame, pattern_threshold: float
     no candidates for the page comparison. Cheap name scores come first, pages
     are compared only for the pairs that pass.
     """
-    pairs = fuzzy_domain_join(new, crawled, pattern_threshold)
+    pairs = cut_lineage(fuzzy_domain_join(new, crawled, pattern_threshold))
     old = crawled.where(F.col("features").isNotNull()).select(
         F.col("domain").alias("candidate"), "seq", F.col("features").alias("_old"))
     compared = (pairs.join(new.where(F.col("features").isNotNull()), "domain").join(old, "candidate")

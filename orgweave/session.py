@@ -30,6 +30,7 @@ def local_session(cores: str = "8", app: str = "orgweave", memory: str = "12g")
         .appName(app)
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.driver.memory", memory)
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from orgweave.operators.jobs import TERMINAL
+from orgweave.operators.jobs import TERMINAL, job_state
 from orgweave.operators.writes import upsert_latest
 from orgweave.partitioning import running
 
@@ -123,41 +123,43 @@ def suppressed_sends_stream(planned: DataFrame, history: DataFrame, days: int =
     return p.join(h, on, "inner").drop("h_domain")
 
 
-STATE = "status string, progress int, progress_at timestamp, started_at timestamp, completed_at timestamp, last_at timestamp, last_seq long"
-OUTPUT = "id long, status string, progress int, started_at timestamp, completed_at timestamp, updated_at timestamp"
-
-
-def _fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Fold one job's new events into its state; late events still count by their own time."""
-    none = (None, None, None, None, None, None, None)
-    status, progress, progress_at, started, completed, last_at, last_seq = state.get if state.exists else none
-    clean = lambda v: None if v is None or pd.isna(v) else v
-    for pdf in batches:
-        for e in pdf.sort_values(["ts", "seq"]).itertuples(index=False):
-            ended = e.status in TERMINAL
-            if ended and (clean(completed) is None or e.ts < completed):
-                status, completed = e.status, e.ts
-            newer = clean(last_at) is None or (e.ts, e.seq) > (last_at, last_seq)
-            if newer:
-                last_at, last_seq = e.ts, int(e.seq)
-                if clean(completed) is None:
-                    status = e.status
-            if e.status == "running" and (clean(started) is None or e.ts < started):
-                started = e.ts
-            if clean(e.progress) is not None and (clean(progress_at) is None or e.ts >= progress_at):
-                progress, progress_at = int(e.progress), e.ts
-    state.update((status, progress, progress_at, started, completed, last_at, last_seq))
-    shown = 100 if status == "completed" else (progress or 0)
-    yield pd.DataFrame({"id": [key[0]], "status": [status], "progress": [shown],
-                        "started_at": [pd.Timestamp(started) if clean(started) is not None else pd.NaT],
-                        "completed_at": [pd.Timestamp(completed) if clean(completed) is not None else pd.NaT],
-                        "updated_at": [pd.Timestamp(last_at)]})
-
-
 def job_state_stream(events: DataFrame) -> DataFrame:
-    """Stream form of the job fold: the changed jobs of each micro-batch (update mode)."""
-    return events.select("id", "ts", "seq", "status", "progress").groupBy("id").applyInPandasWithState(
-        _fold, OUTPUT, STATE, "update", GroupStateTimeout.NoTimeout)
+    """Stream form of the job fold (update mode): the changed jobs of each micro-batch.
+
+    The fold is made of mergeable aggregates, so state stays in the JVM and late
+    events count by their own time.
+    """
+    return job_state(events)
+
+
+STALE_STATE = "started_at timestamp, ended boolean, reported boolean"
+STALE_OUTPUT = "id long, started_at timestamp, stale_at timestamp"
+
+
+def stale_jobs_stream(events: DataFrame, hours: int = 24, watermark: str = WATERMARK) -> DataFrame:
+    """Jobs (id, ts, status) that are still running ``hours`` after their start, once the watermark says so."""
+    limit_ms = hours * 3_600_000
+
+    def watch(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        started, ended, reported = state.get if state.exists else (None, False, False)
+        if state.hasTimedOut:
+            state.update((started, ended, True))
+            since = pd.Timestamp(started)
+            yield pd.DataFrame({"id": [key[0]], "started_at": [since], "stale_at": [since + pd.Timedelta(hours=hours)]})
+            return
+        for pdf in batches:
+            running_at = pdf.loc[pdf["status"] == "running", "ts"]
+            if len(running_at) and (started is None or running_at.min() < pd.Timestamp(started)):
+                started = running_at.min()
+            ended = bool(ended or pdf["status"].isin(TERMINAL).any())
+        started = None if started is None or pd.isna(started) else pd.Timestamp(started)
+        state.update((started, ended, reported))
+        if started is not None and not ended and not reported:
+            due = int(started.timestamp() * 1000) + limit_ms
+            state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
+
+    keyed = events.select("id", "ts", "status").withWatermark("ts", watermark).groupBy("id")
+    return keyed.applyInPandasWithState(watch, STALE_OUTPUT, STALE_STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def drain(stream: DataFrame, sink: str, checkpoint: str, mode: str = "append",

@@ -170,22 +170,18 @@ def j15(spark, d):
                                                           "domain_count")
 
 
-@query("j17_backlink_verify", f"""with {st.RICH} select page_id, site, true as own,
-  length(string_split(site, '.')[1]) >= 5 as other_tld, false as stranger from rich""")
+@query("j17_backlink_verify", f"""with {st.RICH}, c as (select page_id, site, string_split(site, '.')[1] as stem from rich)
+select page_id, 'own' as kind, true as verified from c
+union all select page_id, 'moved', length(stem) >= 5 from c union all select page_id, 'stranger', false from c""")
 def j17(spark, d):
-    from orgweave.functions import html as H
-    page = F.col("html")
-    df = st.rich_pages(spark, d).withColumn("links", H.page_links(page)).withColumn("json", H.jsonld_urls(page))
-    check = lambda domain: ops.backlink_verified(F.col("links"), F.col("json"), page, domain)
-    # a site without a page of its own: same stem, other suffix (the page's stem never occurs with .net.zz)
-    moved = F.concat(F.get(F.split("site", r"\."), F.lit(0)), F.lit(".zz"))
-    stem_link = F.concat(F.lit('<a href="https://l.instagram.com/?u=https%3A%2F%2F'), F.get(F.split("site", r"\."), F.lit(0)),
-                         F.lit('.io%2Fx">x</a>'))
-    short = df.select("page_id", "site", check(F.col("site")).alias("own"), check(F.lit("unseen-name-7.dev")).alias("stranger"))
-    other = st.rich_pages(spark, d).select("page_id", moved.alias("moved"), stem_link.alias("page")).withColumn(
-        "other_tld", ops.backlink_verified(H.page_links(F.col("page")), F.array().cast("array<string>"), F.col("page"),
-                                           F.col("moved"))).select("page_id", "other_tld")
-    return short.join(other, "page_id")
+    rich = st.rich_pages(spark, d)
+    stem = F.get(F.split("site", r"\."), F.lit(0))
+    own = rich.select("page_id", F.lit("own").alias("kind"), F.col("site").alias("domain"), "html")
+    # the page only knows the stem under another suffix, behind a redirect
+    moved = rich.select("page_id", F.lit("moved").alias("kind"), F.concat(stem, F.lit(".zz")).alias("domain"), F.concat(
+        F.lit('<a href="https://l.instagram.com/?u=https%3A%2F%2F'), stem, F.lit('.io%2Fx">x</a>')).alias("html"))
+    stranger = rich.select("page_id", F.lit("stranger").alias("kind"), F.lit("unseen-name-7.dev").alias("domain"), "html")
+    return ops.verify_backlinks(own.unionByName(moved).unionByName(stranger)).select("page_id", "kind", "verified")
 
 
 @query("j18_team_fanout", """select e.event_id, m.user_id as recipient from (select event_id, event_type from events

@@ -38,7 +38,7 @@ def fresh_domains(spark, d):
         F.expr("substring(domain, 2)"), F.regexp_replace(domain, r"^([^.]+)", "best$1"))).alias("domain")).distinct()
 
 
-@query("f45_pattern_score", f"""with {REG_SQL}, pr as (select domain as x, regexp_replace(domain, '\.[a-z]+$', '.co') as y
+@query("f45_pattern_score", rf"""with {REG_SQL}, pr as (select domain as x, regexp_replace(domain, '\.[a-z]+$', '.co') as y
   from reg union select domain, regexp_replace(domain, '^([^.]+)', '\1-shop') from reg union select domain, substr(domain, 2)
   from reg union select domain, regexp_replace(domain, '^([^.]+)', 'best\1') from reg
   union select domain, substr(domain, 3, 1) || substr(domain, 4) from reg),
@@ -87,7 +87,8 @@ ff as (select domain, page_id as seq, {TITLE_SQL} as title,
   regexp_extract(html, 'facebook\\.com/([a-zA-Z0-9_.]+)', 1) as fb,
   regexp_extract(html, 'twitter\\.com/([a-zA-Z0-9_]+)', 1) as tw from one),
 fe as (select domain, seq, title, descr, emails, fb, tw, case when og <> '' then og when contains(title, ' - ') then
-  trim(string_split(title, ' - ')[1]) else title end as name from ff)"""
+  trim(string_split(title, ' - ')[1]) when contains(title, ' | ') then trim(string_split(title, ' | ')[1])
+  else title end as name from ff)"""
 
 
 def sim_sql(x: str, y: str) -> str:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orgweave.functions.contacts import first_email
+from orgweave.functions.html import jsonld_urls, page_links
 from orgweave.functions.urls import domain_name_key, domain_patterns, fallback_patterns
 from orgweave.partitioning import first_n_per_key, nest_pages, running
 
@@ -156,6 +157,13 @@ def backlink_verified(links: Column, structured: Column, page: Column, domain: C
     return _mentions(domain_patterns(domain), texts) | _mentions(fallback_patterns(domain), texts)
 
 
+def verify_backlinks(profiles: DataFrame, name: str = "verified") -> DataFrame:
+    """Add ``verified`` to landed profile pages (domain, html)."""
+    parsed = profiles.withColumn("_links", page_links(F.col("html"))).withColumn("_data", jsonld_urls(F.col("html")))
+    return parsed.withColumn(name, backlink_verified(F.col("_links"), F.col("_data"), F.col("html"), F.col("domain"))
+                             ).drop("_links", "_data")
+
+
 def team_fanout(messages: DataFrame, members: DataFrame) -> DataFrame:
     """One copy of each team message per member; works on streams with a static member table."""
     return messages.join(members.select("team_id", F.col("user_id").alias("recipient")), "team_id", "inner")

@@ -109,7 +109,7 @@ def ttl_lookup(requests: DataFrame, cache: DataFrame, key: str, at: str, cached_
     """Latest cached row at or before each request; null when there is none or it is older than the TTL.
 
     Both sides are laid on one time line per key and the newest cached row is
-    carried forward, hour bucket by hour bucket, so a busy key is spread.
+    carried forward second by second, so a busy key or hour is spread.
     """
     hit = F.struct(F.col(cached_at).alias("cached_at"), *[F.col(c).alias(c) for c in payload])
     entries = cache.select(key, F.col(cached_at).alias("_at"), F.lit(0).alias("_side"), hit.alias("_hit"),
@@ -117,7 +117,7 @@ def ttl_lookup(requests: DataFrame, cache: DataFrame, key: str, at: str, cached_
     asks = requests.select(key, F.col(at).alias("_at"), F.lit(1).alias("_side"),
                            F.lit(None).cast(entries.schema["_hit"].dataType).alias("_hit"), request_id)
     line = running(entries.unionByName(asks), [key], ["_at", "_side"], {"_best": ("max", F.col("_hit"))},
-                   bucket=F.floor(F.unix_timestamp("_at") / 3600))
+                   bucket=F.unix_timestamp("_at"))
     fresh = F.unix_micros("_best.cached_at") >= F.unix_micros("_at") - F.lit(ttl_hours * 3600 * 1_000_000)
     return line.where("_side = 1").select(
         request_id, key, F.col("_at").alias(at),

@@ -51,17 +51,19 @@ def topk_cosine(df: DataFrame, queries: Sequence[Sequence[float]], k: int, vecto
                 key: str = "vec_id", min_similarity: float | None = None) -> DataFrame:
     """Exact top ``k`` rows by cosine similarity for each query vector.
 
-    The query vectors travel with the tasks (at most 4096 of them). Each Arrow
-    batch is scored with one matrix product and keeps its own best ``k`` per
-    query, so the shuffle carries at most ``k`` rows per query and batch. Ties
-    go to the smaller ``key``. Returns ``query``, ``similarity`` and the
-    columns of ``df`` except the vector.
+    The query vectors travel with the tasks (at most 4096 of them). Only key
+    and vector go through Python: each Arrow batch is scored with one matrix
+    product and keeps its own best ``k`` per query, so the shuffle carries at
+    most ``k`` rows per query and batch. The winners are then joined back to
+    their rows, whose other columns stay in the JVM. Ties go to the smaller
+    ``key``, which is unique. Returns ``query``, ``similarity`` and the columns
+    of ``df`` except the vector.
     """
     if len(queries) > MAX_QUERY_VECTORS:
         raise ValueError(f"at most {MAX_QUERY_VECTORS} query vectors per call")
     units = _unit_rows(np.asarray(queries, dtype="float64"))
-    kept = [f for f in df.schema.fields if f.name != vector]
-    schema = T.StructType([T.StructField("query", T.IntegerType()), T.StructField("similarity", T.DoubleType()), *kept])
+    schema = T.StructType([T.StructField("query", T.IntegerType()), T.StructField("similarity", T.DoubleType()),
+                           df.schema[key]])
 
     def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -70,7 +72,6 @@ def topk_cosine(df: DataFrame, queries: Sequence[Sequence[float]], k: int, vecto
             rows = _unit_rows(np.stack(batch[vector].to_numpy()).astype("float64"))
             sims = rows @ units.T
             keys = batch[key].to_numpy()
-            rest = batch.drop(columns=[vector])
             for q in range(units.shape[0]):
                 scores = sims[:, q]
                 candidates = np.arange(len(scores))
@@ -79,11 +80,13 @@ def topk_cosine(df: DataFrame, queries: Sequence[Sequence[float]], k: int, vecto
                 # rounding before the cut keeps ties stable across batch layouts
                 order = np.lexsort((keys[candidates], -np.round(scores[candidates], 12)))[:k]
                 pick = candidates[order]
-                out = rest.iloc[pick].copy()
-                out.insert(0, "similarity", scores[pick])
-                out.insert(0, "query", np.full(len(pick), q, dtype="int32"))
-                yield out
+                yield pd.DataFrame({"query": np.full(len(pick), q, dtype="int32"), "similarity": scores[pick],
+                                    key: keys[pick]})
 
-    local = df.mapInPandas(best, schema)
+    local = df.select(key, vector).mapInPandas(best, schema)
     w = Window.partitionBy("query").orderBy(F.round("similarity", 12).desc(), F.col(key))
-    return local.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= k).drop("_rn")
+    top = local.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= k).drop("_rn")
+    rest = [c for c in df.columns if c not in (key, vector)]
+    if not rest:
+        return top
+    return top.join(df.select(key, *rest), key).select("query", "similarity", *[c for c in df.columns if c != vector])

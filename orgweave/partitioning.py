@@ -49,39 +49,50 @@ def running(df: DataFrame, keys: Sequence[str], order: str | Sequence[str], valu
             width: int = BUCKET_ROWS, bucket: Column | None = None) -> DataFrame:
     """Add running aggregates along ``order`` within ``keys``.
 
-    ``order`` is a unique integer column, or several columns together with a
-    ``bucket`` expression that grows with them. ``values`` maps an output name
-    to ``(kind, expression)`` with kind sum, max or min; the running value
-    includes the current row. Rows are windowed per (keys, bucket); the bucket
-    totals, one row per bucket, carry the running value across buckets.
+    ``order`` is a unique integer column, or several columns together with an
+    integer ``bucket`` expression that grows with them. ``values`` maps an
+    output name to ``(kind, expression)`` with kind sum, max or min; the running
+    value includes the current row. Rows are windowed per (keys, bucket); the
+    bucket totals, one row per bucket, carry the running value across buckets.
+    Custom buckets may be many, so their totals are carried the same way,
+    ``width`` buckets at a time.
     """
-    keys = list(keys)
     order = [order] if isinstance(order, str) else list(order)
-    df = df.withColumn("_bucket", id_bucket(order[0], width) if bucket is None else bucket)
-    for name, (_, expr) in values.items():
-        df = df.withColumn(f"_v_{name}", expr)
-    local = (Window.partitionBy(*keys, "_bucket").orderBy(*order)
-             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    totals = df.groupBy(*keys, "_bucket").agg(
-        *[_COMBINE[kind][0](f"_v_{name}").alias(f"_t_{name}") for name, (kind, _) in values.items()])
-    before = (Window.partitionBy(*keys).orderBy("_bucket")
-              .rowsBetween(Window.unboundedPreceding, -1))
-    offsets = totals.select(
-        *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
-        F.col("_bucket").alias("_b"),
-        *[_COMBINE[kind][0](f"_t_{name}").over(before).alias(f"_o_{name}")
-          for name, (kind, _) in values.items()])
-    for name, (kind, _) in values.items():
-        df = df.withColumn(f"_l_{name}", _COMBINE[kind][0](f"_v_{name}").over(local))
-    on = [F.col("_bucket").eqNullSafe(F.col("_b"))]
-    on += [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+    own = id_bucket(order[0], width) if bucket is None else bucket.cast("long")
+    depth = 1 if bucket is None else 2
+    return _running(df, list(keys), order, values, own, depth, width, Window.currentRow)
+
+
+def _running(df: DataFrame, keys: list[str], order: list[str], values: dict[str, tuple[str, Column]], bucket: Column,
+             depth: int, width: int, last: int) -> DataFrame:
+    # helper columns carry the depth in their names: the totals go through here once more
+    here, there = f"_bucket{depth}", f"_b{depth}"
+    key_names = [f"_k{depth}_{i}" for i in range(len(keys))]
+    own = {n: f"_v{depth}_{n}" for n in values}
+    local_names = {n: f"_l{depth}_{n}" for n in values}
+    before_names = {n: f"_o{depth}_{n}" for n in values}
+    df = df.withColumn(here, bucket)
+    for n, (_, expr) in values.items():
+        df = df.withColumn(own[n], expr)
+    totals = df.groupBy(*[F.col(k).alias(a) for k, a in zip(keys, key_names)], F.col(here).alias(there)).agg(
+        *[_COMBINE[kind][0](own[n]).alias(f"_t{depth}_{n}") for n, (kind, _) in values.items()])
+    carried = {before_names[n]: (kind, F.col(f"_t{depth}_{n}")) for n, (kind, _) in values.items()}
+    if depth > 1:
+        offsets = _running(totals, key_names, [there], carried, id_bucket(there, width), depth - 1, width, -1).select(
+            *key_names, there, *carried)
+    else:
+        before = Window.partitionBy(*key_names).orderBy(there).rowsBetween(Window.unboundedPreceding, -1)
+        offsets = totals.select(*key_names, there, *[_COMBINE[kind][0](expr).over(before).alias(name)
+                                                     for name, (kind, expr) in carried.items()])
+    window = Window.partitionBy(*keys, here).orderBy(*order).rowsBetween(Window.unboundedPreceding, last)
+    for n, (kind, _) in values.items():
+        df = df.withColumn(local_names[n], _COMBINE[kind][0](own[n]).over(window))
+    on = [F.col(here).eqNullSafe(F.col(there))]
+    on += [F.col(k).eqNullSafe(F.col(a)) for k, a in zip(keys, key_names)]
     joined = df.join(offsets, on, "inner")
-    for name, (kind, _) in values.items():
-        joined = joined.withColumn(name, _COMBINE[kind][1](F.col(f"_o_{name}"), F.col(f"_l_{name}")))
-    helpers = ["_bucket", "_b", *[f"_k{i}" for i in range(len(keys))]]
-    for name in values:
-        helpers += [f"_v_{name}", f"_l_{name}", f"_o_{name}"]
-    return joined.drop(*helpers)
+    for n, (kind, _) in values.items():
+        joined = joined.withColumn(n, _COMBINE[kind][1](F.col(before_names[n]), F.col(local_names[n])))
+    return joined.drop(here, there, *key_names, *own.values(), *local_names.values(), *before_names.values())
 
 
 def position(df: DataFrame, keys: Sequence[str], order: str, name: str = "position",

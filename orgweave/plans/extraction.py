@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from orgweave.operators.filters import priority_rank
 from orgweave.operators.folds import char_budget_prefix, chunk_texts, greedy_pack, page_block
 from orgweave.operators.profiles import merge_profiles
+from orgweave.session import cut_lineage
 
 PROFILE = ("company string, description string, notes array<string>, main_contacts struct<email:array<string>,"
            "phone:array<string>,address:array<string>,contact_page:string>, social_media map<string,string>")
@@ -49,5 +50,6 @@ def extract_profiles(pages: DataFrame, first: Column, extract: Extractor = patte
             found = pd.DataFrame([extract(c) for c in pdf["chunk"]])
             yield pd.concat([pdf[["domain", "chunk_no"]].reset_index(drop=True), found], axis=1)
 
-    profiles = chunks.mapInPandas(run, f"domain string, chunk_no long, {PROFILE}")
+    # the extractor is costly and its result feeds three outputs: run it once
+    profiles = cut_lineage(chunks.mapInPandas(run, f"domain string, chunk_no long, {PROFILE}"))
     return {"chunks": chunks, **merge_profiles(profiles.withColumnRenamed("chunk_no", "seq"))}

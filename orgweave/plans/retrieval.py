@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from orgweave.operators.joins import not_embedded_by_hash
 from orgweave.operators.ordering import topk_cosine
 from orgweave.operators.writes import upsert_latest
+from orgweave.session import cut_lineage
 
 BATCH_SIZE = 100
 
@@ -88,13 +89,14 @@ def embed_domain(chunk_tables: Sequence[DataFrame], stored: DataFrame, embed: Em
     new / skipped counts per domain and collection.
     """
     shared = ["chunk_id", "domain", "collection_name", "content", "content_hash", "tokens"]
-    chunks = reduce(lambda a, b: a.unionByName(b), [t.select(*shared) for t in chunk_tables])
+    # chunking and embedding are costly and both feed the table and the counts: run each once
+    chunks = cut_lineage(reduce(lambda a, b: a.unionByName(b), [t.select(*shared) for t in chunk_tables]))
     todo = not_embedded_by_hash(chunks, stored, force)
-    embedded = embed_batches(todo, embed)
+    embedded = cut_lineage(embed_batches(todo, embed))
     table = upsert_latest(stored.select(*shared, "embedding").withColumn("_at", F.lit(0)),
                           embedded.withColumn("_at", F.lit(1)), ["chunk_id"], "_at").drop("_at")
     keys = ["domain", "collection_name"]
-    new = todo.groupBy(*keys).agg(F.count("*").alias("new_embeddings"))
+    new = embedded.groupBy(*keys).agg(F.count("*").alias("new_embeddings"))
     stats = chunks.groupBy(*keys).agg(F.count("*").alias("_n")).join(new, keys, "left").select(
         *keys, F.coalesce("new_embeddings", F.lit(0)).alias("new_embeddings"),
         (F.col("_n") - F.coalesce("new_embeddings", F.lit(0))).alias("skipped_embeddings"))

@@ -95,7 +95,7 @@ def recent_contact_guard(sends: DataFrame, history: DataFrame, days: int = 30) -
     """Planned sends with ``suppressed`` true when their domain got one in the ``days`` before (batch form).
 
     Both tables are laid on one time line per domain and the last send is
-    carried forward bucket by bucket, so no pairs are built.
+    carried forward second by second, so no pairs are built and a busy domain is spread.
     """
     asks = sends.select("domain", F.col("sent_at").alias("_at"), F.lit(0).alias("_side"),
                         F.lit(None).cast("timestamp").alias("_sent"), "message_id")
@@ -103,7 +103,7 @@ def recent_contact_guard(sends: DataFrame, history: DataFrame, days: int = 30) -
                           F.col("sent_at").alias("_sent"), F.lit(None).cast(asks.schema["message_id"].dataType)
                           .alias("message_id"))
     line = running(asks.unionByName(past), ["domain"], ["_at", "_side"], {"_prev": ("max", F.col("_sent"))},
-                   bucket=F.floor(F.unix_timestamp("_at") / 3600))
+                   bucket=F.unix_timestamp("_at"))
     cutoff = F.col("_at") - F.make_dt_interval(F.lit(days))
     return line.where("_side = 0").select("message_id", "domain", F.col("_at").alias("sent_at"), F.coalesce(
         F.col("_prev") >= cutoff, F.lit(False)).alias("suppressed"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from orgweave.functions.text import squeeze
 from orgweave.functions.urls import domain_name_key
 from orgweave.partitioning import BUCKET_ROWS, first_n_per_key, id_bucket, position, running
+from orgweave.session import cut_lineage
 
 
 def first_per_brand(results: DataFrame, order: str = "seq") -> DataFrame:
@@ -145,18 +146,20 @@ def greedy_pack(pages: DataFrame, length: Column, order: str, limit: int = 25_00
     chunks open after it and how full the last one is. Walking the summaries of
     a domain gives each bucket's incoming state; a second pass numbers its pages.
     """
-    if rank is not None:
-        # numbering along a composite order keeps the buckets bounded
-        ranked = pages.withColumn("_rank", rank)
-        flag = F.col("_rank.later")
-        early = ranked.groupBy(key).agg(F.count_if(~flag).alias("_early"))
-        numbered = position(ranked.withColumn("_group", flag), [key, "_group"], order, "_pos").join(early, key)
-        numbered = numbered.withColumn("_pos", F.col("_pos") + F.when(F.col("_group"), F.col("_early")).otherwise(0))
-        pages = numbered.drop("_rank", "_group", "_early")
+    narrow = pages.select(key, order, length.cast("long").alias("_len"), *([rank.alias("_rank")] if rank is not None else []))
+    if rank is None:
+        numbered = position(narrow, [key], order, "_pos")
     else:
-        pages = position(pages, [key], order, "_pos")
-    sized = pages.select(key, "_pos", length.cast("long").alias("_len")).withColumn("_b", id_bucket("_pos", width))
-    kind = dict(sized.dtypes)[key]
+        # pages of the second group are numbered after all of the first
+        grouped = narrow.withColumn("_later", F.col("_rank.later"))
+        early = grouped.groupBy(F.col(key).alias("_early_key")).agg(F.count_if(~F.col("_later")).alias("_early"))
+        numbered = position(grouped, [key, "_later"], order, "_pos").join(
+            early, F.col(key).eqNullSafe(F.col("_early_key"))).withColumn(
+            "_pos", F.col("_pos") + F.when(F.col("_later"), F.col("_early")).otherwise(0))
+    # lengths and positions are used three times: keep them, not the texts they come from
+    sized = cut_lineage(numbered.select(key, order, "_pos", "_len", id_bucket(F.col("_pos") - 1, width).alias("_b")))
+    kinds = dict(sized.dtypes)
+    kind = kinds[key]
 
     def summarise(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_pos")
@@ -178,7 +181,9 @@ def greedy_pack(pages: DataFrame, length: Column, order: str, limit: int = 25_00
                              "ends": [ends[:head].tolist()], "count": [count[:head].tolist()],
                              "fill": [fill[:head].tolist()]})
 
-    summary = sized.groupBy(key, "_b").applyInPandas(
+    # only domains of more than one bucket need summaries; all others start empty
+    large = sized.where("_b > 0").select(F.col(key).alias("_large")).distinct()
+    summary = sized.join(large, F.col(key).eqNullSafe(F.col("_large")), "left_semi").groupBy(key, "_b").applyInPandas(
         summarise, f"{key} {kind}, _b long, total long, ends array<long>, count array<long>, fill array<long>")
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -199,17 +204,37 @@ def greedy_pack(pages: DataFrame, length: Column, order: str, limit: int = 25_00
     entry = summary.groupBy(key).applyInPandas(
         walk, f"{key} {kind}, _b long, _carried long, _chunk long, _opened boolean")
 
-    def number(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        pdf = left.sort_values("_pos")
-        state = right.iloc[0]
-        opens = np.zeros(len(pdf), dtype="int64")
-        opens[_starts(pdf["_len"].to_numpy(), limit, int(state["_carried"]), bool(state["_opened"]))] = 1
-        return pd.DataFrame({key: pdf[key].to_numpy(), "_pos": pdf["_pos"].to_numpy(),
-                             "chunk_no": int(state["_chunk"]) + np.cumsum(opens)})
-
-    numbered = (sized.groupBy(key, "_b").cogroup(entry.groupBy(key, "_b"))
-                .applyInPandas(number, f"{key} {kind}, _pos long, chunk_no long"))
-    return pages.join(numbered, [key, "_pos"]).withColumnRenamed("_pos", "page_no")
+    def number(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # rows come sorted; a group may go on in the next batch, so the state outlives it
+        current, carried, chunk, opened = None, 0, 0, False
+        for pdf in batches:
+            codes = pd.factorize(pdf[key])[0]
+            buckets, lens = pdf["_b"].to_numpy(), pdf["_len"].to_numpy()
+            cuts = np.flatnonzero((np.diff(codes) != 0) | (np.diff(buckets) != 0)) + 1
+            numbers = np.empty(len(pdf), dtype="int64")
+            for i, j in zip([0, *cuts], [*cuts, len(pdf)]):
+                group = (None if codes[i] < 0 else pdf[key].iat[i], buckets[i])
+                if current is None or group != current:
+                    carried, chunk, opened = (int(pdf["_carried"].iat[i]), int(pdf["_chunk"].iat[i]),
+                                              bool(pdf["_opened"].iat[i]))
+                    current = group
+                part = lens[i:j]
+                starts = _starts(part, limit, carried, opened)
+                opens = np.zeros(j - i, dtype="int64")
+                opens[starts] = 1
+                numbers[i:j] = chunk + np.cumsum(opens)
+                carried = int(part[starts[-1]:].sum()) if len(starts) else carried + int(part.sum())
+                chunk, opened = int(numbers[j - 1]), True
+            yield pd.DataFrame({key: pdf[key], order: pdf[order], "_pos": pdf["_pos"], "chunk_no": numbers})
+
+    state = entry.select(F.col(key).alias("_ek"), F.col("_b").alias("_eb"), "_carried", "_chunk", "_opened")
+    ready = (sized.join(state, F.col(key).eqNullSafe(F.col("_ek")) & (F.col("_b") == F.col("_eb")), "left")
+             .select(key, order, "_b", "_pos", "_len", F.coalesce("_carried", F.lit(0)).alias("_carried"),
+                     F.coalesce("_chunk", F.lit(0)).alias("_chunk"), F.coalesce("_opened", F.lit(False)).alias("_opened"))
+             .repartition(key, "_b").sortWithinPartitions(key, "_b", "_pos"))
+    packed = ready.mapInPandas(number, f"{key} {kind}, {order} {kinds[order]}, _pos long, chunk_no long").select(
+        F.col(key).alias("_nk"), F.col(order).alias("_no"), F.col("_pos").alias("page_no"), "chunk_no")
+    return pages.join(packed, F.col(key).eqNullSafe(F.col("_nk")) & (F.col(order) == F.col("_no"))).drop("_nk", "_no")
 
 
 def chunk_texts(packed: DataFrame, block: Column, key: str = "domain") -> DataFrame:

@@ -35,7 +35,7 @@ def first_n_per_key(df: DataFrame, keys: Sequence[str | Column], order: Sequence
 def id_bucket(col: str | Column, width: int = BUCKET_ROWS) -> Column:
     """Bucket of a unique integer order column: at most ``width`` rows each."""
     col = F.col(col) if isinstance(col, str) else col
-    return F.floor(col / F.lit(width)).cast("long")
+    return F.call_function("div", col.cast("long"), F.lit(width).cast("long"))
 
 
 _COMBINE = {
@@ -67,32 +67,43 @@ def _running(df: DataFrame, keys: list[str], order: list[str], values: dict[str,
              depth: int, width: int, last: int) -> DataFrame:
     # helper columns carry the depth in their names: the totals go through here once more
     here, there = f"_bucket{depth}", f"_b{depth}"
-    key_names = [f"_k{depth}_{i}" for i in range(len(keys))]
     own = {n: f"_v{depth}_{n}" for n in values}
     local_names = {n: f"_l{depth}_{n}" for n in values}
     before_names = {n: f"_o{depth}_{n}" for n in values}
     df = df.withColumn(here, bucket)
+    # null keys are grouped through a flag, so that the join below is a plain equality on the columns the window
+    # is partitioned by and the rows are shuffled and sorted once
+    nullable = [k for k in keys if df.schema[k].nullable]
+    flags = {k: f"_n{depth}_{i}" for i, k in enumerate(nullable)}
+    filled = {k: f"_f{depth}_{i}" for i, k in enumerate(nullable)}
+    kinds = dict(df.dtypes)
+    for k in nullable:
+        df = df.withColumn(flags[k], F.col(k).isNull())
+        blank = F.lit("") if kinds[k] == "string" else F.lit(0).cast(kinds[k])
+        df = df.withColumn(filled[k], F.coalesce(F.col(k), blank))
+    parts = [filled.get(k, k) for k in keys] + list(flags.values())
     for n, (_, expr) in values.items():
         df = df.withColumn(own[n], expr)
-    totals = df.groupBy(*[F.col(k).alias(a) for k, a in zip(keys, key_names)], F.col(here).alias(there)).agg(
+    names = [f"_k{depth}_{i}" for i in range(len(parts))]
+    totals = df.groupBy(*[F.col(c).alias(a) for c, a in zip(parts, names)], F.col(here).alias(there)).agg(
         *[_COMBINE[kind][0](own[n]).alias(f"_t{depth}_{n}") for n, (kind, _) in values.items()])
     carried = {before_names[n]: (kind, F.col(f"_t{depth}_{n}")) for n, (kind, _) in values.items()}
     if depth > 1:
-        offsets = _running(totals, key_names, [there], carried, id_bucket(there, width), depth - 1, width, -1).select(
-            *key_names, there, *carried)
+        offsets = _running(totals, names, [there], carried, id_bucket(there, width), depth - 1, width, -1).select(
+            *names, there, *carried)
     else:
-        before = Window.partitionBy(*key_names).orderBy(there).rowsBetween(Window.unboundedPreceding, -1)
-        offsets = totals.select(*key_names, there, *[_COMBINE[kind][0](expr).over(before).alias(name)
-                                                     for name, (kind, expr) in carried.items()])
-    window = Window.partitionBy(*keys, here).orderBy(*order).rowsBetween(Window.unboundedPreceding, last)
+        before = Window.partitionBy(*names).orderBy(there).rowsBetween(Window.unboundedPreceding, -1)
+        offsets = totals.select(*names, there, *[_COMBINE[kind][0](expr).over(before).alias(name)
+                                                 for name, (kind, expr) in carried.items()])
+    window = Window.partitionBy(*parts, here).orderBy(*order).rowsBetween(Window.unboundedPreceding, last)
     for n, (kind, _) in values.items():
         df = df.withColumn(local_names[n], _COMBINE[kind][0](own[n]).over(window))
-    on = [F.col(here).eqNullSafe(F.col(there))]
-    on += [F.col(k).eqNullSafe(F.col(a)) for k, a in zip(keys, key_names)]
+    on = [F.col(c) == F.col(a) for c, a in zip(parts, names)] + [F.col(here) == F.col(there)]
     joined = df.join(offsets, on, "inner")
     for n, (kind, _) in values.items():
         joined = joined.withColumn(n, _COMBINE[kind][1](F.col(before_names[n]), F.col(local_names[n])))
-    return joined.drop(here, there, *key_names, *own.values(), *local_names.values(), *before_names.values())
+    return joined.drop(here, there, *names, *flags.values(), *filled.values(), *own.values(), *local_names.values(),
+                       *before_names.values())
 
 
 def position(df: DataFrame, keys: Sequence[str], order: str, name: str = "position",

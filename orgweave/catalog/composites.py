@@ -294,8 +294,8 @@ def u20(spark, d):
 
 SAVE_SQL = f"""{VET_SQL.replace('@MIN', '0.45')},
 rs as (select site as domain, min(page_id) as seq from pg group by site),
-co as (select seq as id, case when seq < 20 then domain else regexp_replace(domain, '\\.[a-z]+$', '.co.uk') end as domain
-  from rs where seq < 60),
+co as (select seq as id, case when length(domain) < 11 then domain else regexp_replace(domain, '\\.[a-z]+$', '.co.uk') end as domain
+  from rs where length(domain) < 13),
 ck as (select id, domain, string_split({TRIM_SQL.format('domain')}, '.') as l from co), cn as (select id, domain,
   {NAME_KEY_SQL} as k from ck), cf as (select k, arg_min(domain, id) as primary_domain from cn group by k),
 ap as (select rs.domain, rs.seq, s4.score, string_split({TRIM_SQL.format('rs.domain')}, '.') as l from rs join s4
@@ -308,8 +308,8 @@ def save_inputs(spark, d):
     vetted = vetting.vet_domains(home.select("domain"), home, VARIANTS, min_score=0.45)
     results = st.sites(spark, d).select(F.col("site").alias("domain"), "seq", F.upper("site").alias("title"),
                                         F.lit("snip").alias("snippet"), F.lit("bing").alias("source"))
-    companies = results.where("seq < 60").select(
-        F.col("seq").alias("id"), F.lit("me").alias("owner"), F.when(F.col("seq") < 20, F.col("domain")).otherwise(
+    companies = results.where("length(domain) < 13").select(
+        F.col("seq").alias("id"), F.lit("me").alias("owner"), F.when(F.length("domain") < 11, F.col("domain")).otherwise(
             F.regexp_replace("domain", r"\.[a-z]+$", ".co.uk")).alias("domain"))
     return results, vetted, companies
 
@@ -323,7 +323,7 @@ union all select 'saved', '', '', count(*) from ak where k not in (select k from
 union all select 'discovered', '', '', count(*) from rs""")
 def u21(spark, d):
     results, vetted, companies = save_inputs(spark, d)
-    found = results.where("seq < 5").select("domain", F.lit("google").alias("engine"))
+    found = results.where("length(domain) < 11").select("domain", F.lit("google").alias("engine"))
     out = discovery.save_discovery(results, vetted, found, companies, "me")
     empty = F.lit("")
     count = lambda kind, df, col: df.select(F.lit(kind).alias("kind"), empty.alias("domain"), empty.alias("other"),

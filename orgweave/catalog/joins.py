@@ -128,7 +128,7 @@ def j10(spark, d):
 
 
 @query("j12_alias_join", f"""with {st.SITES}, c as (select seq as id, site as domain,
-  string_split({TRIM_SQL.format('site')}, '.') as l from sites where seq < 60),
+  string_split({TRIM_SQL.format('site')}, '.') as l from sites where length(site) < 13),
 ck as (select id, domain, {NAME_KEY_SQL} as k from c), f as (select k, arg_min(domain, id) as primary_domain from ck
   group by k),
 n as (select 'shop.' || regexp_replace(site, '\\.[a-z]+$', '.co.uk') as domain, string_split(
@@ -138,7 +138,7 @@ select 1 as owner, primary_domain, domain as alias_domain, 0.9::double as confid
   'discovery_deduplication' as source from nk join f on nk.k = f.k""")
 def j12(spark, d):
     sites = st.sites(spark, d)
-    companies = sites.where("seq < 60").select(F.lit(1).alias("owner"), F.col("seq").alias("id"),
+    companies = sites.where("length(site) < 13").select(F.lit(1).alias("owner"), F.col("seq").alias("id"),
                                                F.col("site").alias("domain"))
     new = sites.select(F.lit(1).alias("owner"), F.concat(F.lit("shop."), F.regexp_replace("site", r"\.[a-z]+$", ".co.uk"))
                        .alias("domain"))

@@ -453,13 +453,13 @@ def a19(spark, d):
     return ops.merge_enrichment(*enrichment_rows(spark, d))["summary"].select("domain", "notes")
 
 
-@query("k10_whitelist_domain", f"""with {st.MAILS}, wl as (select distinct email from mails where doc_id < 500),
+@query("k10_whitelist_domain", f"""with {st.MAILS}, wl as (select distinct email from mails where source < 'src14'),
 n as (select email, source as domain, doc_id, row_number() over (partition by email order by doc_id) as rn from mails)
 select email, 'listed' as reason, null::varchar as domain from wl
 union all select email, 'Known working domain', domain from n where rn = 1 and email not in (select email from wl)""")
 def k10(spark, d):
     mails = st.mails(spark, d)
-    listed = mails.where("doc_id < 500").select("email").distinct().select(
+    listed = mails.where("source < 'src14'").select("email").distinct().select(
         "email", F.lit("listed").alias("reason"), F.lit(None).cast("string").alias("domain"),
         F.lit(None).cast("long").alias("doc_id"))
     profile = mails.select("email", F.col("source").alias("domain"), "doc_id")

@@ -72,8 +72,8 @@ def s6(spark, d):
 def s7(spark, d):
     path = work_path(spark, "products")
     products = st.products(spark, d).select("seq", "domain", "name")
-    files.bulk_insert(products.where("seq < 700"), path)
-    files.bulk_insert(products.where("seq >= 700"), path)
+    files.bulk_insert(products.where("name < 'm'"), path)
+    files.bulk_insert(products.where("name >= 'm'"), path)
     return spark.read.parquet(path)
 
 

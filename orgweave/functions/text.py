@@ -157,6 +157,7 @@ def _list_entries(lines: Column) -> Column:
     return F.slice(F.transform(cleaned, lambda s: F.trim(s)), 1, 5)
 
 
+# Fixed value: the heading of a suggested-questions block.
 QUESTION_BLOCK = r"(?i)(?:\n|^)(?:Suggested|Follow-up|Recommended)(?:.*)(?:Questions|Queries|Topics)(?:[: \t\r\n]*)(?:\n|$)"
 
 

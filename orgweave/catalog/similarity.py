@@ -13,6 +13,7 @@ from orgweave.operators.similarity import best_duplicate, fuzzy_domain_join
 from orgweave.partitioning import first_n_per_key
 from orgweave.plans import retrieval
 from orgweave.plans.duplicates import duplicate_check
+from orgweave.session import cut_lineage
 
 SCORE_SQL = """(case when a.brand = b.brand and a.tld <> b.tld then 0.40::double when a.stem = b.stem then 0.35::double
   when levenshtein(a.brand, b.brand) = 1 then 0.35::double when levenshtein(a.brand, b.brand) = 2 then 0.30::double
@@ -109,18 +110,16 @@ HOME_SQL = f"""(0.25::double * {sim_sql('x.name', 'y.name')}
 
 
 def site_features(spark, d):
-    """One feature struct per registrable domain, from its first page (ASCII part)."""
+    """One feature struct per registrable domain, from its first page (ASCII part), as a stored table."""
     rich = urls.registrable_domain(st.rich_pages(spark, d), "site", urls.suffix_table(spark), "domain")
     html = F.regexp_replace("html", r"[^ -~]", "")
-    return first_n_per_key(rich, ["domain"], ["page_id"]).select(
-        "domain", F.col("page_id").alias("seq"), H.homepage_features(html).alias("features"))
+    return cut_lineage(first_n_per_key(rich, ["domain"], ["page_id"]).select(
+        "domain", F.col("page_id").alias("seq"), H.homepage_features(html).alias("features")))
 
 
-def new_features(spark, d):
+def new_features(spark, d, known):
     """Fresh domains; those with the .co suffix and the -shop label carry the page of their original."""
-    known = site_features(spark, d)
     fresh = fresh_domains(spark, d)
-    origin = F.regexp_replace(F.col("domain"), r"-shop\.", ".")
     co = known.select(F.regexp_replace("domain", r"\.[a-z]+$", ".co").alias("domain"), "features", "seq")
     shop = known.select(F.regexp_replace("domain", r"^([^.]+)", "$1-shop").alias("domain"), "features", "seq")
     pages = first_n_per_key(co.unionByName(shop), ["domain"], ["seq"]).drop("seq")
@@ -144,8 +143,9 @@ def f46(spark, d):
 
 def scored_pairs(spark, d):
     pairs = fuzzy_domain_join(fresh_domains(spark, d), registered(spark, d))
-    old = site_features(spark, d).select(F.col("domain").alias("candidate"), "seq", F.col("features").alias("old"))
-    new = new_features(spark, d).where("features is not null")
+    known = site_features(spark, d)
+    old = known.select(F.col("domain").alias("candidate"), "seq", F.col("features").alias("old"))
+    new = new_features(spark, d, known).where("features is not null")
     return pairs.join(new, "domain").join(old, "candidate").withColumn(
         "homepage_score", scores.homepage_score(F.col("features"), F.col("old"))).drop("features", "old")
 
@@ -165,7 +165,8 @@ select f.domain, case when pattern_score + homepage_score >= 0.70 then 'DUPLICAT
   round(pattern_score + homepage_score, 6) as total
 from fresh f left join best on best.domain = f.domain""")
 def u17(spark, d):
-    return duplicate_check(new_features(spark, d), site_features(spark, d)).select(
+    known = site_features(spark, d)
+    return duplicate_check(cut_lineage(new_features(spark, d, known)), known).select(
         "domain", "status", "primary_domain", "reason", F.round("total_score", 6).alias("total"))
 
 

@@ -133,7 +133,6 @@ def registrable_domain(df: DataFrame, host: str, suffixes: DataFrame, name: str
             labels, lambda _, i: F.array_join(F.slice(labels, i + 1, F.size(labels)), "."))).alias("_at", "_tail"))
     best = (tails.join(suffixes.select(F.col("suffix").alias("_tail")).distinct(), "_tail", "inner")
             .groupBy("_host").agg(F.min("_at").alias("_cut")))
-    cut = F.col("_cut")
     found = best.withColumn("_labels", labels).select(
         "_host",
         F.array_join(F.expr("slice(_labels, greatest(_cut, 1), size(_labels))"), ".").alias(name))

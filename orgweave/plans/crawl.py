@@ -38,6 +38,8 @@ def link_bfs(seeds: DataFrame, edges: DataFrame, max_depth: int = 3, max_pages:
         df = df.where(has_page_extension(F.col("url")))
         return robots_filter(df, rules) if rules is not None else df
 
+    # the links are read at every level: keep them, not the pages they are parsed from
+    edges = cut_lineage(edges.select("from_url", "url", "pos"))
     none = seeds.select("domain", canonical_url(F.col("url")).alias("url")).limit(0)
     before = none if visited is None else visited.select("domain", "url").distinct()
     spent = before.groupBy("domain").agg(F.count("*").alias("_spent"))

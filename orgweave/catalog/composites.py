@@ -4,7 +4,6 @@ from pyspark.sql import functions as F
 
 from orgweave.catalog import standins as st
 from orgweave.catalog.base import query, table
-from orgweave.catalog.scalars_contact import CONTACT_ARRAY_SQL, order_contacts
 from orgweave.catalog.scalars_page import visible_sql
 from orgweave.catalog.scalars_text import STOP_SQL
 from orgweave.catalog.scalars_url import NAME_KEY_SQL, TRIM_SQL
@@ -304,7 +303,7 @@ ak as (select domain, seq, score, {NAME_KEY_SQL} as k from ap)"""
 
 
 def save_inputs(spark, d):
-    domains, home = vet_inputs(spark, d)
+    _, home = vet_inputs(spark, d)
     vetted = vetting.vet_domains(home.select("domain"), home, VARIANTS, min_score=0.45)
     results = st.sites(spark, d).select(F.col("site").alias("domain"), "seq", F.upper("site").alias("title"),
                                         F.lit("snip").alias("snippet"), F.lit("bing").alias("source"))

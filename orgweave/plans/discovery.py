@@ -7,7 +7,6 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orgweave.functions.text import squeeze
 from orgweave.functions.urls import domain_name_key
 from orgweave.operators.folds import dedup_queries, family_cap
 from orgweave.operators.joins import alias_join

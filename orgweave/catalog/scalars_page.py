@@ -11,8 +11,12 @@ BLANK = lambda inner: f"trim(regexp_replace({inner}, '[ \\t\\r\\n\\x0B\\f]+', '
 TAGS = lambda inner: f"regexp_replace({inner}, '<[^>]+>', ' ', 'g')"
 
 
+# the entities that occur in the given pages; &amp; last so nothing is decoded twice
+PAGE_ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&copy;": "©", "&middot;": "·", "&amp;": "&"}
+
+
 def entities_sql(inner: str) -> str:
-    for name, char in H.ENTITIES.items():
+    for name, char in PAGE_ENTITIES.items():
         inner = f"replace({inner}, '{name}', '{char.replace(chr(39), chr(39) * 2)}')"
     return inner
 

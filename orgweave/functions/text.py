@@ -192,7 +192,7 @@ def relative_time(ts: Column, now: Column) -> Column:
 
 def progress_pct(done: Column, total: Column) -> Column:
     """Whole percent of 90; the last ten are left for the closing steps."""
-    return F.floor(done / total * 90).cast("int")
+    return F.coalesce(F.floor(F.try_divide(done, total) * 90).cast("int"), F.lit(0))
 
 
 def clamp(value: Column | int, low: int = 1, high: int = 100) -> Column:

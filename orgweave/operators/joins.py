@@ -50,6 +50,7 @@ def company_bundle(companies: DataFrame, products: DataFrame, fields: Sequence[s
 
 def social_map(links: Column) -> Column:
     """Platform -> URL out of an array of links; the last link of a platform wins."""
+    links = F.filter(links, lambda s: s["platform"].isNotNull())
     platforms = F.transform(links, lambda s: s["platform"])
     last = F.filter(links, lambda s, i: ~F.array_contains(F.slice(platforms, i + 2, F.size(links)), s["platform"]))
     return F.map_from_entries(F.transform(last, lambda s: F.struct(s["platform"], s["url"])))

@@ -111,6 +111,13 @@ def test_visible_text(value):
     assert "f" not in value(H.relevance_text(L("<nav>f</nav><p>a</p><footer>f</footer>")))
 
 
+@pytest.mark.parametrize("raw,want", [
+    ("&eacute;&#233;&#xE9; &amp;lt; &unknown; &amp x", "ééé &lt; &unknown; &amp x"), ("&#128512;&euro;", "😀€"),
+    ("&#38;lt;", "&lt;"), ("a&#9999999;&#xD800;&#0;b", "a\ufffd\ufffd\ufffdb"), ("no entity", "no entity"), ("&apos;a&quot;", "'a\"")])
+def test_entities(value, raw, want):
+    assert value(H.decode_entities(L(raw))) == want
+
+
 def test_footer_and_links(value):
     socials = value(H.footer_socials(L(PAGE), L("https://acme.com/p")))
     assert socials == {"facebook": "https://www.facebook.com/acme", "twitter": "https://acme.com/x.com/rel"}

@@ -17,9 +17,16 @@ RUNTIME_SETTINGS = {
 
 
 def tune(spark: SparkSession) -> SparkSession:
-    """Apply the runtime settings; sizes and partition counts stay the cluster's."""
+    """Apply the runtime settings; sizes and partition counts stay the cluster's.
+
+    Only a local session still on the default 200 shuffle partitions gets one
+    per core: each of them would be a state store of its own in a stream.
+    """
     for key, value in RUNTIME_SETTINGS.items():
         spark.conf.set(key, value)
+    local = spark.sparkContext.master.startswith("local")
+    if local and spark.conf.get("spark.sql.shuffle.partitions") == "200":
+        spark.conf.set("spark.sql.shuffle.partitions", str(spark.sparkContext.defaultParallelism))
     return spark
 
 

@@ -7,6 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+# working tables of this process that release_work may delete
+_WORK: list[str] = []
+
 RUNTIME_SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -50,11 +53,16 @@ def local_session(cores: str = "8", app: str = "orgweave", memory: str = "12g")
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints and working tables.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only a session without
-    that setting (tests, a laptop) gets a folder of its own.
+    The cluster names it in ``spark.checkpoint.dir``. Only a single-machine
+    session without that setting (tests, a laptop) gets a folder of its own; on
+    a cluster each executor would write such a folder to its own disk, so a
+    missing setting is an error there.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="orgweave-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(named)
@@ -69,4 +77,22 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 def work_path(spark: SparkSession, name: str) -> str:
     """A fresh folder name for a working table in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    _WORK.append(path)
+    return path
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as a Parquet working table and read it back: lineage ends at the shared folder."""
+    path = work_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release_work(spark: SparkSession) -> int:
+    """Delete the working tables made so far; call it once their results are written. Returns how many went."""
+    gone = 0
+    while _WORK:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_WORK.pop())
+        gone += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return gone

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orgweave.llm import quality_rules, sharding
+from orgweave.llm import chat, license_scan, packing, quality_classifier, quality_rules, sharding, topk_search
 from orgweave.session import tune
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,7 +25,8 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return tune(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    tune(spark).conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")  # long texts: small Arrow batches
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 OP2_SQL = r"""
@@ -67,3 +68,59 @@ def op2(spark, sf_dir):
 def op5(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return sharding.shard_by_bytes(docs).select("doc_id", *sharding.RESULTS)
+
+
+@query("op7_residual_packing")
+def op7(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("op3_pu_quality")
+def op3(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = quality_classifier.classify(docs, table(spark, sf_dir, "labels"))
+    return out.select("doc_id", *quality_classifier.RESULTS)
+
+
+@query("op4_license_notices")
+def op4(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return license_scan.scan_licenses(docs).select("doc_id", *license_scan.RESULTS)
+
+
+OP8_SQL = """
+with v as (select vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)) e from embeddings
+  where vec_id is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x::double))) = 0),
+s as (select q.vec_id query_id, c.vec_id vec_id, list_inner_product(q.e, c.e)::bigint score
+  from v q join v c on q.vec_id % 100 = 0 and c.vec_id <> q.vec_id)
+select query_id, rank::int as rank, vec_id, score from (
+  select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s) where rank <= 10
+"""
+
+
+@query("op8_pivot_topk", OP8_SQL)
+def op8(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return topk_search.search(vectors, F.col("vec_id") % 100 == 0)
+
+
+OP9_SQL = r"""
+with c as (select conv_id, turn, coalesce(role, '') r, coalesce(text, '') t from conversations
+  union all select -7, 0, 'user', '</s>[INST] ok [/INST]' union all select -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+m as (select *, regexp_matches(t, '\\[\\\[<>]|\[/?INST\]|</?s>|<<SYS |<</SYS>>') hard from c),
+f as (select *, length(t) + case when hard then length(regexp_replace(t, '[^\\\[<]', '', 'g')) else 0 end
+    + case r when 'user' then 15 when 'assistant' then 9 else 18 + length(r) end n from m)
+select conv_id, count(*)::bigint n_turns,
+  sha256(string_agg(r || chr(10) || t || chr(10), '' order by turn nulls first, r, t)) turns_sha256,
+  coalesce(sum(length(t)) filter (where r = 'assistant'), 0)::bigint loss_chars,
+  sha256(coalesce(string_agg(t, '' order by turn nulls first, r, t) filter (where r = 'assistant'), '')) loss_sha256,
+  sum(n)::bigint formatted_chars
+from f group by conv_id
+"""
+
+
+@query("op9_round_trip_chat", OP9_SQL)
+def op9(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat.digests(chat.format_conversations(rows.unionByName(chat.planted(spark))))

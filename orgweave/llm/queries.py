@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orgweave.llm import chat, license_scan, packing, quality_classifier, quality_rules, sharding, topk_search
+from orgweave.llm import (chat, jaccard_join, license_scan, mixing, packing, quality_classifier, quality_rules, sharding,
+                          token_counts, topk_search)
 from orgweave.session import tune
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -124,3 +125,45 @@ from f group by conv_id
 def op9(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     return chat.digests(chat.format_conversations(rows.unionByName(chat.planted(spark))))
+
+
+@query("op1_pfair_mix")
+def op1(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return mixing.mix(docs).select("doc_id", "source", *mixing.RESULTS)
+
+
+OP10_SQL = r"""
+with recursive d as (select doc_id, array_to_string(regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), ' ') w from documents),
+t as (select w, min(doc_id) copy_id, string_split(w, ' ') l from d where w <> '' group by w),
+s as (select distinct copy_id, unnest(case when len(l) < 5 then [w] else
+    list_transform(range(1, len(l) - 3), lambda i: array_to_string(l[i:i + 4], ' ')) end) g from t),
+n as (select copy_id, count(*) n from s group by copy_id),
+p as (select a.copy_id x, b.copy_id y, count(*) c from s a join s b on a.g = b.g and a.copy_id < b.copy_id group by all),
+k as (select x, y from p join n a on x = a.copy_id join n b on y = b.copy_id where 10000 * c >= 8000 * (a.n + b.n - c)),
+e as (select x, y from k union select y, x from k),
+r(x, y) as (select x, y from e union select r.x, e.y from r join e on r.y = e.x)
+select doc_id, coalesce(least(c.copy_id, m.y), c.copy_id) class_id, c.copy_id, coalesce(f.n, 0)::bigint n_links
+from d join (select w, min(doc_id) copy_id from d group by w) c using (w)
+left join (select x, min(y) y from r group by x) m on m.x = c.copy_id
+left join (select x, count(*) n from e group by x) f on f.x = c.copy_id
+"""
+
+
+@query("op10_bayes_jaccard", OP10_SQL)
+def op10(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return jaccard_join.jaccard_classes(docs).select("doc_id", "class_id", "copy_id", "n_links")
+
+
+@query("op6_separator_scan")
+def op6(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_counts.document_counts(docs).select("doc_id", "n_tokens")
+
+
+@query("pipeline")
+def pipeline(spark, sf_dir):
+    import corpus_pipeline
+    return corpus_pipeline.run(spark, sf_dir)

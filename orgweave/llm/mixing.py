@@ -177,8 +177,10 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, other:
     return own.select(*[F.col(f"`{c}`") for c in names], *RESULTS)
 
 
-def mixed_stream(docs: DataFrame, **options) -> DataFrame:
+def mixed_stream(docs: DataFrame, source: str = "source", id_col: str = "doc_id", text_col: str = "text",
+                 **options) -> DataFrame:
     """The rows of ``docs`` in mixed order: partitions follow each other by slot, and each is sorted."""
-    placed = mix(docs, **options)
-    return placed.repartitionByRange("slot", "place").sortWithinPartitions("slot", "place").select(
-        *[F.col(f"`{c}`") for c in docs.columns])
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")  # keeps columns named like a result
+    placed = mix(docs.select(whole, source, id_col, text_col), source=source, id_col=id_col, text_col=text_col, **options)
+    return placed.select("row", "slot", "place").repartitionByRange("slot", "place").sortWithinPartitions(
+        "slot", "place").select("row.*")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orgweave.session import tune
+from orgweave.session import SPREAD, tune
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -32,14 +32,14 @@ HEAVY = {"documents", "pages", "embeddings", "conversations"}
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A given table; zone-less timestamps are read as UTC instants.
 
-    Text tables that arrive in fewer splits than there are cores (one small
-    file) are spread over the cores; larger ones keep their scan partitions.
+    Scan partitions are the cluster's; only a session that asks for it (tests,
+    bench) gets its text tables spread over a given number.
     """
     tune(spark)
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    if name in HEAVY and df.rdd.getNumPartitions() * 2 <= cores:
-        df = df.repartition(cores)
+    spread = spark.conf.get(SPREAD, None)
+    if spread and name in HEAVY:
+        df = df.repartition(int(spread))
     for column, kind in df.dtypes:
         if kind == "timestamp_ntz":
             df = df.withColumn(column, F.col(column).cast("timestamp"))

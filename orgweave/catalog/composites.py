@@ -91,10 +91,21 @@ def u5(spark, d):
     return discovery.expand_queries(variants, ["red bolt", "gk gloves"], per_family_cap=None, max_queries=None)
 
 
-@query("u5_expand_queries_capped")
+@query("u5_expand_queries_capped", f"""with v as (select lower(p_name) as v, min(p_partkey) as pos from part group by 1),
+i(n, w) as {_list(discovery.INTENTS)}, h(n, w) as {_list(discovery.PLATFORM_HINTS)}, t(n, w) as {_list(discovery.GEO_TLDS)},
+r(n, w) as {_list(discovery.REGIONS)},
+q as (select v || ' ' || w || ' {NEG}' as query, [0, pos, n, 0] as seq from v, i
+  union all select v || ' ' || w || ' {NEG}', [1, pos, n, 0] from v, h
+  union all select w || ' ' || v || ' {NEG}', [2, pos, n, 0] from v, i where n < 5
+  union all select v || ' ' || i.w || ' site:' || t.w || ' {NEG}', [3, pos, i.n, t.n] from v, i, t where i.n < 3
+  union all select v || ' ' || i.w || ' ' || r.w || ' {NEG}', [4, pos, i.n, r.n] from v, i, r where i.n < 3),
+k as (select *, row_number() over (partition by seq[1] order by md5('42:' || query), query) as k from q),
+u as (select query, row_number() over (partition by lower(query) order by seq) as k from k where k <= 50),
+m as (select query from u where k = 1 order by md5('42:' || query), query limit 400)
+select query from m union all select 'red bolt' where 'red bolt' not in (select lower(query) from m)""")
 def u5_capped(spark, d):
     variants = table(spark, d, "part").groupBy(F.lower("p_name").alias("variant")).agg(F.min("p_partkey").alias("pos"))
-    return discovery.expand_queries(variants, ["red bolt"])
+    return discovery.expand_queries(variants, ["red bolt"], per_family_cap=50, max_queries=400)
 
 
 @query("u6_contact_queries", f"""with {st.SITES}, c as (select site, upper({st.LABEL_SQL}) as n from sites)
@@ -141,7 +152,7 @@ def crawl_inputs(spark, d):
 @query("u7_link_bfs", f"""with recursive {st.PG}, {EDGES}, {WALK.format(3)} select domain, url, depth from best""")
 def u7(spark, d):
     _, seeds, edges = crawl_inputs(spark, d)
-    return crawl.link_bfs(seeds, edges, max_depth=3, max_pages=900).select("domain", "url", "depth")
+    return crawl.link_bfs(seeds, edges, max_depth=3).select("domain", "url", "depth")
 
 
 @query("u8_crawl_all", f"""with recursive {st.PG}, {EDGES}, {WALK.format(2)},
@@ -152,7 +163,7 @@ def u8(spark, d):
     pages, seeds, edges = crawl_inputs(spark, d)
     states = seeds.select("domain", F.col("domain").startswith("m.").alias("is_complete"))
     landed = pages.select("url", F.sha2("html", 256).alias("content_hash"))
-    return crawl.crawl_all(seeds, edges, landed, states, max_depth=2, max_pages=900)["results"]
+    return crawl.crawl_all(seeds, edges, landed, states, max_depth=2)["results"]
 
 
 @query("x3_frontier_minus_visited", f"""with {st.PG}, {EDGES}, r as (select distinct regexp_replace(regexp_replace(root ||
@@ -174,7 +185,7 @@ def u9(spark, d):
 @query("u10_model_extract")
 def u10(spark, d):
     pages = doc_pages(spark, d)
-    out = extraction.extract_profiles(pages, filters.profile_page(F.col("url"), F.col("depth")), char_limit=50_000)
+    out = extraction.extract_profiles(pages, filters.profile_page(F.col("url"), F.col("depth")))
     mails = out["values"].where("field = 'email'").groupBy("domain").agg(F.count("*").alias("mails"))
     n = out["chunks"].groupBy("domain").agg(F.count("*").alias("chunks"))
     return out["profile"].join(n, "domain").join(mails, "domain", "left")

@@ -124,7 +124,8 @@ def p15(spark, d):
 
 
 @query("p16_contact_page_plan", f"""with {st.SITES}, plan(position, path, page_type) as (values (0, '', 'homepage'),
-  (1, '/contact', 'contact'), (2, '/kontakt', 'contact'), (3, '/contacto', 'contact'), (4, '/about', 'about'))
+  (1, '/contact', 'contact'), (2, '/kontakt', 'contact'), (3, '/contacto', 'contact'),
+  (4, '/about', 'about'), (5, '/about-us', 'about'), (6, '/social', 'social'))
 select site as domain, position, 'https://' || site || path as url, page_type from sites, plan""")
 def p16(spark, d):
     return ops.contact_page_plan(st.sites(spark, d).select(F.col("site").alias("domain")), "aggressive")

@@ -92,7 +92,9 @@ def w9(spark, d):
         "chunk_id", F.col("page_idx"), "chunk_index", "total_chunks", F.sha2("content", 256).alias("content_hash"))
 
 
-@query("w10_family_cap")
+@query("w10_family_cap", """with q as (select p_brand as family, p_name || ' ' || p_partkey as query from part)
+select family, query from (select *, row_number() over (partition by family order by md5('42:' || query), query) as k from q)
+where k <= 50""")
 def w10(spark, d):
     q = table(spark, d, "part").select(F.col("p_brand").alias("family"), F.concat_ws(" ", "p_name", "p_partkey").alias("query"))
     return folds.family_cap(q, 50)
@@ -202,7 +204,7 @@ def a15(spark, d):
   o_orderkey limit 50 offset 100), (select count(*) as total, ceil(count(*) / 50.0)::bigint as pages from orders)""")
 def l1(spark, d):
     orders = table(spark, d, "orders").select("o_orderkey", "o_orderdate")
-    page = ordering.paginate(orders, [F.col("o_orderdate").desc(), "o_orderkey"], ordering.page_to_skip(3, 50), 50)
+    page = ordering.paginate(orders, [F.col("o_orderdate").desc(), "o_orderkey"], ordering.page_to_skip(3, 50), limit=50)
     totals = ordering.page_numbers(orders, 50)
     return page.select("o_orderkey", totals.select("total").scalar().alias("total"),
                        totals.select("total_pages").scalar().alias("pages"))
@@ -222,7 +224,7 @@ union all (select 'draft', o_orderkey from orders where o_custkey = 77 order by
 def l5(spark, d):
     campaigns = filters.children_of(table(spark, d, "customer"), "c_nationkey", 3, [F.col("c_acctbal").desc(), "c_custkey"],
                                     skip=5, limit=20).select(F.lit("campaign").alias("kind"), F.col("c_custkey").alias("id"))
-    drafts = filters.children_of(table(spark, d, "orders"), "o_custkey", 77, [F.col("o_orderdate").desc(), "o_orderkey"])
+    drafts = filters.children_of(table(spark, d, "orders"), "o_custkey", 77, [F.col("o_orderdate").desc(), "o_orderkey"], 100)
     return campaigns.unionByName(drafts.select(F.lit("draft").alias("kind"), F.col("o_orderkey").alias("id")))
 
 

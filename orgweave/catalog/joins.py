@@ -166,7 +166,7 @@ select query_id, epoch_us(o_orderdate) as executed_us, count(l_orderkey) as doma
 def j15(spark, d):
     queries = table(spark, d, "orders").select(F.col("o_orderkey").alias("query_id"), F.col("o_orderdate").alias("executed_at"))
     found = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("query_id"))
-    return ops.history_with_counts(queries, found).select("query_id", F.unix_micros("executed_at").alias("executed_us"),
+    return ops.history_with_counts(queries, found, 50).select("query_id", F.unix_micros("executed_at").alias("executed_us"),
                                                           "domain_count")
 
 

@@ -38,7 +38,7 @@ STRIP_SQL = "substr(" + BLANK(TAGS(
 @query("f11_html_strip", f"""with s as (select page_id, {STRIP_SQL} as t from pages)
 select page_id, length(t) as n, md5(t) as text from s""")
 def f11(spark, d):
-    return table(spark, d, "pages").select("page_id", H.html_strip(F.col("html")).alias("t")).select(
+    return table(spark, d, "pages").select("page_id", H.html_strip(F.col("html"), 8000).alias("t")).select(
         "page_id", F.length("t").cast("long").alias("n"), F.md5("t").alias("text"))
 
 
@@ -114,9 +114,9 @@ union all select page_id, 'page', array_to_string(list_sort(list_distinct(list_f
 def f22(spark, d):
     join = lambda e: F.array_join(F.array_sort(e), "|").alias("emails")
     docs = table(spark, d, "documents").select(
-        F.col("doc_id").alias("id"), F.lit("doc").alias("kind"), join(H.page_emails(F.col("text"), noise=[])))
+        F.col("doc_id").alias("id"), F.lit("doc").alias("kind"), join(H.page_emails(F.col("text"), [], 5)))
     return docs.unionByName(st.rich_pages(spark, d).select(
-        F.col("page_id").alias("id"), F.lit("page").alias("kind"), join(H.page_emails(F.col("html")))))
+        F.col("page_id").alias("id"), F.lit("page").alias("kind"), join(H.page_emails(F.col("html"), limit=5))))
 
 
 def map_text(col):

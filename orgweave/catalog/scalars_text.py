@@ -210,7 +210,7 @@ def f60(spark, d):
     body, lang = F.col("text"), F.col("lang")
     shaped = (F.when(lang == "en", F.concat(F.lit("1. "), F.replace(body, F.lit("\n"), F.lit("\n2. "))))
               .when(lang == "de", F.concat(F.lit("- "), F.replace(body, F.lit("\n"), F.lit("\n* ")))).otherwise(body))
-    return table(spark, d, "documents").select("doc_id", text.list_lines(shaped).alias("i")).select(
+    return table(spark, d, "documents").select("doc_id", text.list_lines(shaped, 5, 10).alias("i")).select(
         "doc_id", F.size("i").cast("long").alias("n"), F.array_join("i", "|").alias("items"))
 
 
@@ -231,7 +231,7 @@ def f62(spark, d):
     full = F.when(F.col("role") == "user", F.col("text")).otherwise(F.concat(F.col("text"), block))
     return table(spark, d, "conversations").select(
         "conv_id", "turn", text.answer_part(full).alias("answer"),
-        F.array_join(text.question_lines(full), "|").alias("questions"))
+        F.array_join(text.question_lines(full, 3), "|").alias("questions"))
 
 
 @query("f63_relative_time", f"""with m as (select event_id, ts, floor((epoch_us(timestamp '{st.NOW}') - epoch_us(ts))

@@ -84,7 +84,7 @@ ff as (select domain, page_id as seq, {TITLE_SQL} as title,
   regexp_extract(html, '(?is)<meta[^>]*\\bcontent="([^"]*)"[^>]*\\bproperty="og:site_name"', 1) as og,
   regexp_extract(html, '(?is)<meta[^>]*\\bname="description"[^>]*\\bcontent="([^"]*)"', 1) as descr,
   list_distinct(list_filter({EMAILS_SQL.format('html')}, lambda e: not regexp_matches(lower(e),
-    'example\\.com|sentry\\.io|google|facebook\\.com'))[1:5]) as emails,
+    'example\\.com|sentry\\.io|google|facebook\\.com'))) as emails,
   regexp_extract(html, 'facebook\\.com/([a-zA-Z0-9_.]+)', 1) as fb,
   regexp_extract(html, 'twitter\\.com/([a-zA-Z0-9_]+)', 1) as tw from one),
 fe as (select domain, seq, title, descr, emails, fb, tw, case when og <> '' then og when contains(title, ' - ') then

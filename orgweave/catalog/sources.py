@@ -19,7 +19,7 @@ def with_depth(spark, d):
 @query("s1_scan_pages", f"""with {st.PG} select page_id, url from pg where site = 'blog.tionsh.net' order by page_id
 limit 1000""")
 def s1(spark, d):
-    return files.scan_pages(with_depth(spark, d), "blog.tionsh.net").select("page_id", "url")
+    return files.scan_pages(with_depth(spark, d), "blog.tionsh.net", 1000).select("page_id", "url")
 
 
 @query("s2_scan_homepage", f"""with {st.PG} select site as domain, page_id, url from (select *, row_number() over (partition by
@@ -126,6 +126,6 @@ def s11(spark, d):
     path = work_path(spark, "export")
     sends = st.sends(spark, d).withColumn("seq", F.col("message_id")).withColumn(
         "recipient", F.lit(None).cast("string")).withColumn("subject_line", F.lit("hello"))
-    files.export_csv(files.recent_sends(sends), path)
+    files.export_csv(files.recent_sends(sends, 100), path)
     back = spark.read.option("header", "true").csv(path)
     return back.select("message_id", "domain", F.coalesce("recipient", F.lit("")).alias("recipient"), "campaign_id", "status")

@@ -128,13 +128,20 @@ def fenced_json_list(text: Column) -> Column:
     return F.when(is_list, F.from_json(body, "array<string>"))
 
 
-def list_lines(text: Column) -> Column:
-    """Up to five list entries: numbered lines, else bullets, else short lines."""
+def list_lines(text: Column, most: int | None = None, leading: int | None = None) -> Column:
+    """List entries: numbered lines, else bullets, else short lines.
+
+    ``most`` cuts the entries; ``leading`` looks for short lines in the first lines only.
+    """
     lines = F.transform(F.split(text, "\n"), lambda s: F.trim(s, F.lit(" \t\r\x0B\f")))
-    return let(lines, _list_entries)
+    return let(lines, lambda x: _list_entries(x, most, leading))
+
+
+def _first(items: Column, n: int | None) -> Column:
+    return items if n is None else F.slice(items, 1, n)
 
 
-def _list_entries(lines: Column) -> Column:
+def _list_entries(lines: Column, most: int | None, leading: int | None) -> Column:
     def entries(pattern: str) -> Column:
         hit = F.filter(lines, lambda s: s.rlike(pattern))
         body = F.transform(hit, lambda s: F.regexp_extract(s, pattern, 1))
@@ -142,8 +149,7 @@ def _list_entries(lines: Column) -> Column:
 
     numbered = entries(r"^[0-9]+\.[ \t]*(.+)$")
     bulleted = entries(r"^[*-][ \t]*(.+)$")
-    leading = F.slice(F.filter(lines, lambda s: s != ""), 1, 10)
-    short = F.filter(leading, lambda s: (F.length(s) > 15) & (F.length(s) < 100)
+    short = F.filter(_first(F.filter(lines, lambda s: s != ""), leading), lambda s: (F.length(s) > 15) & (F.length(s) < 100)
                      & ~s.endswith(".") & ~s.startswith("#"))
     picked = F.when(F.size(numbered) > 0, numbered).when(F.size(bulleted) > 0, bulleted).otherwise(short)
 
@@ -154,7 +160,7 @@ def _list_entries(lines: Column) -> Column:
         return F.regexp_replace(s, r"(?i)^(Subject|Option[ \t]*[0-9]+):[ \t]*", "")
 
     cleaned = F.filter(F.transform(picked, clean), lambda s: F.length(s) > 10)
-    return F.slice(F.transform(cleaned, lambda s: F.trim(s)), 1, 5)
+    return _first(F.transform(cleaned, lambda s: F.trim(s)), most)
 
 
 # Fixed value: the heading of a suggested-questions block.
@@ -167,13 +173,13 @@ def answer_part(text: Column) -> Column:
     return F.when(F.size(parts) > 1, F.trim(F.get(parts, F.lit(0)), F.lit(" \t\r\n"))).otherwise(text)
 
 
-def question_lines(text: Column) -> Column:
-    """Up to three question lines of a suggested-questions block."""
+def question_lines(text: Column, most: int | None = None) -> Column:
+    """Question lines of a suggested-questions block, the first ``most`` if given."""
     parts = F.split(text, QUESTION_BLOCK)
     lines = F.transform(F.split(F.trim(F.get(parts, F.lit(1)), F.lit(" \t\r\n")), "\n"),
                         lambda s: F.regexp_replace(F.trim(s, F.lit(" \t\r")), "^[0-9\\-.•*\\s]+", ""))
     good = F.filter(lines, lambda s: (F.length(s) > 5) & s.contains("?"))
-    return F.when(F.size(parts) > 1, F.slice(good, 1, 3)).otherwise(F.array().cast("array<string>"))
+    return F.when(F.size(parts) > 1, _first(good, most)).otherwise(F.array().cast("array<string>"))
 
 
 def relative_time(ts: Column, now: Column) -> Column:

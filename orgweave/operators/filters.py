@@ -89,7 +89,7 @@ def owned_rows(rows: DataFrame, companies: DataFrame, fk: str, owner, key: str =
     return rows.join(mine, F.col(fk) == F.col("_parent"), "left_semi")
 
 
-def recent_crawls(df: DataFrame, limit: int = 10, when: str = "crawled_at", key: str = "id") -> DataFrame:
+def recent_crawls(df: DataFrame, limit: int, when: str = "crawled_at", key: str = "id") -> DataFrame:
     """Last completed crawls, newest first; the limit is forced into 1..100."""
     done = df.where((F.col("crawl_status") == "completed") & F.col(when).isNotNull())
     return paginate(done, [F.col(when).desc(), F.col(key)], limit=clamp_limit(limit))
@@ -109,8 +109,8 @@ def priority_rank(flag: Column, seq: str | Column) -> Column:
     return F.struct((~flag).alias("later"), (F.col(seq) if isinstance(seq, str) else seq).alias("seq"))
 
 
-def contact_page_plan(domains: DataFrame, mode: str = "lenient", max_pages: int = 5) -> DataFrame:
-    """(domain, position, url, page_type) rows to look at, in order, at most ``max_pages`` per domain."""
+def contact_page_plan(domains: DataFrame, mode: str = "lenient", max_pages: int | None = None) -> DataFrame:
+    """(domain, position, url, page_type) rows to look at, in order; ``max_pages`` cuts the plan."""
     plan = [("", "homepage"), *[(f"/{p}", "contact") for p in CONTACT_PATHS]]
     if mode == "aggressive":
         plan += [*[(f"/{p}", "about") for p in ABOUT_PATHS], ("/social", "social")]
@@ -146,9 +146,9 @@ def lookup_many(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     return df.join(keys.select(key).distinct(), key, "left_semi")
 
 
-def children_of(df: DataFrame, fk: str, value, order: Sequence[str | Column], skip: int = 0,
-                limit: int = 100) -> DataFrame:
-    return paginate(df.where(F.col(fk) == F.lit(value)), order, skip, limit)
+def children_of(df: DataFrame, fk: str, value, order: Sequence[str | Column], limit: int,
+                skip: int = 0) -> DataFrame:
+    return paginate(df.where(F.col(fk) == F.lit(value)), order, skip, limit=limit)
 
 
 def state_sets(states: DataFrame, column: str) -> DataFrame:

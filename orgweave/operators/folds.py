@@ -61,9 +61,9 @@ def merge_products(products: DataFrame) -> DataFrame:
         "product_id", F.concat("domain", F.lit("_product_"), F.col("_n").cast("string"))).drop("_n")
 
 
-def family_cap(queries: DataFrame, cap: int = 50, seed: int = 42) -> DataFrame:
+def family_cap(queries: DataFrame, cap: int, seed: int = 42) -> DataFrame:
     """At most ``cap`` queries per family, in a seeded pseudo-random order."""
-    return first_n_per_key(queries, ["family"], [F.xxhash64(F.lit(seed), F.col("query")), F.col("query")], cap)
+    return first_n_per_key(queries, ["family"], [F.md5(F.concat(F.lit(f"{seed}:"), "query")), F.col("query")], cap)
 
 
 def chat_window(turns: DataFrame, size: int = 6, processed: str | None = None, key: str = "conv_id",

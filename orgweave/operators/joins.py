@@ -125,7 +125,7 @@ def ttl_lookup(requests: DataFrame, cache: DataFrame, key: str, at: str, cached_
         *[F.when(fresh, F.col(f"_best.{c}")).alias(c) for c in ("cached_at", *payload)])
 
 
-def history_with_counts(queries: DataFrame, found: DataFrame, limit: int = 50) -> DataFrame:
+def history_with_counts(queries: DataFrame, found: DataFrame, limit: int) -> DataFrame:
     """Latest queries with the number of domains each found."""
     latest = queries.orderBy(F.col("executed_at").desc(), F.col("query_id")).limit(limit)
     counts = found.join(latest.select("query_id"), "query_id", "left_semi").groupBy("query_id").agg(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -13,10 +14,10 @@ from pyspark.sql.window import Window
 
 from orgweave.partitioning import as_columns
 
-MAX_QUERY_VECTORS = 4096
+QUERY_BLOCK = 4096  # query vectors that travel with a task at once
 
 
-def paginate(df: DataFrame, order: Sequence[str | Column], skip: int = 0, limit: int = 100) -> DataFrame:
+def paginate(df: DataFrame, order: Sequence[str | Column], skip: int = 0, *, limit: int) -> DataFrame:
     """One page of the sorted rows; planned as a top-k, not a full sort."""
     page = df.orderBy(*as_columns(order))
     if skip:
@@ -51,7 +52,7 @@ def topk_cosine(df: DataFrame, queries: Sequence[Sequence[float]], k: int, vecto
                 key: str = "vec_id", min_similarity: float | None = None) -> DataFrame:
     """Exact top ``k`` rows by cosine similarity for each query vector.
 
-    The query vectors travel with the tasks (at most 4096 of them). Only key
+    The query vectors travel with the tasks, a block of them at a time. Only key
     and vector go through Python: each Arrow batch is scored with one matrix
     product and keeps its own best ``k`` per query, so the shuffle carries at
     most ``k`` rows per query and batch. The winners are then joined back to
@@ -59,8 +60,10 @@ def topk_cosine(df: DataFrame, queries: Sequence[Sequence[float]], k: int, vecto
     ``key``, which is unique. Returns ``query``, ``similarity`` and the columns
     of ``df`` except the vector.
     """
-    if len(queries) > MAX_QUERY_VECTORS:
-        raise ValueError(f"at most {MAX_QUERY_VECTORS} query vectors per call")
+    if len(queries) > QUERY_BLOCK:
+        blocks = [topk_cosine(df, queries[at:at + QUERY_BLOCK], k, vector, key, min_similarity).withColumn(
+            "query", F.col("query") + at) for at in range(0, len(queries), QUERY_BLOCK)]
+        return reduce(DataFrame.unionByName, blocks)
     units = _unit_rows(np.asarray(queries, dtype="float64"))
     schema = T.StructType([T.StructField("query", T.IntegerType()), T.StructField("similarity", T.DoubleType()),
                            df.schema[key]])

@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from orgweave.functions.urls import canonical_url, has_page_extension, resolve_url, url_host
 from orgweave.operators.filters import robots_filter
 from orgweave.operators.joins import not_crawled
-from orgweave.partitioning import first_n_per_key
+from orgweave.partitioning import first_n_per_key, id_bucket, running
 from orgweave.session import cut_lineage
 
 
@@ -23,13 +22,13 @@ def link_edges(pages: DataFrame, hrefs: Column) -> DataFrame:
         F.min("pos").alias("pos"))
 
 
-def link_bfs(seeds: DataFrame, edges: DataFrame, max_depth: int = 3, max_pages: int = 200,
+def link_bfs(seeds: DataFrame, edges: DataFrame, max_depth: int = 3, max_pages: int | None = None,
              visited: DataFrame | None = None, rules: DataFrame | None = None) -> DataFrame:
     """Visit order of a breadth-first walk from each seed: (domain, url, depth, position).
 
     ``seeds``: domain, url. ``edges``: from_url, url, pos. ``visited``: domain,
-    url of earlier walks; they count towards ``max_pages`` and are not walked
-    again. One join and one anti join per level; a level is ordered by the
+    url of earlier walks; they count towards ``max_pages``, if that is given, and
+    are not walked again. One join and one anti join per level; a level is ordered by the
     position of the page that links first, then by the link's place on it, as a
     queue would. Each level is checkpointed, so plans do not grow with depth and
     a lost executor costs one level.
@@ -45,7 +44,8 @@ def link_bfs(seeds: DataFrame, edges: DataFrame, max_depth: int = 3, max_pages:
     spent = before.groupBy("domain").agg(F.count("*").alias("_spent"))
     start = allowed(seeds.select("domain", canonical_url(F.col("url")).alias("url")).distinct())
     start = start.join(before, ["domain", "url"], "left_anti").join(spent, "domain", "left")
-    level = start.where(F.coalesce("_spent", F.lit(0)) < max_pages).select(
+    room = F.lit(True) if max_pages is None else F.coalesce("_spent", F.lit(0)) < max_pages
+    level = start.where(room).select(
         "domain", "url", F.lit(0).alias("depth"), F.lit(1).cast("long").alias("position"))
     level = cut_lineage(level)
     done = level
@@ -55,12 +55,18 @@ def link_bfs(seeds: DataFrame, edges: DataFrame, max_depth: int = 3, max_pages:
         seen = done.select("domain", "url").unionByName(before)
         fresh = allowed(found).join(seen, ["domain", "url"], "left_anti")
         used = done.groupBy("domain").agg(F.max("position").alias("_used"))
-        # at most max_pages rows per domain are ranked; the rest cannot be visited
-        capped = first_n_per_key(fresh, ["domain"], ["_order", "url"], max_pages)
-        ranked = _rank(capped, "domain", ["_order", "url"]).join(used, "domain").join(spent, "domain", "left")
-        level = ranked.withColumn("position", F.col("_used") + F.col("_rank")).where(
-            F.col("position") + F.coalesce("_spent", F.lit(0)) <= max_pages).select(
-            "domain", "url", F.lit(depth).alias("depth"), "position")
+        if max_pages is not None:
+            # at most max_pages rows per domain are ranked; the rest cannot be visited
+            fresh = first_n_per_key(fresh, ["domain"], ["_order", "url"], max_pages)
+        # ranks are counted per run of linking pages, so one domain's level is no single task
+        fresh = fresh.select("domain", "url", "_order._from", "_order.pos")
+        ranked = running(fresh, ["domain"], ["_from", "pos", "url"], {"_rank": ("sum", F.lit(1).cast("long"))},
+                         bucket=id_bucket("_from", 1024)).join(used, "domain").withColumn(
+            "position", F.col("_used") + F.col("_rank"))
+        if max_pages is not None:
+            ranked = ranked.join(spent, "domain", "left").where(
+                F.col("position") + F.coalesce("_spent", F.lit(0)) <= max_pages)
+        level = ranked.select("domain", "url", F.lit(depth).alias("depth"), "position")
         level = cut_lineage(level)
         if level.isEmpty():
             break
@@ -68,12 +74,8 @@ def link_bfs(seeds: DataFrame, edges: DataFrame, max_depth: int = 3, max_pages:
     return done
 
 
-def _rank(df: DataFrame, key: str, order: list[str]) -> DataFrame:
-    return df.withColumn("_rank", F.row_number().over(Window.partitionBy(key).orderBy(*order)).cast("long"))
-
-
 def crawl_all(seeds: DataFrame, edges: DataFrame, pages: DataFrame, states: DataFrame | None = None,
-              max_depth: int = 2, max_pages: int = 200, rules: DataFrame | None = None) -> dict[str, DataFrame]:
+              max_depth: int = 2, max_pages: int | None = None, rules: DataFrame | None = None) -> dict[str, DataFrame]:
     """Walk all seeds not crawled yet; result rows per domain and totals.
 
     ``pages``: url, content_hash of the landed pages; a page whose content was

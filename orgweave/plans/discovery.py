@@ -48,12 +48,12 @@ def _options(words: Sequence[str]) -> Column:
 def expand_queries(variants: DataFrame, base_keywords: Sequence[str], intents: Sequence[str] = INTENTS,
                    hints: Sequence[str] = PLATFORM_HINTS, geo_tlds: Sequence[str] = GEO_TLDS,
                    regions: Sequence[str] = REGIONS, negatives: Sequence[str] = NEGATIVES,
-                   per_family_cap: int | None = 50, max_queries: int | None = 400, seed: int = 42) -> DataFrame:
+                   per_family_cap: int | None = None, max_queries: int | None = None, seed: int = 42) -> DataFrame:
     """Search queries out of keyword variants (variant, pos) and templates.
 
     Templates are short fixed lists and travel as literals, so each variant is
-    expanded in place. Families over the cap are sampled by a seeded hash; base
-    keywords are always in the result.
+    expanded in place. Where the caller caps families or the whole, the queries
+    with the smallest seeded hashes stay; base keywords are always in the result.
     """
     v = F.col("variant")
     one = lambda words: variants.select("pos", v, F.explode(_options(words)).alias("x")).withColumn("y", F.lit(0))
@@ -80,7 +80,7 @@ def expand_queries(variants: DataFrame, base_keywords: Sequence[str], intents: S
         rows = family_cap(rows, per_family_cap, seed)
     unique = dedup_queries(rows)
     if max_queries is not None:
-        unique = unique.orderBy(F.xxhash64(F.lit(seed), F.col("query")), "query").limit(max_queries)
+        unique = unique.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), "query")), "query").limit(max_queries)
     base = variants.sparkSession.createDataFrame([(k,) for k in base_keywords], "query string")
     added = base.join(unique.select(F.lower("query").alias("_q")), F.lower("query") == F.col("_q"), "left_anti")
     return unique.select("query").unionByName(added)

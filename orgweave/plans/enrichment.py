@@ -17,7 +17,7 @@ def _rescored(found: Column, confidence: float, source: str) -> Column:
         c["context"].alias("context"), F.lit(source).alias("source")))
 
 
-def serp_contacts(results: DataFrame) -> DataFrame:
+def serp_contacts(results: DataFrame, context_chars: int = 100) -> DataFrame:
     """Contacts out of search results by query_type (phone, whatsapp, linkedin).
 
     ``results``: seq, domain, title, snippet, url, query_type.
@@ -29,7 +29,7 @@ def serp_contacts(results: DataFrame) -> DataFrame:
     in_url = F.array(F.struct(
         F.col("url").alias("value"),
         F.when(F.col("url").contains("/company/"), "linkedin_company").otherwise("linkedin_individual").alias("type"),
-        F.lit(0.85).alias("confidence"), F.substring("_text", 1, 100).alias("context"),
+        F.lit(0.85).alias("confidence"), F.substring("_text", 1, context_chars).alias("context"),
         F.lit("google_search").alias("source")))
     linkedin = F.when(F.col("query_type") == "linkedin", F.when(F.col("url").contains("linkedin.com"), in_url).otherwise(
         _rescored(C.extract_linkedin(F.col("_text")), 0.7, "google_search")))
@@ -41,7 +41,7 @@ def serp_contacts(results: DataFrame) -> DataFrame:
                      .alias("c")).select("seq", "domain", "c.*")
 
 
-def enrich_profile(profiles: DataFrame, min_confidence: float = 0.6) -> dict[str, DataFrame]:
+def enrich_profile(profiles: DataFrame, min_confidence: float = 0.6, context_chars: int = 100) -> dict[str, DataFrame]:
     """Contacts of a profile's own text and links.
 
     ``profiles``: domain, description, notes (array), social (map), verification
@@ -58,7 +58,7 @@ def enrich_profile(profiles: DataFrame, min_confidence: float = 0.6) -> dict[str
     best = dedup_contacts(flat, ["domain"]).where(F.col("confidence") >= min_confidence)
     number = C.normalize_phone(F.col("value"))
     from_text = best.withColumn("value", number).where(C.is_valid_phone(F.col("value"))).select(
-        "domain", "type", "value", "confidence", "source", F.substring("context", 1, 100).alias("context"))
+        "domain", "type", "value", "confidence", "source", F.substring("context", 1, context_chars).alias("context"))
     links = profiles.select("domain", F.explode(F.map_entries("social")).alias("e")).where(
         F.trim(F.coalesce("e.value", F.lit(""))) != "")
     socials = links.select("domain", F.col("e.key").alias("platform"), F.col("e.value").alias("url"))
@@ -73,13 +73,13 @@ def enrich_profile(profiles: DataFrame, min_confidence: float = 0.6) -> dict[str
     return {"contacts": contacts, "socials": socials, "summary": summary}
 
 
-def site_contacts(pages: DataFrame, max_pages: int = 5) -> DataFrame:
-    """Contacts of at most ``max_pages`` landed pages per domain.
+def site_contacts(pages: DataFrame, max_pages: int | None = None) -> DataFrame:
+    """Contacts of the landed pages of each domain, of its first ``max_pages`` if given.
 
     ``pages``: domain, page_id, url, page_type, html; pages are taken in
     page_id order (the scrape plan's order).
     """
-    chosen = first_n_per_key(pages, ["domain"], ["page_id"], max_pages)
+    chosen = pages if max_pages is None else first_n_per_key(pages, ["domain"], ["page_id"], max_pages)
     text = H.scrape_text(F.col("html"))
     df = chosen.withColumn("_text", text)
     df = (df.withColumn("_phones", C.extract_phones(F.col("_text")))

@@ -34,13 +34,14 @@ def pattern_extractor(chunk: str) -> dict:
 
 
 def extract_profiles(pages: DataFrame, first: Column, extract: Extractor = pattern_extractor, order: str = "page_id",
-                     char_limit: int = 500_000, chunk_chars: int = 25_000) -> dict[str, DataFrame]:
+                     char_limit: int | None = None, chunk_chars: int = 25_000) -> dict[str, DataFrame]:
     """Budget, order, pack, extract and merge.
 
     ``pages``: domain, page id, url, title, content; ``first`` flags the pages
-    that go in front. The extractor sees one chunk text at a time.
+    that go in front. The extractor sees one chunk text at a time. All pages are
+    read unless a character budget per domain is given.
     """
-    kept = char_budget_prefix(pages, F.length("content"), order, char_limit)
+    kept = pages if char_limit is None else char_budget_prefix(pages, F.length("content"), order, char_limit)
     block = page_block(F.col("title"), F.col("url"), F.col("content"))
     packed = greedy_pack(kept, F.length(block), order, chunk_chars, rank=priority_rank(first, order))
     chunks = chunk_texts(packed, block)

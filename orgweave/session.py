@@ -10,6 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 # working tables of this process that release_work may delete
 _WORK: list[str] = []
 
+# partitions over which a test or bench session spreads text tables that come as one small file; unset on a cluster
+SPREAD = "spark.orgweave.spread"
+
 RUNTIME_SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -20,16 +23,9 @@ RUNTIME_SETTINGS = {
 
 
 def tune(spark: SparkSession) -> SparkSession:
-    """Apply the runtime settings; sizes and partition counts stay the cluster's.
-
-    Only a local session still on the default 200 shuffle partitions gets one
-    per core: each of them would be a state store of its own in a stream.
-    """
+    """Apply the runtime settings; sizes and partition counts stay the cluster's."""
     for key, value in RUNTIME_SETTINGS.items():
         spark.conf.set(key, value)
-    local = spark.sparkContext.master.startswith("local")
-    if local and spark.conf.get("spark.sql.shuffle.partitions") == "200":
-        spark.conf.set("spark.sql.shuffle.partitions", str(spark.sparkContext.defaultParallelism))
     return spark
 
 
@@ -39,6 +35,7 @@ def local_session(cores: str = "8", app: str = "orgweave", memory: str = "12g")
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", "8")
+        .config(SPREAD, cores)
         .config("spark.driver.memory", memory)
         .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
         .config("spark.ui.enabled", "false")

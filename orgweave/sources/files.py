@@ -15,7 +15,7 @@ from orgweave.partitioning import first_n_per_key
 LOG_TIME = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
 
 
-def scan_pages(pages: DataFrame, domain: str, limit: int = 1000, order: str = "page_id") -> DataFrame:
+def scan_pages(pages: DataFrame, domain: str, limit: int, order: str = "page_id") -> DataFrame:
     """Pages of one domain in page order, at most ``limit``."""
     return paginate(pages.where(F.col("domain") == domain), [order], limit=limit)
 
@@ -88,7 +88,7 @@ def serp_results(payloads: DataFrame) -> DataFrame:
 EXPORT_COLUMNS = ["sent_at", "domain", "recipient", "subject_line", "campaign_id", "status", "message_id"]
 
 
-def recent_sends(sends: DataFrame, limit: int = 100, order: str = "seq") -> DataFrame:
+def recent_sends(sends: DataFrame, limit: int, order: str = "seq") -> DataFrame:
     """The last ``limit`` log rows with the display columns, in log order."""
     last = sends.orderBy(F.col(order).desc()).limit(limit)
     return last.orderBy(order).select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in EXPORT_COLUMNS])

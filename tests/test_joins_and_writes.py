@@ -90,7 +90,8 @@ def test_contact_plan_and_cards(spark):
     d = spark.createDataFrame([("a.com",)], "domain string")
     assert [r["url"] for r in filters.contact_page_plan(d).orderBy("position").collect()] == [
         "https://a.com", "https://a.com/contact", "https://a.com/kontakt", "https://a.com/contacto"]
-    assert filters.contact_page_plan(d, "aggressive").count() == 5
+    assert filters.contact_page_plan(d, "aggressive").count() == 7
+    assert filters.contact_page_plan(d, "aggressive", 5).count() == 5
 
 
 def test_topk_is_a_prefix_of_the_full_sort(spark):

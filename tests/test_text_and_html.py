@@ -67,7 +67,7 @@ def test_list_lines(value):
 def test_question_block(value):
     text = "Answer.\n\nSuggested Follow-up Questions:\n1. What is next?\n- no question\n• Why that one?\n* Who?\n* Third one here?"
     assert value(T.answer_part(L(text))) == "Answer."
-    assert value(T.question_lines(L(text))) == ["What is next?", "Why that one?", "Third one here?"]
+    assert value(T.question_lines(L(text), 3)) == ["What is next?", "Why that one?", "Third one here?"]
     assert value(T.question_lines(L("plain"))) == []
 
 

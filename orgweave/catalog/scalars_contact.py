@@ -10,7 +10,23 @@ from orgweave.operators import contacts as ops
 from orgweave.operators import writes
 
 
-@query("f27_extract_phones")
+PHONE_PAT_SQL = ", ".join(f"({i}, '(?i){p}')" for i, p in enumerate(C.PHONE_PATTERNS))
+WS_SQL = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+PHONES_SQL = rf"""pats(p, pat) as (values {PHONE_PAT_SQL}),
+m as (select doc_id, text, p, regexp_extract_all(text, pat) as hits, string_split_regex(text, pat) as gaps from documents, pats),
+o as (select *, hits[i] as hit, (list_sum(list_transform(gaps[1:i], lambda x: length(x)))
+  + coalesce(list_sum(list_transform(hits[1:i - 1], lambda x: length(x))), 0))::bigint as pos
+  from (select *, unnest(range(1, len(hits) + 1)) as i from m)),
+c as (select doc_id, p, i, trim(replace(hit, 'tel:', ''), {WS_SQL}) as value, trim(substring(text, greatest(pos - 50, 0) + 1,
+  pos - greatest(pos - 50, 0) + length(hit) + 50), {WS_SQL}) as context from o),
+f as (select *, row_number() over (partition by doc_id, value order by p, i) as n from c
+  where length(regexp_replace(value, '[^0-9]', '', 'g')) >= 7)"""
+
+
+@query("f27_extract_phones", rf"""with {PHONES_SQL} select doc_id, value, 'phone' as type,
+  case when regexp_matches(lower(context), 'phone|tel|call|contact') then 0.9::double
+    when regexp_matches(lower(context), 'fax|mobile|office') then 0.8 else 0.5 end as confidence, context, 'text' as source
+  from f where n = 1""")
 def f27(spark, d):
     found = C.extract_phones(F.col("text"))
     return table(spark, d, "documents").select("doc_id", F.explode(found).alias("c")).select("doc_id", "c.*")
@@ -209,7 +225,7 @@ def f37(spark, d):
 
 
 AVOID_SQL = "case " + " ".join(
-    f"when starts_with(e, '{n}@') then 'Email matches avoid pattern: ^{n}@'" for n in C.AVOID_NAMES) + " end"
+    f"when regexp_matches(e, '{p}') then 'Email matches avoid pattern: {p}'" for p in C.AVOID_PATTERNS) + " end"
 SYNTAX_SQL = rf"""case when email = '' then 'Empty or invalid email'
   when not regexp_matches(e, '^[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{{2,}}$') then 'Invalid email format'
   when {AVOID_SQL} is not null then {AVOID_SQL}

@@ -211,7 +211,9 @@ def stored_vectors(spark, d):
         .alias("domain"), F.when(F.col("label") < 7, "raw_pages").otherwise("companies").alias("collection_name"),
         F.concat(F.lit("text of "), F.col("vec_id")).alias("content"),
         F.when(F.col("label") > 2, F.concat(F.lit("https://x/"), F.col("vec_id"))).alias("url"),
-        F.create_map(F.lit("brand"), F.concat(F.lit("b"), F.col("label"))).alias("metadata"), "embedding")
+        F.create_map(
+            F.lit("brand"), F.concat(F.lit("b"), F.col("label")), F.lit("company"), F.concat(F.lit("c"), F.col("label") % 4))
+        .alias("metadata"), "embedding")
 
 
 STORED = """sv as (select printf('chunk_%06d', vec_id) as chunk_id, 'site' || label || '.com' as domain, case when label < 7
@@ -231,12 +233,15 @@ def u12(spark, d):
                        F.round("distance", 6).alias("distance"))
 
 
-@query("u13_competitors", f"""with {STORED}, t as (select * from sc where s >= 0.0 order by s desc, chunk_id limit 15)
-select domain, round(max(s), 6) as similarity, round(min(1.0::double - s), 6) as distance from t where domain <> 'site3.com'
-group by domain""")
+@query("u13_competitors", f"""with {STORED}, t as (select * from sc where s >= 0.0 and collection_name = 'companies'
+  and domain <> 'site3.com' and domain <> 'site8.com' order by s desc, chunk_id limit 15)
+select domain, 'c' || (label % 4) as company, round(max(s), 6) as similarity, round(min(1.0::double - s), 6) as distance
+from t group by all""")
 def u13(spark, d):
-    hits = retrieval.competitors(stored_vectors(spark, d), query_vectors(spark, d, 4)[3], "site3.com", 15)
-    return hits.select("domain", F.round("similarity", 6).alias("similarity"), F.round("distance", 6).alias("distance"))
+    stored = stored_vectors(spark, d).where("domain <> 'site3.com'")
+    hits = retrieval.competitors(stored, query_vectors(spark, d, 4)[3], "site8.com", 15)
+    return hits.select("domain", "company", F.round("similarity", 6).alias("similarity"),
+                       F.round("distance", 6).alias("distance"))
 
 
 @query("u14_context_block", f"""with {STORED}, t as (select *, row_number() over (order by s desc, chunk_id) as n from sc

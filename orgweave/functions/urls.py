@@ -202,16 +202,17 @@ def plain_patterns(domain: Column) -> Column:
                    F.concat(base, F.lit("/")), F.concat(www, F.lit("/")))
 
 
+# How a redirect link spells a domain.
+ENCODED_PATTERNS = [
+    "http%3a%2f%2f{0}", "https%3a%2f%2f{0}", "http%3a%2f%2fwww.{0}", "https%3a%2f%2fwww.{0}",
+    "http%3A%2F%2F{0}", "https%3A%2F%2F{0}", "http%3A%2F%2Fwww.{0}", "https%3A%2F%2Fwww.{0}",
+    "%2f%2f{0}", "%2f%2fwww.{0}", "%2F%2F{0}", "%2F%2Fwww.{0}",
+]
+
+
 def encoded_patterns(domain: Column) -> Column:
     base = F.replace(F.lower(domain), F.lit("www."), F.lit(""))
-    www = F.concat(F.lit("www."), base)
-    out = []
-    for colon, slash in (("%3a", "%2f"), ("%3A", "%2F")):
-        for target in (base, www):
-            for scheme in ("http", "https"):
-                out.append(F.concat(F.lit(f"{scheme}{colon}{slash}{slash}"), target))
-            out.append(F.concat(F.lit(f"{slash}{slash}"), target))
-    return F.array(*out)
+    return F.transform(F.array(*[F.lit(p) for p in ENCODED_PATTERNS]), lambda p: F.replace(p, F.lit("{0}"), base))
 
 
 def subdomain_patterns(domain: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,43 +28,55 @@ def blank_tokens(text: str) -> list[str]:
     return re.findall(r"\s*\S+", text)
 
 
-def text_units(text: str, tokenize: Tokenizer, size: int) -> list[tuple[str, int]]:
-    """Sections (headers, else paragraphs), the oversize ones as sentences, with their token counts."""
-    sections = re.split(r"(?m)\n(?=[^\S\n]*#)", text)
-    if len(sections) == 1:
-        sections = [p.strip() for p in text.split("\n\n") if p.strip()]
-    units = []
-    for section in sections:
-        n = len(tokenize(section))
-        if n <= size:
-            units.append((section, n))
-        else:
-            units += [(s, len(tokenize(s))) for s in section.replace(". ", ".\n").split("\n")]
-    return units
+def sections_of(text: str) -> list[str]:
+    """Parts that begin with a header line; without headers, paragraphs."""
+    headed = re.split(r"(?m)\n(?=[^\S\n]*#)", text)
+    return headed if len(headed) > 1 else [p for p in map(str.strip, text.split("\n\n")) if p]
+
+
+def sentences_of(section: str) -> list[str]:
+    return re.split(r"(?<=\.) |\n", section)
+
+
+def units_of(text: str, tokenize: Tokenizer, size: int) -> tuple[list[str], np.ndarray]:
+    """The pieces that are never cut, sections or the sentences of oversize ones, and their token counts."""
+    sections = sections_of(text)
+    counts = [len(tokenize(s)) for s in sections]
+    pieces = [(s, n) if n <= size else (p, None) for s, n in zip(sections, counts)
+              for p in ([s] if n <= size else sentences_of(s))]
+    return [p for p, _ in pieces], np.array([len(tokenize(p)) if n is None else n for p, n in pieces], dtype=np.int64)
+
+
+def cut_points(counts: np.ndarray, size: int, overlap: int) -> list[tuple[int, int, int]]:
+    """(first unit, end, tokens carried over) of each chunk, by search in the running totals."""
+    total = np.concatenate([[0], np.cumsum(counts)])
+    cuts, start, carried = [], 0, 0
+    while start < len(counts):
+        fits = int(np.searchsorted(total, total[start] + size - carried, side="right")) - 1
+        end = max(start + 1, fits)
+        cuts.append((start, end, carried))
+        carried = min(overlap, carried + int(total[end] - total[start]))
+        start = end
+    return cuts
 
 
 def chunk_text(text: str | None, tokenize: Tokenizer = blank_tokens, size: int = CHUNK_TOKENS,
                overlap: int = OVERLAP_TOKENS, min_tokens: int = MIN_TOKENS) -> list[str]:
-    """Pack units up to ``size`` tokens; each new chunk starts with the last ``overlap`` tokens of the one before."""
+    """Chunks of up to ``size`` tokens; each but the first begins with the last ``overlap`` tokens of the one before.
+
+    Token counts are taken per unit and added up.
+    """
     if not text or not text.strip():
         return []
-    chunks: list[str] = []
-    open_units: list[str] = []
-    filled = 0
-    for unit, n in text_units(text, tokenize, size):
-        if open_units and filled + n > size:
-            done = "\n".join(open_units)
-            chunks.append(done)
-            tokens = tokenize(done) if overlap > 0 else []
-            tail = "".join(tokens[-overlap:]) if len(tokens) > overlap else "".join(tokens) and done
-            open_units = [tail, unit] if tail else [unit]
-            filled = len(tokenize("\n".join(open_units))) if tail else n
-        else:
-            open_units.append(unit)
-            filled += n
-    if open_units:
-        chunks.append("\n".join(open_units))
-    return [c for c in chunks if len(tokenize(c)) >= min_tokens]
+    units, counts = units_of(text, tokenize, size)
+    chunks, tokens = [], []
+    for start, end, carried in cut_points(counts, size, overlap):
+        lead = ["".join(tokens[-carried:])] if carried else []
+        chunk = "\n".join(lead + units[start:end])
+        tokens = tokenize(chunk)
+        if len(tokens) >= min_tokens:
+            chunks.append(chunk)
+    return chunks
 
 
 def semantic_chunks(text: Column, tokenize: Tokenizer = blank_tokens, size: int = CHUNK_TOKENS,

@@ -60,10 +60,14 @@ def retrieve(embeddings: DataFrame, query: Sequence[float], top_k: int = 5, coll
     return hits.withColumn("distance", 1.0 - F.col("similarity")).drop("query")
 
 
-def competitors(embeddings: DataFrame, query: Sequence[float], own_domain: str, top_k: int = 5) -> DataFrame:
-    """Domains of the nearest company chunks without the own one, best chunk each; both scores are named."""
-    hits = retrieve(embeddings, query, top_k).where(F.col("domain") != own_domain)
-    return hits.groupBy("domain").agg(F.max("similarity").alias("similarity"), F.min("distance").alias("distance"))
+def competitors(embeddings: DataFrame, query: Sequence[float], own_domain: str, top_k: int = 5,
+                collection: str = "companies") -> DataFrame:
+    """The ``top_k`` nearest company chunks of other domains: domain, company, best similarity and distance."""
+    others = embeddings.where(F.col("domain") != own_domain)
+    hits = retrieve(others, query, top_k, [collection])
+    best = F.struct("similarity", F.col("metadata")["company"].alias("company"))
+    return hits.groupBy("domain").agg(F.max(best).alias("b"), F.min("distance").alias("distance")).select(
+        "domain", "b.company", "b.similarity", "distance")
 
 
 def context_block(hits: DataFrame, numbered: bool = True) -> DataFrame:

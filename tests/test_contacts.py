@@ -7,34 +7,37 @@ from orgweave.operators import contacts as ops
 L = F.lit
 
 
-def test_find_phones_scores_by_context():
+def test_phones_are_scored_by_context(value):
     text = "Call us: +48 601 000 000. " + "x" * 60 + " our fax (555) 010-0199 " + "y" * 60 + " 5550100200 tel:12"
-    found = C.find_phones(text)
+    found = value(C.extract_phones(L(text)))
     assert [(f["value"], f["confidence"]) for f in found][:3] == [
         ("+48 601 000 000", 0.9), ("(555) 010-0199", 0.8), ("5550100200", 0.9)]
-    assert C.find_phones("only 123456") == []
+    assert found[0]["context"] == text[:74].strip()
+    for f in found:
+        at = text.index(f["value"])
+        assert text[max(0, at - 50):at + len(f["value"]) + 50].strip() == f["context"]
+    assert value(C.extract_phones(L("only 123456"))) == [] and value(C.extract_phones(L(None).cast("string"))) == []
 
 
-def test_find_phones_keeps_first_of_repeats():
-    assert len(C.find_phones("555-010-0199 and 555-010-0199")) == 1
+def test_phone_digits_of_any_script(value):
+    assert [f["value"] for f in value(C.extract_phones(L("tel \u0665\u0665\u0665-\u0660\u0661\u0660-\u0660\u0661\u0669\u0669")))] == [
+        "\u0665\u0665\u0665-\u0660\u0661\u0660-\u0660\u0661\u0669\u0669"]
 
 
-def test_find_whatsapp():
-    found = C.find_whatsapp("wa.me/48601000000 or chat.whatsapp.com/abc, whatsapp +1 555 010 0199",
-                            "<a href='https://api.whatsapp.com/send?phone=4915'>")
+def test_first_of_repeated_phones_stays(value):
+    found = value(C.extract_phones(L("a 555-010-0199 and b 555-010-0199"), 2))
+    assert [(f["value"], f["context"]) for f in found] == [("555-010-0199", "a 555-010-0199 a")]
+
+
+def test_whatsapp(value):
+    found = value(C.extract_whatsapp(L("wa.me/48601000000 or chat.whatsapp.com/abc, whatsapp +1 555 010 0199"),
+                                     L("<a href='https://api.whatsapp.com/send?phone=4915'>")))
     rows = [(f["value"], f["confidence"], f["source"]) for f in found]
     assert rows[:3] == [("48601000000", 0.95, "text"), ("chat.whatsapp.com/abc", 0.8, "text"), ("4915", 0.95, "html")]
     assert ("+1 555 010 0199", 0.85, "keyword_match") in rows[3:]
-    assert {r[2] for r in rows[3:]} == {"keyword_match"}
-
-
-def test_extract_columns_match_the_helpers(spark):
-    texts = ["", "no digits", "Call +48 601 000 000 now", "a whatsapp 5550100199 b", None]
-    df = spark.createDataFrame([(t,) for t in texts], "t string").select(
-        "t", C.extract_phones(F.col("t")).alias("p"), C.extract_whatsapp(F.col("t")).alias("w"))
-    for row in df.collect():
-        assert [c.asDict() for c in row["p"]] == C.find_phones(row["t"] or "")
-        assert [c.asDict() for c in row["w"]] == C.find_whatsapp(row["t"] or "")
+    assert {r[2] for r in rows[3:]} == {"keyword_match"} and found[0]["context"].startswith("wa.me/48601000000 or")
+    assert value(C.extract_whatsapp(L("a whatsapp 5550100199 b")))[0]["value"] == "5550100199"
+    assert value(C.extract_whatsapp(L(None).cast("string"))) == [] and value(C.extract_whatsapp(L(""))) == []
 
 
 def test_linkedin_and_social(value):

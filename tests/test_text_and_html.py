@@ -136,11 +136,14 @@ def test_rule_flags(value):
     assert value(H.rule_no(L("nothing here"))) is True and value(H.rule_no(L("a STORE"))) is False
 
 
-def test_mail_html():
-    out = H.mail_html("**Hook:** drop me\nHi Jo,\n\nsee **this** at www.a.com\nnow\n\n* one <b>\n- two")
+def test_mail_html(value):
+    out = value(H.text_to_html(L("**Hook:** drop me\nHi Jo,\n\nsee **this** at www.a.com\nnow\n\n* one <b>\n- two")))
     assert out == ('<p>Hi Jo,</p><p>see <strong>this</strong> at <a href="http://www.a.com">www.a.com</a><br>now</p>'
                    "<ul><li>one &lt;b&gt;</li><li>two</li></ul>")
-    assert H.mail_html("   ") == ""
+    assert value(H.text_to_html(L("   "))) == "" and value(H.text_to_html(L(None).cast("string"))) is None
+    assert value(H.text_to_html(L("mail a@b.example {x\ny} it's https://c.de/?q=1"))) == (
+        '<p>mail <a href="mailto:a@b.example">a@b.example</a>  it&#x27;s '
+        '<a href="https://c.de/?q=1">https://c.de/?q=1</a></p>')
 
 
 @pytest.mark.parametrize("a,b,score", [

@@ -154,17 +154,16 @@ def w16(spark, d):
 
 
 @query("w17_engine_fallback", """with r as (select event_id, user_id as query, event_type as engine, case event_type when 'error'
-  then 0 when 'signup' then 1 when 'click' then 2 end as rk from events where value > 60)
+  then 0 when 'signup' then 1 when 'click' then 2 end as rk from events)
 select event_id, query, engine from (select *, min(rk) over (partition by query) as best from r where rk is not null)
 where rk = best""")
 def w17(spark, d):
-    r = table(spark, d, "events").where("value > 60").select("event_id", F.col("user_id").alias("query"),
-                                                             F.col("event_type").alias("engine"))
+    r = table(spark, d, "events").select("event_id", F.col("user_id").alias("query"), F.col("event_type").alias("engine"))
     return folds.engine_fallback(r, ["error", "signup", "click"])
 
 
 @query("a15_merge_profiles", """with p as (select source as domain, doc_id as seq, case when n_chars > 400 then lang || n_chars
-    else '' end as company, lang || ':' || substr(text, 1, 40) as description, [lang, substr(text, 1, 2)] as notes,
+    else '' end as company, lang || ':' || text as description, [lang, substr(md5(text), 1, 1)] as notes,
     [lang || '@x.com', ''] as email, case when n_chars > 1000 then '/contact' || doc_id else '' end as contact_page,
     case when n_chars > 700 then 'https://x.com/' || doc_id else '' end as twitter from documents),
 nt as (select domain, note, min(seq * 10 + i) as o from (select domain, seq, unnest(notes) as note,
@@ -182,8 +181,8 @@ def a15(spark, d):
     chunks = table(spark, d, "documents").select(
         F.col("source").alias("domain"), F.col("doc_id").alias("seq"),
         F.when(n > 400, F.concat(lang, n)).otherwise("").alias("company"),
-        F.concat(lang, F.lit(":"), F.substring("text", 1, 40)).alias("description"),
-        F.array(lang, F.substring("text", 1, 2)).alias("notes"),
+        F.concat(lang, F.lit(":"), "text").alias("description"),
+        F.array(lang, F.substring(F.md5("text"), 1, 1)).alias("notes"),
         F.struct(F.array(F.concat(lang, F.lit("@x.com")), F.lit("")).alias("email"),
                  F.array().cast("array<string>").alias("phone"), F.array().cast("array<string>").alias("address"),
                  F.when(n > 1000, F.concat(F.lit("/contact"), "doc_id")).otherwise("").alias("contact_page"))

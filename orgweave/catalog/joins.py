@@ -148,14 +148,14 @@ def j12(spark, d):
 @query("j14_ttl_asof_lookup", """with c as (select user_id, ts, event_id, value from events where event_type = 'click'),
 r as (select event_id as request_id, user_id, ts from events where event_type = 'view'),
 m as (select r.*, (select max(c.ts) from c where c.user_id = r.user_id and c.ts <= r.ts) as cached from r)
-select request_id, user_id, epoch_us(ts) as at_us, case when cached >= ts - interval 48 hour then epoch_us(cached) end
-  as cached_us, case when cached >= ts - interval 48 hour then (select max(c.value) from c where c.user_id = m.user_id
+select request_id, user_id, epoch_us(ts) as at_us, case when cached >= ts - interval 168 hour then epoch_us(cached) end
+  as cached_us, case when cached >= ts - interval 168 hour then (select max(c.value) from c where c.user_id = m.user_id
   and c.ts = cached) end as value from m""")
 def j14(spark, d):
     ev = table(spark, d, "events")
     cache = ev.where("event_type = 'click'").select("user_id", F.col("ts").alias("verified_at"), "value")
     asks = ev.where("event_type = 'view'").select(F.col("event_id").alias("request_id"), "user_id", F.col("ts").alias("at"))
-    return ops.ttl_lookup(asks, cache, "user_id", "at", "verified_at", ["value"], ttl_hours=48).select(
+    return ops.ttl_lookup(asks, cache, "user_id", "at", "verified_at", ["value"]).select(
         "request_id", "user_id", F.unix_micros("at").alias("at_us"), F.unix_micros("cached_at").alias("cached_us"), "value")
 
 
@@ -184,13 +184,13 @@ def j17(spark, d):
     return ops.verify_backlinks(own.unionByName(moved).unionByName(stranger)).select("page_id", "kind", "verified")
 
 
-@query("j18_team_fanout", """select e.event_id, m.user_id as recipient from (select event_id, event_type from events
-  where value > 150) e join (select distinct user_id, event_type from events where value > 100) m
-  on m.event_type = e.event_type""")
+@query("j18_team_fanout", """select e.event_id, m.user_id as recipient from events e
+  join (select distinct user_id from events) m on m.user_id // 3 = e.user_id // 3""")
 def j18(spark, d):
     ev = table(spark, d, "events")
-    members = ev.where("value > 100").select("user_id", F.col("event_type").alias("team_id")).distinct()
-    messages = ev.where("value > 150").select("event_id", F.col("event_type").alias("team_id"))
+    team = F.call_function("div", F.col("user_id"), F.lit(3)).alias("team_id")  # users work in threes
+    members = ev.select("user_id", team).distinct()
+    messages = ev.select("event_id", team)
     return ops.team_fanout(messages, members).drop("team_id")
 
 

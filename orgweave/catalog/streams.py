@@ -178,17 +178,17 @@ def t8(spark, d):
 @query("t9_recent_contact_guard", f"""with {st.SENDS}, p as (select message_id, domain, sent_at from sends where status =
   'queued'), h as (select domain, sent_at from sends where status = 'sent')
 select message_id, domain, exists (select 1 from h where h.domain = p.domain and h.sent_at < p.sent_at
-  and h.sent_at >= p.sent_at - interval 1 day) as suppressed from p""")
+  and h.sent_at >= p.sent_at - interval 30 day) as suppressed from p""")
 def t9(spark, d):
     sends = st.sends(spark, d)
-    return S.recent_contact_guard(sends.where("status = 'queued'"), sends.where("status = 'sent'"), days=1).select(
+    return S.recent_contact_guard(sends.where("status = 'queued'"), sends.where("status = 'sent'")).select(
         "message_id", "domain", "suppressed")
 
 
 @query("t9_recent_contact_guard_stream", f"""with {st.SENDS}, p as (select message_id, domain, sent_at from sends where
   status = 'queued'), h as (select domain, sent_at from sends where status = 'sent')
 select distinct message_id, domain from p where exists (select 1 from h where h.domain = p.domain and h.sent_at < p.sent_at
-  and h.sent_at >= p.sent_at - interval 1 day)""")
+  and h.sent_at >= p.sent_at - interval 30 day)""")
 def t9_stream(spark, d):
     def sends(ev):
         kind = F.col("event_type")
@@ -197,7 +197,7 @@ def t9_stream(spark, d):
                          F.col("ts").alias("sent_at"))
     planned = sends(event_stream(spark, d)).where("status = 'queued'").drop("status")
     history = sends(event_stream(spark, d)).where("status = 'sent'").select("domain", "sent_at")
-    hits = run_rows(spark, S.suppressed_sends_stream(planned, history, days=1), "guard")
+    hits = run_rows(spark, S.suppressed_sends_stream(planned, history), "guard")
     return hits.select("message_id", "domain").distinct()
 
 

@@ -12,7 +12,8 @@ from orgweave.operators import writes as ops
 def k1(spark, d):
     ev = table(spark, d, "events").select("user_id", "event_type", "event_id", "value")
     base, changes = ev.where("event_type <> 'click' or value < 20"), ev.where("event_type = 'click' and value >= 20")
-    return ops.upsert_latest(base, changes, ["user_id", "event_type"], "event_id")
+    stored = ops.upsert_latest(base, None, ["user_id", "event_type"], "event_id")
+    return ops.upsert_latest(stored, changes, ["user_id", "event_type"], "event_id")
 
 
 @query("k2_insert_if_absent", """with b as (select user_id, min(event_id) as event_id from events where event_type = 'view'

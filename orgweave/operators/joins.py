@@ -109,20 +109,21 @@ def ttl_lookup(requests: DataFrame, cache: DataFrame, key: str, at: str, cached_
                ttl_hours: int = 168, request_id: str = "request_id") -> DataFrame:
     """Latest cached row at or before each request; null when there is none or it is older than the TTL.
 
-    Both sides are laid on one time line per key and the newest cached row is
-    carried forward second by second, so a busy key or hour is spread.
+    Both sides are laid on one time line per key, one entry per point in time,
+    and the newest cached row is carried forward second by second: a busy key
+    or hour is spread, and rows stamped alike are one entry.
     """
     hit = F.struct(F.col(cached_at).alias("cached_at"), *[F.col(c).alias(c) for c in payload])
-    entries = cache.select(key, F.col(cached_at).alias("_at"), F.lit(0).alias("_side"), hit.alias("_hit"),
-                           F.lit(None).cast(requests.schema[request_id].dataType).alias(request_id))
-    asks = requests.select(key, F.col(at).alias("_at"), F.lit(1).alias("_side"),
-                           F.lit(None).cast(entries.schema["_hit"].dataType).alias("_hit"), request_id)
-    line = running(entries.unionByName(asks), [key], ["_at", "_side"], {"_best": ("max", F.col("_hit"))},
-                   bucket=F.unix_timestamp("_at"))
+    entries = cache.select(key, F.col(cached_at).alias("_at"), hit.alias("_hit"))
+    asks = requests.select(key, F.col(at).alias("_at"), F.lit(None).cast(entries.schema["_hit"].dataType).alias("_hit"))
+    points = entries.unionByName(asks).groupBy(key, "_at").agg(F.max("_hit").alias("_hit"))
+    line = running(points, [key], ["_at"], {"_best": ("max", F.col("_hit"))}, bucket=F.unix_timestamp("_at")).select(
+        F.col(key).alias("_key"), F.col("_at").alias("_when"), "_best")
+    found = requests.select(request_id, key, F.col(at).alias("_at")).join(
+        line, F.col(key).eqNullSafe(F.col("_key")) & F.col("_at").eqNullSafe(F.col("_when")))
     fresh = F.unix_micros("_best.cached_at") >= F.unix_micros("_at") - F.lit(ttl_hours * 3600 * 1_000_000)
-    return line.where("_side = 1").select(
-        request_id, key, F.col("_at").alias(at),
-        *[F.when(fresh, F.col(f"_best.{c}")).alias(c) for c in ("cached_at", *payload)])
+    return found.select(request_id, key, F.col("_at").alias(at),
+                        *[F.when(fresh, F.col(f"_best.{c}")).alias(c) for c in ("cached_at", *payload)])
 
 
 def history_with_counts(queries: DataFrame, found: DataFrame, limit: int) -> DataFrame:

@@ -7,6 +7,8 @@ to be written next to the old one or over a partition.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,11 +17,23 @@ from orgweave.partitioning import first_n_per_key
 
 
 def upsert_latest(base: DataFrame, changes: DataFrame | None, keys: Sequence[str], order: str) -> DataFrame:
-    """Latest row per key of both tables by ``order``; changes win ties."""
+    """Latest row per key of both tables by ``order``; changes win ties.
+
+    ``base`` has one row per key (without ``changes`` it is reduced to that). The
+    changes are cut to one row per key first, so the base is only joined: Spark
+    broadcasts a small change set, and the base is neither sorted nor moved.
+    """
     if changes is None:
         return first_n_per_key(base, keys, [F.col(order).desc()])
-    tagged = base.withColumn("_new", F.lit(0)).unionByName(changes.withColumn("_new", F.lit(1)))
-    return first_n_per_key(tagged, keys, [F.col(order).desc(), F.col("_new").desc()]).drop("_new")
+    latest = first_n_per_key(changes, keys, [F.col(order).desc()])
+    newer = latest.select(*[F.col(k).alias(f"_c_{k}") for k in keys], F.col(order).alias("_c_at"))
+    older = base.select(*[F.col(k).alias(f"_b_{k}") for k in keys], F.col(order).alias("_b_at"))
+    # a missing order value is older than any other
+    loses = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_c_{k}")) for k in keys]) & (
+        F.col(order).isNull() | F.coalesce(F.col("_c_at") >= F.col(order), F.lit(False)))
+    beats = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_b_{k}")) for k in keys]) & F.col("_b_at").isNotNull() & ~F.coalesce(
+        F.col(order) >= F.col("_b_at"), F.lit(False))
+    return base.join(newer, loses, "left_anti").unionByName(latest.join(older, beats, "left_anti"))
 
 
 def insert_if_absent(base: DataFrame, rows: DataFrame, keys: Sequence[str], order: str) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 BUCKET_ROWS = 65_536
+BUCKETS_TOGETHER = 1 << 24  # bucket totals that are carried over together: few, even where ids are sparse
 
 
 def as_columns(cols: Sequence[str | Column]) -> list[Column]:
@@ -54,13 +55,13 @@ def running(df: DataFrame, keys: Sequence[str], order: str | Sequence[str], valu
     output name to ``(kind, expression)`` with kind sum, max or min; the running
     value includes the current row. Rows are windowed per (keys, bucket); the
     bucket totals, one row per bucket, carry the running value across buckets.
-    Custom buckets may be many, so their totals are carried the same way,
-    ``width`` buckets at a time.
+    Buckets may be many (sparse ids fill one each), so their totals are carried
+    the same way, a bounded number of buckets at a time.
     """
     order = [order] if isinstance(order, str) else list(order)
     own = id_bucket(order[0], width) if bucket is None else bucket.cast("long")
-    depth = 1 if bucket is None else 2
-    return _running(df, list(keys), order, values, own, depth, width, Window.currentRow)
+    together = BUCKETS_TOGETHER if bucket is None else width
+    return _running(df, list(keys), order, values, own, 2, together, Window.currentRow)
 
 
 def _running(df: DataFrame, keys: list[str], order: list[str], values: dict[str, tuple[str, Column]], bucket: Column,

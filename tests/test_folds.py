@@ -141,3 +141,17 @@ def test_merge_profiles(spark):
              for f in ("notes", "email", "phone")}
     assert lists == {"notes": ["n1", "n2", "n3"], "email": ["a@x", "b@x"], "phone": ["1"]}
     assert rows_of(out["socials"]) == [("d", "twitter", "t2")]
+
+
+def test_running_over_sparse_ids_and_a_hot_key(spark):
+    rng = random.Random(31)
+    ids = rng.sample(range(-2 ** 61, 2 ** 61), 3000)
+    rows = [(i, "hot" if k % 3 == 0 else f"d{k % 50}", k % 7) for k, i in enumerate(ids)]
+    df = spark.createDataFrame(rows, "seq long, domain string, n int")
+    got = {r["seq"]: (r["total"], r["pos"]) for r in running(df, ["domain"], "seq", {
+        "total": ("sum", F.col("n")), "pos": ("sum", F.lit(1))}).collect()}
+    seen = {}
+    for i, d, n in sorted(rows):
+        total, pos = seen.get(d, (0, 0))
+        seen[d] = (total + n, pos + 1)
+        assert got[i] == seen[d]

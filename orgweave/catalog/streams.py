@@ -161,6 +161,56 @@ def t7(spark, d):
     return run_rows(spark, unique, "unique")
 
 
+DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def twice(spark, d, stream, name, path):
+    """Drain a stream over the first half of the documents, then restart it from its checkpoint over the rest."""
+    folder = work_path(spark, name)
+    docs = table(spark, d, "documents").select(F.col("doc_id"), "text", "lang", "source", F.col("n_chars").cast("long"))
+    for half in (0, 1):
+        docs.where(F.pmod("doc_id", F.lit(2)) == half).repartition(2).write.mode("append").parquet(folder)
+        S.drain(stream(S.read_events(spark, folder, DOCUMENTS, "*.parquet")), path, path + "-checkpoint")
+
+
+@query("t7_stream_page_dedup_restart", "select distinct source as domain, sha256(text) as content_hash from documents")
+def t7_restart(spark, d):
+    path = work_path(spark, "unique")
+    twice(spark, d, lambda docs: S.dedup_pages_stream(docs.select(
+        F.col("source").alias("domain"), F.col("text").alias("content"))).select("domain", "content_hash"), "halves", path)
+    return spark.read.parquet(path)
+
+
+@query("t7_stream_page_dedup_recent", "select distinct user_id as domain, sha256(props) as content_hash from events")
+def t7_recent(spark, d):
+    pages = event_stream(spark, d).select(F.col("user_id").alias("domain"), F.col("props").alias("content"), "ts")
+    return run_rows(spark, S.dedup_pages_recent(pages).select("domain", "content_hash"), "recent")
+
+
+@query("t4_stale_jobs_stream", f"""with {JOB_EVENTS}, ends as (select max(ts) - interval 10 minute as mark from events),
+j as (select id, min(ts) filter (where status = 'running') as started, bool_or(status in ('completed', 'failed')) as ended
+  from je group by id)
+select id, epoch_us(started) as started_us from j, ends where not ended and started + interval 24 hour <= mark""")
+def t4_stream(spark, d):
+    stale = run_rows(spark, S.stale_jobs_stream(job_events(event_stream(spark, d))), "stale")
+    return stale.select("id", F.unix_micros("started_at").alias("started_us"))
+
+
+@query("t8_incremental_embed_restart", """select source as domain, sha256(text) as content_hash, count(*) as n from (
+  select distinct source, text from documents) group by 1, 2""")
+def t8_restart(spark, d):
+    from orgweave.plans.incremental import embed_stream, read_stored
+    folder, path = work_path(spark, "halves"), work_path(spark, "embeddings")
+    docs = table(spark, d, "documents").select("doc_id", "text", "lang", "source", F.col("n_chars").cast("long"))
+    for half in (0, 1):
+        docs.where(F.pmod("doc_id", F.lit(2)) == half).repartition(2).write.mode("append").parquet(folder)
+        new = S.read_events(spark, folder, DOCUMENTS, "*.parquet").select(
+            F.concat_ws("-", "source", "doc_id").alias("chunk_id"), F.col("source").alias("domain"),
+            F.col("text").alias("content"), F.col("doc_id").alias("seq"))
+        embed_stream(new, path, path + "-checkpoint")
+    return read_stored(spark, path).groupBy("domain", "content_hash").agg(F.count("*").alias("n"))
+
+
 @query("t8_incremental_embed", """select chunk_id, sha256(text) as content_hash, 64 as dim from (select source || '-' || doc_id
   as chunk_id, text, source, row_number() over (partition by source, sha256(text) order by doc_id) as rn from documents)
 where rn = 1""")
@@ -198,7 +248,7 @@ def t9_stream(spark, d):
     planned = sends(event_stream(spark, d)).where("status = 'queued'").drop("status")
     history = sends(event_stream(spark, d)).where("status = 'sent'").select("domain", "sent_at")
     hits = run_rows(spark, S.suppressed_sends_stream(planned, history), "guard")
-    return hits.select("message_id", "domain").distinct()
+    return hits.select("message_id", "domain")
 
 
 RATES = """select epoch_us(date_trunc('hour', ts)) as hour_us, event_type, count(*) as n, count(*) > 3 as over_limit from events

@@ -11,7 +11,7 @@ from orgweave.plans.retrieval import Embedder, embed_batches, hashing_embedder
 from orgweave.streaming.events import drain
 
 STORED = ("chunk_id string, domain string, content string, seq long, content_hash string, embedding array<float>, "
-          "embedded_at timestamp, batch_id long")
+          "embedded_at timestamp, batch_id long, part string")
 
 
 def read_stored(spark: SparkSession, path: str) -> DataFrame:
@@ -22,16 +22,21 @@ def embed_stream(chunks: DataFrame, path: str, checkpoint: str, embed: Embedder
     """Per micro-batch: embed only unseen contents, append them, stamp embedded_at.
 
     ``chunks``: chunk_id, domain, content, seq. Each batch owns one folder, so
-    a batch that is run again after a failure replaces its own output.
+    a batch that is run again after a failure replaces its own output. Stored
+    contents lie in 256 parts by hash; a batch reads the hashes of its own parts.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         hashed = batch.withColumn("content_hash", F.sha2("content", 256))
-        fresh = first_n_per_key(hashed, ["domain", "content_hash"], ["seq"])
+        fresh = first_n_per_key(hashed, ["domain", "content_hash"], ["seq"]).withColumn(
+            "part", F.substring("content_hash", 1, 2))
         if batch_id > 0:
-            seen = read_stored(spark, path).where(F.col("batch_id") < batch_id).select("domain", "content_hash")
-            fresh = fresh.join(seen, ["domain", "content_hash"], "left_anti")
-        done = embed_batches(fresh, embed).withColumn("embedded_at", F.current_timestamp())
-        done.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+            parts = [r[0] for r in fresh.select("part").distinct().collect()]  # 256 at most
+            seen = read_stored(spark, path).where((F.col("batch_id") < batch_id) & F.col("part").isin(parts))
+            fresh = fresh.join(seen.select("part", "domain", "content_hash"), ["part", "domain", "content_hash"],
+                               "left_anti").select(*fresh.columns)
+        # one file per part and batch
+        done = embed_batches(fresh.repartition("part"), embed).withColumn("embedded_at", F.current_timestamp())
+        done.write.mode("overwrite").partitionBy("part").parquet(f"{path}/batch_id={batch_id}")
 
     return drain(chunks, path, checkpoint, each=write)

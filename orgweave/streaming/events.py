@@ -110,17 +110,16 @@ def recent_contact_guard(sends: DataFrame, history: DataFrame, days: int = 30) -
 
 
 def suppressed_sends_stream(planned: DataFrame, history: DataFrame, days: int = 30, watermark: str = WATERMARK) -> DataFrame:
-    """Stream form: planned sends joined with earlier sends of the domain within the interval.
+    """Stream form: planned sends with an earlier send of the domain within the interval, each once.
 
-    A planned send appears once per earlier send found; both sides keep state
-    only as long as the interval and the watermark need it.
+    Both sides keep state only as long as the interval and the watermark need it.
     """
     p = planned.withWatermark("sent_at", watermark)
     h = history.select(F.col("domain").alias("h_domain"), F.col("sent_at").alias("h_sent_at")).withWatermark(
         "h_sent_at", watermark)
     on = ((F.col("domain") == F.col("h_domain")) & (F.col("h_sent_at") < F.col("sent_at"))
           & (F.col("h_sent_at") >= F.col("sent_at") - F.expr(f"interval {days} days")))
-    return p.join(h, on, "inner").drop("h_domain")
+    return p.join(h, on, "left_semi")
 
 
 def job_state_stream(events: DataFrame) -> DataFrame:

@@ -45,7 +45,7 @@ HASHES = BANDS * ROWS
 STEP = 20
 TOLERANCE = 1e-9
 PART_ROWS = 256
-CACHED = 400_000
+CACHED = 100_000
 
 _SIGNED = "key long, n int, sig binary"
 _BLOCK = ["bucket", "i", "j"]
@@ -148,6 +148,7 @@ def sign(docs: DataFrame) -> DataFrame:
                 key = xxhash.xxh3_64_intdigest(b" ".join(words)) - 2 ** 63
                 out.append((key, len(s), signature(s) if len(s) else None))
             yield pd.DataFrame(out, columns=["key", "n", "sig"])
+        word_hashes().clear()  # an idle worker keeps no memo
 
     return stored(docs.select("doc_id", run("text").alias("s")).select("doc_id", "s.*"), "jaccard-signed")
 

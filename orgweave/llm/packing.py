@@ -101,6 +101,7 @@ def cut_pieces(docs: DataFrame, capacity: int, end_id: int, full: float, path: s
                         crc.append(zlib.crc32(own))
                         if keep_ids:
                             ids.append(own)
+        coder.rest()
         lengths = np.array(length, dtype=np.int64)
         where, at, fills = best_fit(lengths, capacity)
         names = _bin_ids(0, TaskContext.get().partitionId(), len(fills))

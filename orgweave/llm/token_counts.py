@@ -78,6 +78,7 @@ def write_token_files(docs: DataFrame, folder: str, end_id: int = END_ID, dtype:
                     ordinals.append(ordinal)
                     ordinal += 1
                 yield pd.DataFrame({"file": names, "ordinal": ordinals, "doc_id": ids.iloc[part].array})
+        coder.rest()
         if out:
             out.close()
 

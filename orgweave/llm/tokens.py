@@ -56,6 +56,12 @@ class ChunkEncoder:
                 self.known[c] = raw[4 * last:4 * cut]
                 last = cut + 1
 
+    def rest(self) -> None:
+        """Give the memo's memory back; an idle worker keeps the vocabulary only."""
+        import pyarrow
+        self.known = {"": b""}
+        pyarrow.default_memory_pool().release_unused()
+
     def encode(self, texts: Iterable[str | None]) -> list[bytes]:
         rows = [(t or "").replace("\n", " ").split(" ") for t in texts]
         if len(self.known) > CACHED:

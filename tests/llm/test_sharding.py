@@ -21,7 +21,7 @@ def test_sizes_are_near_equal_and_groups_stay(spark):
     rng = random.Random(5)
     rows = [(i, words(rng, rng.randrange(1, 60)), "en", "s", 1) for i in range(3000)]
     copy = words(rng, 30)
-    rows += [(5000 + i, copy, "en", "s", 1) for i in range(20)]
+    rows += [(5000 + i, copy, "en", "s", 1) for i in range(10)]
     docs = spark.createDataFrame(rows, DOCS)
     got = S.shard_by_bytes(docs, 24).collect()
     check(got, len(rows), 24)

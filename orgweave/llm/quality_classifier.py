@@ -143,9 +143,10 @@ def _sample(docs: DataFrame, labels: DataFrame, max_rows: int) -> tuple[np.ndarr
             yield pd.DataFrame({"positive": pdf["sure"], "free": pdf["free"],
                                 "x": [features(t).tolist() for t in pdf["text"]]})
 
+    # the texts are measured where they lie; only their counts come together, 3 * max_rows rows at most
     rows = chosen.select("text", F.coalesce("__llm_positive", F.lit(False)).alias("sure"),
-                         F.coalesce("__llm_free", F.lit(False)).alias("free")).limit(3 * max_rows).mapInPandas(
-        measure, "positive boolean, free boolean, x array<double>").toPandas()
+                         F.coalesce("__llm_free", F.lit(False)).alias("free")).mapInPandas(
+        measure, "positive boolean, free boolean, x array<double>").limit(3 * max_rows).toPandas()
     x = np.array(rows["x"].tolist()).reshape(-1, N_FEATURES)
     return x[rows["positive"].to_numpy(dtype=bool)], x[rows["free"].to_numpy(dtype=bool)]
 

@@ -49,9 +49,10 @@ def test_merging_partitions_comes_near_the_bound(spark):
     docs = spark.createDataFrame(rows, DOCS).repartition(12).cache()
     rows = P.pack(docs).collect()
     n, _ = check(rows, [(r.doc_id, r.text) for r in docs.collect()], 2048)
-    # large pieces leave room that nothing fills: compare with best fit over all pieces at once
+    # large pieces leave room that nothing fills: compare with best fit over all pieces at once;
+    # partitions of fifty documents are the hard case, as their bins merge only whole
     alone = len(P.best_fit(np.array([r.length for r in rows]), 2048)[2])
-    assert n <= 1.01 * alone + 1
+    assert n <= 1.03 * alone + 1
 
 
 def test_half_full_items_stay_whole(spark):

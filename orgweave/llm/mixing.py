@@ -1,22 +1,27 @@
 """Mixing sources to target weights by Pfair scheduling.
 
 Each source is cut into blocks of about ``block_bytes`` of its own stream (rows
-in the order of a hash of the id). With weight ``n / N`` a source owes ``n``
-blocks in every period of ``N`` slots; its block ``j`` is released at slot
-``floor(j N / n)`` and due before slot ``ceil((j + 1) N / n)``. Serving, at each slot, the
-released block with the earliest deadline keeps every source less than one block
-away from its target share at every slot.
-
-Such a schedule repeats after a period, so earliest-deadline-first is run over
-one period only and every block's slot follows by arithmetic. When a source has
-given its last block, a new phase begins: the others share the slots by their
-own weights, with new releases and deadlines. Every row is placed exactly once.
-
-What the driver sees is one row per source (name, weight, number of blocks;
-``MAX_SOURCES`` at most, more is an error) and plans of ``sources * period``
-slots; rows stay in the cluster. A source may hold any share of the rows: its
-prefix sums are taken per (source, hash bucket) and stitched with one total per
-bucket.
+in the order of a hash of the id). The target is a fluid that gives every source
+with blocks left its share of each slot by weight; when a source is through, the
+others share its part. Block ``j`` of a source is released in the slot in which
+the fluid begins it and due by the end of the slot in which the fluid completes
+it. With weights ``w``, ``W`` the sum over the sources not yet through and ``B``
+the blocks of those that are, that is ``floor(B + j W / w)`` and
+``ceil(B + (j + 1) W / w)``. Serving, at each slot, the released block with the
+earliest deadline meets every deadline (the fluid does, and blocks are of unit
+length), so every source is less than one block away from its target at every
+slot, and every row is placed exactly once.
+
+The weights are the given floats taken as exact fractions: releases and
+deadlines are integer arithmetic without rounding, for any number of sources and
+blocks. Such a schedule has no period, so the walk is over all blocks: one task
+holds two heaps with an entry per source and gives out one row per block. Rows
+stay where they are, and the driver sees nothing. A source may hold any share of
+the rows: its prefix sums are taken per (source, hash bucket) and stitched with
+one total per bucket, and each bucket gets the plan of its own blocks.
+
+``plan_phases`` is the repeating table for weights that are rounded to whole slots
+of a period; ``mix`` rounds to a period only if it is given one.
 
 Odd input: a null source is a source of its own; a null or empty text has
 ``overhead`` bytes like any other row; null ids and repeated rows are placed
@@ -27,19 +32,27 @@ rows; input columns named like a result are replaced.
 from __future__ import annotations
 
 import heapq
+import math
+from bisect import bisect_right
+from collections.abc import Iterator
 from dataclasses import dataclass
+from fractions import Fraction
+from itertools import islice
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from orgweave.llm.common import without
+from orgweave.session import stored
 
 BLOCK_BYTES = 65_536
 PERIOD = 1000
 BUCKETS = 4096
-MAX_SOURCES = 1000
+WALK_ROWS = 10_000
 RESULTS = ["block", "phase", "release", "deadline", "slot", "place"]
+WALK = "s string, block long, phase int, release long, deadline long, slot long"
 
 
 def weights_to_slots(weights: list[float], period: int) -> list[int]:
@@ -109,6 +122,49 @@ def plan_phases(weights: dict[str, float], blocks: dict[str, int], period: int)
     return Plan(phases, slots)
 
 
+def exact_weights(weights: list[float]) -> list[int]:
+    """Whole numbers in exactly the ratios of the given floats."""
+    parts = [Fraction(w) for w in weights]
+    scale = math.lcm(*[x.denominator for x in parts])
+    return [int(x * scale) for x in parts]
+
+
+def walk(weights: dict[str, float], blocks: dict[str, int]) -> Iterator[tuple[str, int, int, int, int, int]]:
+    """(source, block, phase, release, deadline, slot) of every block, by slot; a phase ends when the fluid ends a source."""
+    names = sorted(s for s, b in blocks.items() if b)
+    if not names:
+        return
+    w, b = exact_weights([weights[s] for s in names]), [blocks[s] for s in names]
+    ends = sorted((Fraction(n, x), i) for i, (n, x) in enumerate(zip(b, w)))
+    keys = [float(v) for v, _ in ends]
+    active, given = [sum(w)], [0]  # in each phase: weight of the sources not yet through, blocks of the others
+    for _, i in ends:
+        active.append(active[-1] - w[i])
+        given.append(given[-1] + b[i])
+
+    def fluid(i: int, j: int) -> tuple[int, int, int]:
+        """(phase, slot, rest) at which the fluid has given ``j`` blocks of source ``i``; no rest at a whole slot."""
+        phase = bisect_right(keys, j / w[i])
+        while phase and ends[phase - 1][0] * w[i] > j:  # floats of close ends may be equal
+            phase -= 1
+        slot, rest = divmod(j * active[phase], w[i])
+        return phase, given[phase] + slot, rest
+
+    waiting = [(0, i, 0, 0) for i in range(len(names))]  # (release, source, block, phase)
+    ready: list[tuple[int, int, int, int, int, tuple[int, int, int]]] = []
+    for t in range(given[-1]):
+        while waiting and waiting[0][0] <= t:
+            release, i, j, phase = heapq.heappop(waiting)
+            end = fluid(i, j + 1)
+            heapq.heappush(ready, (end[1] + (end[2] > 0), i, j, phase, release, end))
+        deadline, i, j, phase, release, end = heapq.heappop(ready)
+        if t >= deadline:
+            raise AssertionError("a deadline is missed")
+        yield names[i], j, phase, release, deadline, t
+        if j + 1 < b[i]:
+            heapq.heappush(waiting, (end[1], i, j + 1, end[0]))
+
+
 def tempered_weights(sizes: dict[str, int], power: float = 0.7) -> dict[str, float]:
     """Target weights that lift small sources: size to a power below 1."""
     return {s: max(n, 1) ** power for s, n in sizes.items()}
@@ -123,15 +179,49 @@ def _prefix(keys: list[str], order: list[str], value: str) -> Column:
     return F.coalesce(F.sum(value).over(before), F.lit(0).cast("long"))
 
 
+def _check(totals: DataFrame, given: dict[str, float] | None, other: float) -> None:
+    """An error if a source of the table has a weight that is no positive number."""
+    if given is None:
+        return
+    fit = lambda w: 0 < w < math.inf
+    name = F.col("__llm_source")
+    bad = name.isin([s for s, w in given.items() if not fit(w)])
+    if not fit(other):
+        bad = bad | ~name.isin(list(given))
+    elif all(fit(w) for w in given.values()):
+        return
+    if totals.where(bad).take(1):
+        raise ValueError("weights are above 0; leave a source out of the table instead")
+
+
+def _plan(totals: DataFrame, given: dict[str, float] | None, other: float, block_bytes: int,
+          period: int | None) -> DataFrame:
+    """One row per block of every source; what goes to the task of the walk is one row per source."""
+
+    def plan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sizes = {s: int(n) for pdf in batches for s, n in zip(pdf["__llm_source"], pdf["n"])}
+        wanted = tempered_weights(sizes) if given is None else {s: given.get(s, other) for s in sizes}
+        if period and wanted:
+            names = sorted(wanted)
+            wanted = dict(zip(names, weights_to_slots([wanted[s] for s in names], max(period, len(names)))))
+        steps = walk(wanted, {s: -(-n // block_bytes) for s, n in sizes.items()})
+        columns = [c.split()[0] for c in WALK.split(", ")]
+        while part := list(islice(steps, WALK_ROWS)):
+            yield pd.DataFrame(part, columns=columns)
+
+    sizes = totals.groupBy("__llm_source").agg(F.sum("__llm_bytes").alias("n"))
+    return sizes.coalesce(1).mapInPandas(plan, WALK)
+
+
 def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, other: float = 1.0, source: str = "source",
-        id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, period: int = PERIOD,
+        id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, period: int | None = None,
         overhead: int = 8) -> DataFrame:
     """Add block, phase, release, deadline, slot and place (within the slot) to every row.
 
     The mixed stream is the rows by (slot, place). Without ``weights`` the target
-    is each source's share of the bytes to the power 0.7.
+    is each source's share of the bytes to the power 0.7. With a ``period`` the
+    target is rounded to whole slots of it first.
     """
-    spark = docs.sparkSession
     names = without(docs, RESULTS).columns
     size = F.octet_length(F.coalesce(F.col(text_col), F.lit(""))).cast("long") + overhead
     rows = without(docs, RESULTS).withColumns({
@@ -139,41 +229,25 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, other:
     rows = rows.withColumn("__llm_bucket", F.shiftrightunsigned("__llm_hash", 52).cast("int"))
     key = ["__llm_source", "__llm_bucket"]
     totals = rows.groupBy(*key).agg(F.sum("__llm_size").alias("__llm_bytes"))
-    sizes = {r[0]: r[1] for r in totals.groupBy("__llm_source").agg(F.sum("__llm_bytes")).take(MAX_SOURCES + 1)}
-    if len(sizes) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources: group them before mixing")
-    if weights is None:
-        wanted = tempered_weights(sizes)
-    else:
-        given = {"none" if s is None else f"={s}": float(w) for s, w in weights.items()}
-        wanted = {s: given.get(s, other) for s in sizes}
-        if any(w <= 0 for w in wanted.values()):
-            raise ValueError("weights are above 0; leave a source out of the table instead")
-    plan = plan_phases(wanted, {s: -(-n // block_bytes) for s, n in sizes.items()}, period)
-    phases = spark.createDataFrame(
-        plan.phases or [], "s string, phase int, first long, n_blocks long, slot0 long, n long, n_slots long")
-    # per source one array of phases: as many as there are sources at most
-    phases = phases.groupBy("s").agg(F.array_sort(F.collect_list(F.struct(
-        "first", "phase", "n_blocks", "slot0", "n", "n_slots"))).alias("phases"))
-    slots = spark.createDataFrame(plan.slots or [], "s string, p int, k long, at long")
-    # one row per source and bucket, BUCKETS to a source at most
-    offsets = totals.select(*[F.col(k).alias(f"{k}_") for k in key],
-                            _prefix(["__llm_source"], ["__llm_bucket"], "__llm_bytes").alias("__llm_before"))
+    given = None if weights is None else {"none" if s is None else f"={s}": float(w) for s, w in weights.items()}
+    _check(totals, given, other)
+    plan = _plan(totals, given, other, block_bytes, period)
+    # one row per source and bucket, BUCKETS to a source at most, each with the plan of the blocks that begin or go on in it
+    div = lambda x: F.call_function("div", x, F.lit(block_bytes))
+    offsets = totals.withColumn("__llm_before", _prefix(["__llm_source"], ["__llm_bucket"], "__llm_bytes")).withColumns({
+        "__llm_first": div(F.col("__llm_before")), "__llm_last": div(F.col("__llm_before") + F.col("__llm_bytes") - 1)})
+    cells = offsets.withColumn("__llm_block", F.explode(F.sequence("__llm_first", "__llm_last")))
+    cells = cells.join(plan, (F.col("__llm_source") == F.col("s")) & (F.col("__llm_block") == F.col("block")))
+    steps = F.array_sort(F.collect_list(F.struct("block", "phase", "release", "deadline", "slot")))
+    offsets = stored(cells.groupBy(*[F.col(k).alias(f"{k}_") for k in key]).agg(
+        F.first("__llm_before").alias("__llm_before"), F.first("__llm_first").alias("__llm_first"),
+        steps.alias("__llm_steps")), "mixing-plan")
     own = rows.withColumn("__llm_start", _prefix(key, ["__llm_hash", id_col, "__llm_size"], "__llm_size"))
     own = own.join(offsets, [F.col(k) == F.col(f"{k}_") for k in key])
-    own = own.withColumn("__llm_start", F.col("__llm_start") + F.col("__llm_before")).withColumn(
-        "block", F.call_function("div", F.col("__llm_start"), F.lit(block_bytes)))
-    own = own.join(F.broadcast(phases), F.col("__llm_source") == F.col("s")).withColumn(
-        "__llm_phase", F.element_at(F.filter("phases", lambda x: x["first"] <= F.col("block")), -1)).drop("s", "phases")
-    local = F.col("block") - F.col("__llm_phase.first")
-    n, n_slots, slot0 = (F.col(f"__llm_phase.{c}") for c in ("n", "n_slots", "slot0"))
-    own = own.withColumns({"phase": F.col("__llm_phase.phase"), "__llm_k": local % n,
-                           "__llm_base": slot0 + F.call_function("div", local, n) * n_slots,
-                           "release": slot0 + F.call_function("div", local * n_slots, n),
-                           "deadline": slot0 + F.call_function("div", (local + 1) * n_slots + n - 1, n)})
-    on = (F.col("__llm_source") == F.col("s")) & (F.col("phase") == F.col("p")) & (F.col("__llm_k") == F.col("k"))
-    own = own.join(F.broadcast(slots), on).withColumns({
-        "slot": F.col("__llm_base") + F.col("at"), "place": F.col("__llm_start") % block_bytes})
+    own = own.withColumn("__llm_start", F.col("__llm_start") + F.col("__llm_before"))
+    own = own.withColumn("__llm_step", F.get("__llm_steps", (div(F.col("__llm_start")) - F.col("__llm_first")).cast("int")))
+    own = own.withColumns({c: F.col(f"__llm_step.{c}") for c in RESULTS[:-1]}).withColumn(
+        "place", F.col("__llm_start") % block_bytes)
     return own.select(*[F.col(f"`{c}`") for c in names], *RESULTS)
 
 

@@ -16,7 +16,7 @@ from orgweave.session import stored
 
 def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines common to a host go; documents that fail the base rules or are depleted go."""
-    return quality_rules.clean_documents(docs)
+    return quality_rules.clean_documents(docs, max_docs=quality_rules.MAX_DOCS)
 
 
 def quality_classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,7 +3,10 @@
 Every line is normalised (lower case, runs of anything but letters and digits
 become one space) and hashed. A line that stands in more than ``max_share`` of
 the different texts of its host, and in more than ``min_docs`` of them, is
-boilerplate of that host. Such lines are removed, and a document that keeps
+boilerplate of that host. A share scales away on a large host: with ``max_docs``,
+a line of ``min_words`` words or more that stands in more than so many different
+texts of its host is boilerplate too, whatever the share. Such lines are removed,
+and a document that keeps
 less than ``min_left`` of its words without them is depleted and rejected.
 
 Copies of one text count as one document, so a popular text isn't boilerplate.
@@ -27,6 +30,8 @@ SPACE = " \t\n\x0b\x0c\r"
 SPACES = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+MAX_DOCS = 40  # limit of the pipeline that doesn't grow with the host
+MIN_WORDS = 5  # shorter lines stay under the share alone: headings and list items repeat in clean text
 RESULTS = [*BASE, "base_failed", "kept", "n_lines", "removed_lines", "removed_words", "depleted"]
 
 _HOST, _TEXT, _LINES, _GONE = "__llm_host", "__llm_text", "__llm_lines", "__llm_gone"
@@ -98,25 +103,29 @@ def _text_key() -> Column:
     return F.struct(F.xxhash64(F.coalesce(F.col("text"), F.lit(""))), F.length(F.coalesce(F.col("text"), F.lit(""))))
 
 
-def common_lines(marked: DataFrame, max_share: float, min_docs: int) -> DataFrame:
+def common_lines(marked: DataFrame, max_share: float, min_docs: int, max_docs: int | None = None,
+                 min_words: int = MIN_WORDS) -> DataFrame:
     """(host, line) above the limits; ``marked`` has host, text key and line keys."""
     texts = marked.select(_HOST, _TEXT, _LINES).dropDuplicates([_HOST, _TEXT])
     hosts = texts.groupBy(_HOST).agg(F.count("*").alias("__llm_docs"))
     counts = texts.select(_HOST, F.explode(_LINES).alias("x")).groupBy(_HOST, F.col("x.line").alias("__llm_line")).agg(
-        F.count("*").alias("__llm_n"))
-    above = counts.where(F.col("__llm_n") > min_docs).join(hosts, _HOST)
-    return above.where(F.col("__llm_n") > max_share * F.col("__llm_docs")).select(_HOST, "__llm_line")
+        F.count("*").alias("__llm_n"), F.max("x.words").alias("__llm_words"))
+    n, often = F.col("__llm_n"), F.lit(False)
+    if max_docs is not None:
+        often = (n > max_docs) & (F.col("__llm_words") >= min_words)
+    above = counts.where((n > min_docs) | often).join(hosts, _HOST)
+    return above.where((n > min_docs) & (n > max_share * F.col("__llm_docs")) | often).select(_HOST, "__llm_line")
 
 
 def line_frequency(docs: DataFrame, host: str = "source", max_share: float = 0.1, min_docs: int = 20,
-                   min_left: float = 0.2) -> DataFrame:
+                   min_left: float = 0.2, max_docs: int | None = None, min_words: int = MIN_WORDS) -> DataFrame:
     """Base counts, removed lines and verdict per row; all columns of ``docs`` but the text stay."""
     columns = [c for c in without(docs, RESULTS).columns if c != "text"]
     marked = without(docs, RESULTS).select(
         *[F.col(f"`{c}`") for c in columns], _host_key(host).alias(_HOST), _text_key().alias(_TEXT),
         _line_keys(F.col("text")).alias(_LINES), text_counts(F.col("text")).alias("__llm_counts"))
     marked = stored(marked, "line-frequency")
-    common = common_lines(marked, max_share, min_docs)
+    common = common_lines(marked, max_share, min_docs, max_docs, min_words)
     lines = marked.select(_HOST, _TEXT, _LINES).dropDuplicates([_HOST, _TEXT]).select(
         _HOST, _TEXT, F.explode(_LINES).alias("x")).select(_HOST, _TEXT, F.col("x.line").alias("__llm_line"), "x.words")
     hits = lines.join(common, [_HOST, "__llm_line"]).groupBy(_HOST, _TEXT).agg(

@@ -47,6 +47,21 @@ def test_common_lines_go_and_depleted_documents_fall(spark):
     assert clean[102].text == rows[32][1] and 101 not in clean
 
 
+def test_lines_of_a_hot_host_go_below_the_share(spark, tmp_path):
+    import corpus_pipeline as P
+    rng = random.Random(3)
+    footer, short = "read more of our news on this page", "see also"
+    # a hot host: the footer in 9 percent of 1,000 texts, another line in 3 percent, a short clean one in 9 percent
+    rows = [(i, "\n".join([words(rng, 60)] + [footer] * (i < 90) + [short] * (i < 90) + ["one two three four five"] * (i < 30)),
+             "en", "hot", 1) for i in range(1000)]
+    docs = spark.createDataFrame(rows, DOCS).repartition(4)
+    got = {r.doc_id: r for r in Q.line_frequency(docs, max_docs=40).collect()}
+    assert all(got[i].removed_lines == (i < 90) for i in range(1000))
+    got = {r.doc_id: r.text for r in P.quality_rules_stage(spark, docs, str(tmp_path)).collect()}
+    assert len(got) == 1000 and not any(footer in t for t in got.values())
+    assert sum(short in t for t in got.values()) == 90 and sum("three four" in t for t in got.values()) == 30
+
+
 def test_odd_input(odd, empty, crowded):
     got = Q.line_frequency(odd).collect()
     assert len(got) == odd.count()

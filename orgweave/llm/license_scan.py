@@ -91,11 +91,15 @@ class NoticeScanner:
 
     def _verify(self, notice: int, window: str) -> list[tuple[int, int, int]]:
         """(start, end, edits) of the matches in a window."""
-        found, at, pattern = [], 0, self.patterns[notice]
-        while m := pattern.search(window, at):
-            found.append((m.start(), m.end(), sum(m.fuzzy_counts)))
-            at = max(m.end(), m.start() + 1)
-        return found
+        # the best match of a stretch need not be its first: what lies before it is searched as well
+        found, todo, pattern = [], [(0, len(window))], self.patterns[notice]
+        least = len(self.notices[notice][1]) - self.edits[notice]
+        while todo:
+            lo, hi = todo.pop()
+            if hi - lo >= least and (m := pattern.search(window, lo, hi)):
+                found.append((m.start(), m.end(), sum(m.fuzzy_counts)))
+                todo += [(lo, m.start()), (max(m.end(), m.start() + 1), hi)]
+        return sorted(found)
 
     def scan(self, norm: str) -> tuple[list[tuple[int, str]], list[tuple[int, int, int, int]]]:
         """Base places (position, label) and verified matches (notice, start, end, edits) in a normal text."""

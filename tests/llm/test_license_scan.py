@@ -56,3 +56,12 @@ def test_odd_input(odd, empty, crowded):
     crowd = L.scan_licenses(crowded)
     assert crowd.count() == odd.count() and dict(crowd.dtypes)["labels"] == "string" and "x" in crowd.columns
     assert L.scan_licenses(empty).count() == 0
+
+
+def test_weaker_matches_before_and_after_a_better_one():
+    text = "all rights reservd all rights reserved all right reserved and all rights reserved"
+    spans = [(text[x["start"]:x["end"]], x["edits"]) for x in L.scan_text(text, scanner())[7] if x["label"] == "reserved"]
+    assert spans == [("all rights reservd", 1), ("all rights reserved", 0), ("all right reserved", 1),
+                     ("all rights reserved", 0)]
+    i = next(i for i, (_, x) in enumerate(L.NOTICES) if x == "all rights reserved")
+    assert [e for _, _, e in scanner().verify(i, " all rights reservd all rights reserved ")] == [1, 0]

@@ -109,10 +109,13 @@ HOME_SQL = f"""(0.25::double * {sim_sql('x.name', 'y.name')}
   + 0.05::double * least(((x.fb = y.fb)::int + (x.tw = y.tw)::int) / 3.0::double, 1.0::double))"""
 
 
-def site_features(spark, d):
-    """One feature struct per registrable domain, from its first page (ASCII part), as a stored table."""
+def site_features(spark, d, whole=False):
+    """One feature struct per registrable domain, from its first page, as a stored table.
+
+    The queries with SQL take the ASCII part, as their SQL does; ``whole`` takes the page as it is.
+    """
     rich = urls.registrable_domain(st.rich_pages(spark, d), "site", urls.suffix_table(spark), "domain")
-    html = F.regexp_replace("html", r"[^ -~]", "")
+    html = F.col("html") if whole else F.regexp_replace("html", r"[^ -~]", "")
     return cut_lineage(first_n_per_key(rich, ["domain"], ["page_id"]).select(
         "domain", F.col("page_id").alias("seq"), H.homepage_features(html).alias("features")))
 
@@ -141,9 +144,15 @@ def f46(spark, d):
     return scored_pairs(spark, d).select("domain", "candidate", F.round("homepage_score", 6).alias("score"))
 
 
-def scored_pairs(spark, d):
+# whole pages in every script; no SQL: DuckDB's levenshtein counts bytes
+@query("f46_homepage_score_whole")
+def f46_whole(spark, d):
+    return scored_pairs(spark, d, True).select("domain", "candidate", F.round("homepage_score", 6).alias("score"))
+
+
+def scored_pairs(spark, d, whole=False):
     pairs = fuzzy_domain_join(fresh_domains(spark, d), registered(spark, d))
-    known = site_features(spark, d)
+    known = site_features(spark, d, whole)
     old = known.select(F.col("domain").alias("candidate"), "seq", F.col("features").alias("old"))
     new = new_features(spark, d, known).where("features is not null")
     return pairs.join(new, "domain").join(old, "candidate").withColumn(
@@ -156,6 +165,11 @@ def w6(spark, d):
     return best_duplicate(scored_pairs(spark, d)).select("domain", "candidate", F.round("total_score", 6).alias("total"))
 
 
+@query("w6_best_duplicate_whole")
+def w6_whole(spark, d):
+    return best_duplicate(scored_pairs(spark, d, True)).select("domain", "candidate", F.round("total_score", 6).alias("total"))
+
+
 @query("u17_duplicate_check", f"""with {PAIRS_SQL}, best as (select * from scored
   qualify row_number() over (partition by domain order by pattern_score + homepage_score desc, seq) = 1)
 select f.domain, case when pattern_score + homepage_score >= 0.70 then 'DUPLICATE' else 'UNIQUE' end as status,
@@ -164,12 +178,17 @@ select f.domain, case when pattern_score + homepage_score >= 0.70 then 'DUPLICAT
     when f.domain not in (select domain from nf) then 'Could not fetch homepage for comparison' end as reason,
   round(pattern_score + homepage_score, 6) as total
 from fresh f left join best on best.domain = f.domain""")
-def u17(spark, d):
-    known = site_features(spark, d)
+def u17(spark, d, whole=False):
+    known = site_features(spark, d, whole)
     return duplicate_check(cut_lineage(new_features(spark, d, known)), known).select(
         "domain", "status", "primary_domain", "reason", F.round("total_score", 6).alias("total"))
 
 
+@query("u17_duplicate_check_whole")
+def u17_whole(spark, d):
+    return u17(spark, d, True)
+
+
 @query("f47_cosine", """select a.vec_id, round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 6)
   as similarity from embeddings a join embeddings b on b.vec_id = a.vec_id + 1""")
 def f47(spark, d):

@@ -66,14 +66,14 @@ def j11(spark, d):
     return fuzzy_domain_join(fresh_domains(spark, d), registered(spark, d))
 
 
-# every word of the documents as a one-label domain: tens of thousands of brands, no all-pairs SQL
+# every word of the documents as a one-label domain, of any length and language: no all-pairs SQL
 @query("j11_fuzzy_domain_join_words")
 def j11_words(spark, d):
-    word = F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{6,}"), F.lit(0))))
-    words = table(spark, d, "documents").select(word.alias("w"), "lang").distinct()
-    new = words.where("lang = 'es'").select(F.concat("w", F.lit(".es")).alias("domain"))
-    old = words.where("lang = 'en'").select(F.concat("w", F.lit(".com")).alias("domain"))
-    return fuzzy_domain_join(new, old, threshold=0.30)
+    word = F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))))
+    words = table(spark, d, "documents").select(word.alias("w"), F.coalesce("lang", F.lit("xx")).alias("lang")).distinct()
+    new = words.select(F.concat_ws(".", "w", "lang").alias("domain"))
+    old = words.select(F.concat("w", F.lit(".com")).alias("domain"))
+    return fuzzy_domain_join(new, old)
 
 
 ASCII_RICH = f"""{st.RICH}, firsts as (select min(page_id) as page_id from rich group by site), feat as (

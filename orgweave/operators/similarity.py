@@ -10,6 +10,8 @@ from orgweave.functions.urls import brand_name, site_stem
 from orgweave.partitioning import first_n_per_key
 from orgweave.session import cut_lineage
 
+SHORT, PARTS = 3, 64  # brands of so few characters have their pairs dealt over so many parts
+
 
 def name_parts(df: DataFrame, domain: str = "domain", expand_gk: bool = True) -> DataFrame:
     """Distinct domains with brand, stem and last label."""
@@ -45,6 +47,24 @@ def substrings(brand: Column) -> Column:
     return F.when(F.length(brand) >= 1, F.array_distinct(cut)).otherwise(F.array().cast("array<string>"))
 
 
+def _dealt(brand: str, other: str) -> Column:
+    """Part of a short brand's pairs that a pair goes to: short brands stand in a great many others."""
+    return F.when(F.length(brand) <= SHORT, F.pmod(F.xxhash64(other), F.lit(PARTS))).otherwise(0).cast("int")
+
+
+def _copied(brand: str) -> Column:
+    """One row for each part of a short brand's pairs."""
+    parts = F.when(F.length(brand) <= SHORT, F.sequence(F.lit(0), F.lit(PARTS - 1))).otherwise(F.array(F.lit(0)))
+    return F.explode(parts)
+
+
+def _inside(long: DataFrame, short: DataFrame) -> DataFrame:
+    """(long, short) for every brand of ``short`` that stands in a brand of ``long``."""
+    (x,), (y,) = long.columns, short.columns
+    cut = long.select(x, F.explode(substrings(F.col(x))).alias(y)).withColumn("_part", _dealt(y, x))
+    return cut.join(short.select(y, _copied(y).alias("_part")), [y, "_part"], "left_semi").select(x, y)
+
+
 def brand_pairs(new_brands: DataFrame, old_brands: DataFrame, threshold: float = 0.20) -> DataFrame:
     """(a, b) brand pairs that can reach ``threshold``: equal, within two edits, or one inside the other.
 
@@ -58,9 +78,7 @@ def brand_pairs(new_brands: DataFrame, old_brands: DataFrame, threshold: float =
             .select("a", "b"))
     pairs = near
     if threshold <= 0.25:
-        inside_a = a.select("a", F.explode(substrings(F.col("a"))).alias("b")).join(b, "b", "left_semi").select("a", "b")
-        inside_b = b.select("b", F.explode(substrings(F.col("b"))).alias("a")).join(a, "a", "left_semi").select("a", "b")
-        pairs = near.unionByName(inside_a).unionByName(inside_b)
+        pairs = near.unionByName(_inside(a, b)).unionByName(_inside(b, a))
     return pairs.distinct()
 
 
@@ -75,8 +93,11 @@ def fuzzy_domain_join(new: DataFrame, existing: DataFrame, threshold: float = 0.
     b = cut_lineage(name_parts(existing, expand_gk=expand_gk))
     old = b.select(*[F.col(c).alias(f"c_{c}") for c in b.columns])
     brands = brand_pairs(a.select("brand").distinct(), b.select("brand").distinct(), threshold)
-    by_brand = (a.join(brands, a["brand"] == brands["a"]).drop("a")
-                .join(old, F.col("b") == F.col("c_brand")).drop("b"))
+    brands = brands.withColumns({"_pa": _dealt("a", "b"), "_pb": _dealt("b", "a")})
+    by_brand = (a.withColumn("_qa", _copied("brand"))
+                .join(brands, (F.col("brand") == F.col("a")) & (F.col("_qa") == F.col("_pa")))
+                .join(old.withColumn("_qb", _copied("c_brand")), (F.col("b") == F.col("c_brand")) & (F.col("_qb") == F.col("_pb")))
+                .select(*a.columns, *old.columns))
     by_stem = a.join(old, F.col("stem") == F.col("c_stem")).select(*by_brand.columns)
     score = pattern_score(F.col("brand"), F.col("stem"), F.col("tld"), F.col("c_brand"), F.col("c_stem"), F.col("c_tld"))
     return (by_brand.unionByName(by_stem).where(F.col("domain") != F.col("c_domain")).distinct()

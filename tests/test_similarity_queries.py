@@ -3,8 +3,12 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from orgweave.catalog import similarity as S
+from orgweave.functions.scores import pattern_score
+from orgweave.operators import similarity as op
+from scripts.check_oracle import rows_of
 
 SF = "/root/testdata/sf0.001"
 
@@ -67,3 +71,27 @@ def test_whole_pages_equal_brute_force(spark):
     for r in S.u17_whole(spark, SF).collect():
         total = -best[r.domain][0][0] if r.domain in best else None
         assert r.status == ("DUPLICATE" if total is not None and total >= 0.70 else "UNIQUE")
+
+
+def test_words_of_all_documents_at_the_default_threshold(spark, tmp_path):
+    texts = [("en", "a an Can candle handle x"), ("fr", "été a lé"), ("de", "größe groß ß"), (None, "кот котик"), ("es", None)]
+    docs = spark.createDataFrame(texts, "lang string, text string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    new = spark.createDataFrame([(f"{w}.{lang or 'xx'}",) for lang, t in texts for w in (t or "").lower().split()], "domain string")
+    old = new.select(F.concat(F.substring_index("domain", ".", 1), F.lit(".com")).alias("domain"))
+    a = op.name_parts(new)
+    b = op.name_parts(old).select(*[F.col(c).alias(f"c_{c}") for c in a.columns])
+    every = a.crossJoin(b).where("domain <> c_domain").select("domain", F.col("c_domain").alias("candidate"), pattern_score(
+        *[F.col(c) for c in ("brand", "stem", "tld", "c_brand", "c_stem", "c_tld")]).alias("pattern_score"))
+    want = every.where("pattern_score >= 0.2")
+    got = S.j11_words(spark, str(tmp_path))
+    both = [rows_of(x.columns, [tuple(r) for r in x.collect()]) for x in (got, want)]
+    assert both[0] == both[1] and got.where("pattern_score = 0.25").count() > 0
+
+
+def test_pairs_of_a_short_brand_are_dealt_out(spark):
+    long = spark.createDataFrame([(f"e{i}brand",) for i in range(640)], "a string")
+    short = spark.createDataFrame([("e",)], "b string")
+    assert op._inside(long, short).count() == 640
+    parts = long.withColumn("b", F.lit("e")).groupBy(op._dealt("b", "a")).count().collect()
+    assert len(parts) > 32 and max(r["count"] for r in parts) < 64

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orgweave.llm import (chat, jaccard_join, license_scan, mixing, packing, quality_classifier, quality_rules, sharding,
-                          token_counts, topk_search)
+from orgweave.llm import (chat, jaccard_join, license_scan, mixing, packing, periodic_runs, quality_classifier, quality_rules,
+                          sharding, token_counts, topk_search)
 from orgweave.session import tune
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -163,6 +163,12 @@ def op6(spark, sf_dir):
     return token_counts.document_counts(docs).select("doc_id", "n_tokens")
 
 
+@query("op11_periodic_runs")
+def op11(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return periodic_runs.digests(periodic_runs.detect_runs(periodic_runs.plant(docs)))
+
+
 @query("pipeline")
 def pipeline(spark, sf_dir):
     import corpus_pipeline

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orgweave.llm import (chat, jaccard_join, license_scan, mixing, packing, periodic_runs, quality_classifier, quality_rules,
-                          sharding, token_counts, topk_search, toxicity)
+from orgweave.llm import (chat, conversation_repair, jaccard_join, license_scan, mixing, packing, periodic_runs,
+                          quality_classifier, quality_rules, sharding, token_counts, topk_search, toxicity)
 from orgweave.session import tune
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -169,6 +169,12 @@ def op11(spark, sf_dir):
     return periodic_runs.digests(periodic_runs.detect_runs(periodic_runs.plant(docs)))
 
 
+@query("op12_lattice_repair")
+def op12(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return conversation_repair.with_empty(conversation_repair.reports(conversation_repair.damage(rows)), rows)
+
+
 @query("op13_boosted_toxicity")
 def op13(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")

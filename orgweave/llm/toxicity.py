@@ -47,7 +47,7 @@ from orgweave.session import stored
 
 RESULTS = ["held_out", "score", "predicted"]
 THRESHOLD = 0.3
-MAX_ROWS = 20_000  # training rows per class, about
+MAX_ROWS = 10_000  # training rows per class, about
 MAX_STEMS = 2_000  # entries of a learned lexicon
 STEM_LENGTHS = (3, 4, 5, 6)
 NEAR = 5  # words between a hit and a second person
@@ -81,62 +81,120 @@ tú ti tus usted ustedes vosotros
 LOOKALIKES = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g",
                             "@": "a", "$": "s", "!": "i", "|": "i", "+": "t"})
 
-INSULT, PROFANE, THREAT, LEARNED, PERSON = 1, 2, 4, 8, 16
+INSULT, PROFANE, THREAT, LEARNED, PERSON, SHOUTED, MASKED, APART, DRAWN, SPELT, LETTER, MARKS = (1 << i for i in range(12))
+HIT = INSULT | PROFANE | THREAT | LEARNED
+_COUNTED = (INSULT, PROFANE, THREAT, LEARNED, SHOUTED, MASKED, APART, DRAWN, SPELT, MARKS)
 _FIXED = {w: kind for words, kind in ((THREATS, THREAT), (PROFANITY, PROFANE), (INSULTS, INSULT), (SECOND_PERSON, PERSON))
           for w in words}
 _WORD = re.compile(r"[^\W\d_]+")
 _MASKED = re.compile(r"[^\W\d_][0-9@$!|*#+]+[^\W\d_]|^[0-9@$!|+][^\W\d_]")
-_APART = re.compile(r"(?<![^\W_])(?:[^\W\d_][ .\-_*]){3,}[^\W\d_](?![^\W_])")
+_APART = re.compile(r"(?:[^\W\d_][.\-_*]){3,}[^\W\d_][^\w]*")
 _DRAWN = re.compile(r"([^\W\d_])\1{2,}")
 _NO_LETTER = re.compile(r"[\W\d_]+")
 _RUNS = re.compile(r"[!?]{2,}")
+_ENDS = "!?.,;:*#+|\"'()[]-_"
+
+
+def _spelt(token: str) -> str:
+    """What an obfuscated token spells."""
+    return _DRAWN.sub(r"\1", _NO_LETTER.sub("", token.rstrip("!?.,;:*#+|\"')").translate(LOOKALIKES)))
 
 
 class Lexicon(dict):
-    """Word -> (kinds, weight of its learned beginning); filled as words come, MEMO words at most."""
+    """Token -> None if nothing is to be said of it, else (kinds, weight of a learned beginning).
+
+    Filled as tokens come: a text's tokens are looked up, not searched again. MEMO tokens are kept at most.
+    """
 
     def __init__(self, stems: dict[str, float]):
         super().__init__()
         self.stems = stems
-
-    def look_up(self, word: str) -> tuple[int, float]:
-        weight = max((self.stems.get(word[:n], 0.0) for n in STEM_LENGTHS if len(word) >= n), default=0.0)
-        return _FIXED.get(word, 0) | (LEARNED if weight else 0), weight
-
-    def __missing__(self, word: str) -> tuple[int, float]:
-        found = self.look_up(word)
-        if len(word) <= 40:
+        self.heads = {stem[:STEM_LENGTHS[0]] for stem in stems}
+
+    def word(self, word: str) -> tuple[int, float]:
+        kinds, weight = _FIXED.get(word, 0), 0.0
+        if word[:STEM_LENGTHS[0]] in self.heads:
+            weight = max(self.stems.get(word[:n], 0.0) for n in STEM_LENGTHS)
+        return kinds | (LEARNED if weight else 0), weight
+
+    def token(self, token: str) -> tuple[int, float]:
+        low = token.lower()
+        core = low.strip(_ENDS)
+        if core.isalpha():
+            kinds, weight = self.word(core)
+            if len(low) == 1:
+                kinds |= LETTER
+        else:
+            kinds, weight = 0, 0.0
+            for w in _WORD.findall(low):
+                kind, own = self.word(w)
+                kinds, weight = kinds | kind, max(weight, own)
+            kinds |= (MASKED if _MASKED.search(low) else 0) | (APART if _APART.fullmatch(low) else 0)
+        if core != low and _RUNS.search(token):
+            kinds |= MARKS
+        if _DRAWN.search(core):
+            kinds |= DRAWN
+        if len(token) > 2 and token.isupper():
+            kinds |= SHOUTED
+        if kinds & (MASKED | APART | DRAWN):
+            kind, own = self.word(_spelt(low))
+            if kind & HIT:
+                kinds, weight = kinds | kind | SPELT, max(weight, own)
+        return kinds, weight
+
+    def __missing__(self, token: str) -> tuple[int, float] | None:
+        kinds, weight = self.token(token)
+        found = (kinds, weight) if kinds else None
+        if len(token) <= 40:
             if len(self) >= MEMO:
                 self.clear()
-            self[word] = found
+            self[token] = found
         return found
 
 
-def _spelt(token: str) -> str:
-    """What an obfuscated token spells."""
-    return _DRAWN.sub(r"\1", _NO_LETTER.sub("", token.translate(LOOKALIKES)))
+def _letters_apart(tokens: list[str], letters: list[int], lexicon: Lexicon) -> tuple[int, int, list[int]]:
+    """Of runs of four letters and more that stand alone: how many, how many spell a hit, and where these are."""
+    runs, spelt, places, k = 0, 0, [], 0
+    while k < len(letters):
+        end = k + 1
+        while end < len(letters) and letters[end] == letters[end - 1] + 1:
+            end += 1
+        if end - k >= 4:
+            runs += 1
+            if lexicon.word(_spelt("".join(tokens[letters[k]:letters[end - 1] + 1]).lower()))[0] & HIT:
+                spelt += 1
+                places.append(letters[k])
+        k = end
+    return runs, spelt, places
 
 
 def features(text: str | None, lexicon: Lexicon) -> list[float]:
     """The dense features of one text."""
     text = text or ""
-    low = text.lower()
-    words = _WORD.findall(low)
-    n = max(len(words), 1)
-    hits, persons, counts, heaviest, weights = [], [], Counter(), 0.0, 0.0
-    for i, w in enumerate(words):
-        kind, weight = lexicon[w]
-        if not kind:
+    tokens = text.split()
+    n = max(len(tokens), 1)
+    counts = dict.fromkeys(_COUNTED, 0)
+    hits, persons, letters, heaviest, weights = [], [], [], 0.0, 0.0
+    for i, found in enumerate(map(lexicon.__getitem__, tokens)):
+        if found is None:
             continue
-        if kind & PERSON:
-            persons.append(i)
-        for k in (INSULT, PROFANE, THREAT, LEARNED):
-            if kind & k:
+        kinds, weight = found
+        for k in _COUNTED:
+            if kinds & k:
                 counts[k] += 1
-        if kind & (INSULT | PROFANE | THREAT | LEARNED):
+        if kinds & HIT:
             hits.append(i)
             weights += weight
             heaviest = max(heaviest, weight)
+        if kinds & PERSON:
+            persons.append(i)
+        if kinds & LETTER:
+            letters.append(i)
+    if len(letters) >= 4:
+        runs, spelt, places = _letters_apart(tokens, letters, lexicon)
+        counts[APART] += runs
+        counts[SPELT] += spelt
+        hits = sorted(hits + places)
     near = closeness = 0.0
     for i in hits:
         k = bisect_left(persons, i)
@@ -145,20 +203,12 @@ def features(text: str | None, lexicon: Lexicon) -> list[float]:
         closeness += 1 / (1 + gap)
     raw = np.bincount(np.frombuffer(text.encode("utf-8", "replace"), dtype=np.uint8), minlength=256)
     upper, lower = int(raw[65:91].sum()), int(raw[97:123].sum())
-    tokens = text.split()
-    masked = [t for t in low.split() if not t.isalpha() and _MASKED.search(t)]
-    apart = _APART.findall(low)
-    drawn = [m.start() for m in _DRAWN.finditer(low)]
-    unmasked = sum(bool(lexicon.look_up(_spelt(t))[0] & ~PERSON) for t in masked)
-    unmasked += sum(bool(lexicon.look_up(_spelt(t))[0] & ~PERSON) for t in apart)
-    shouted = sum(t.isupper() and len(t) > 2 for t in tokens)
-    marks = sum(len(m) for m in _RUNS.findall(text))
     return [*((counts[k] / n) ** 0.5 for k in (INSULT, PROFANE, THREAT, LEARNED)),
             *(float(np.log1p(counts[k])) for k in (INSULT, PROFANE, THREAT, LEARNED)),
             heaviest, weights / n, near / max(len(hits), 1), closeness / max(len(hits), 1), (len(persons) / n) ** 0.5,
-            upper / max(upper + lower, 1), shouted / n, *((int(raw[ord(c)]) / n) ** 0.5 for c in "!?*#$%."), marks / n,
-            len(masked) / n, unmasked / n, float(np.log1p(unmasked)), len(apart) / n, len(drawn) / n,
-            float(np.log1p(len(words)))]
+            upper / max(upper + lower, 1), counts[SHOUTED] / n, *((int(raw[ord(c)]) / n) ** 0.5 for c in "!?*#$%."),
+            counts[MARKS] / n, counts[MASKED] / n, counts[SPELT] / n, float(np.log1p(counts[SPELT])), counts[APART] / n,
+            counts[DRAWN] / n, float(np.log1p(len(tokens)))]
 
 
 N_FEATURES = len(features("", Lexicon({})))
@@ -171,24 +221,33 @@ def stems_of(text: str | None) -> set[str]:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int) -> DataFrame:
-    """(key, fold, toxic, text) of the labelled rows off the held-out side, about ``max_rows`` per class at most."""
-    marks = labels.where("doc_id is not null and toxic in (0, 1)").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(
-        F.max("toxic").alias("__llm_toxic"))
-    counts = {r["__llm_toxic"]: r["count"] for r in marks.groupBy("__llm_toxic").count().collect()}
-    share = {c: min(max_rows / max(counts.get(c, 1), 1), 1.0) for c in (0, 1)}
-    part = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1_000_003)) / 1_000_003.0
-    marks = marks.where(part < F.when(F.col("__llm_toxic") == 1, share[1]).otherwise(share[0]))
-    rows = docs.select(F.col("doc_id").alias("__llm_id"), F.coalesce("text", F.lit("")).alias("text")).join(
-        marks, F.col("__llm_id") == F.col("doc_id"))
+    """(key, fold, toxic, text), stored: different labelled rows off the held-out side, about ``max_rows`` per class at most.
+
+    Ids are chosen by a hash, then, where ids have many rows, rows. The chosen ids are few enough to broadcast, so the texts
+    stay where they are.
+    """
+    marks = labels.where("doc_id is not null and toxic in (0, 1)").where(~held_out(F.col("doc_id"))).groupBy(
+        F.col("doc_id").alias("__llm_id")).agg(F.max("toxic").alias("toxic"))
+
+    def thinned(df: DataFrame, *by: str) -> DataFrame:
+        counts = {r["toxic"]: r["count"] for r in df.groupBy("toxic").count().collect()}
+        share = [min(max_rows / max(counts.get(c, 1), 1), 1.0) for c in (0, 1)]
+        part = F.pmod(F.xxhash64(*by, F.lit(1)), F.lit(1_000_003)) / 1_000_003.0
+        return df.where(part < F.when(F.col("toxic") == 1, share[1]).otherwise(share[0]))
+
+    chosen = F.broadcast(thinned(marks, "__llm_id"))
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(chosen, F.col("doc_id") == F.col("__llm_id"))
     key = F.xxhash64("doc_id", "text")
-    return rows.select(key.alias("key"), F.pmod(key, F.lit(2)).alias("fold"), F.col("__llm_toxic").alias("toxic"), "text")
+    # equal rows become one before they are moved
+    once = thinned(rows, "doc_id", "text").select(key.alias("key"), "toxic", "text").dropDuplicates(["key"])
+    return stored(once.withColumn("fold", F.pmod("key", F.lit(2))), "toxic-sample")
 
 
 def learn_lexicons(rows: DataFrame, min_texts: int = 4, min_share: float = 0.01, min_ratio: float = 3.0,
                    max_stems: int = MAX_STEMS) -> list[dict[str, float]]:
     """Learned lexicons of fold 0, of fold 1 and of both: beginning -> log of the toxic to clean ratio.
 
-    A beginning counts once per different text. It is taken when at least ``min_texts`` toxic texts and a share of
+    A beginning counts once per row. It is taken when at least ``min_texts`` toxic texts and a share of
     ``min_share`` of them hold it, ``min_ratio`` times the share of the clean ones (half a text added).
     """
     names = ["toxic0", "toxic1", "clean0", "clean1"]
@@ -206,8 +265,7 @@ def learn_lexicons(rows: DataFrame, min_texts: int = 4, min_share: float = 0.01,
             some = stems[i:i + 20_000]
             yield pd.DataFrame({"stem": some} | {n: [c[s] for s in some] for n, c in zip(names, counts, strict=True)})
 
-    once = rows.dropDuplicates(["key"])
-    counted = stored(once.mapInPandas(count, "stem string, " + ", ".join(f"{n} long" for n in names)).groupBy("stem").agg(
+    counted = stored(rows.mapInPandas(count, "stem string, " + ", ".join(f"{n} long" for n in names)).groupBy("stem").agg(
         *[F.sum(n).alias(n) for n in names]), "toxic-stems")
     totals = (counted.where("stem = ''").take(1) or [dict.fromkeys(names, 0)])[0]
     lexicons = []
@@ -231,7 +289,7 @@ def measured(rows: DataFrame, lexicons: list[dict[str, float]]) -> DataFrame:
             yield pd.DataFrame({"key": pdf["key"], "toxic": pdf["toxic"], "x": [
                 features(t, own[f]) for f, t in zip(pdf["fold"], pdf["text"], strict=True)]})
 
-    return rows.mapInPandas(measure, "key long, toxic double, x array<double>").dropDuplicates(["key"])
+    return rows.mapInPandas(measure, "key long, toxic double, x array<double>")
 
 
 class Model:

@@ -55,10 +55,10 @@ def test_held_out_labels_are_never_learnt(spark):
 def test_lexicon_counts_equal_a_plain_count(spark):
     rng = random.Random(9)
     rows = [(i, i % 2, int(i % 3 == 0), " ".join(rng.choice(["Alpha", "bravo", "gamma" if i % 3 else "delt-a"]) for _ in range(5)))
-            for i in range(60)] * 2
+            for i in range(60)]
     got = T.learn_lexicons(spark.createDataFrame(rows, "key long, fold long, toxic int, text string"), 2, 0.1, 3.0)
     for folds, lexicon in zip(((0,), (1,), (0, 1)), got, strict=True):
-        mine = [r for r in rows[:60] if r[1] in folds]
+        mine = [r for r in rows if r[1] in folds]
         stems = {s for r in mine for s in T.stems_of(r[3])}
         want = {}
         for s in stems:
@@ -71,6 +71,17 @@ def test_lexicon_counts_equal_a_plain_count(spark):
         assert {"del", "delt"} <= lexicon.keys()
 
 
+def test_training_rows_are_different_bounded_and_not_held_out(spark):
+    rows = [(i, f"text {i}", "en", "s", 1) for i in range(2000)] + [(5, f"copy {k % 900}", "en", "s", 1) for k in range(1800)]
+    labels = spark.createDataFrame([(i, 1, int(i % 4 == 1)) for i in range(2000)], LABELS)
+    got = T.training_rows(spark.createDataFrame(rows, DOCS), labels, 200).collect()
+    assert len({r.key for r in got}) == len({r.text for r in got}) == len(got)
+    for toxic in (0, 1):
+        assert 100 <= sum(r.toxic == toxic for r in got) <= 300
+    held = {f"text {i}" for i in range(2000) if zlib.crc32(str(i).encode()) % 4 == 2}
+    assert not held & {r.text for r in got}
+
+
 def test_features_see_through_masks():
     lexicon = T.Lexicon({"grum": 3.0})
     plain, masked = T.features("well hello there", lexicon), T.features("you 1d10t and m0r0n and l o s e r", lexicon)
@@ -79,7 +90,8 @@ def test_features_see_through_masks():
     assert T.features("you are a GRUMPF", lexicon)[8] == 3.0 and T.features("", lexicon) == [0.0] * T.N_FEATURES
     near, far = (T.features(t, lexicon)[10] for t in ("you idiot", "idiot " + "word " * 20 + "you"))
     assert (near, far) == (1.0, 0.0)
-    assert T.Lexicon({}).look_up(T._spelt("stuuupid"))[0] == T.INSULT
+    assert T.Lexicon({}).token("stuuupid!")[0] == T.INSULT | T.DRAWN | T.SPELT
+    assert T.Lexicon({}).token("i-d-i-o-t.")[0] & T.SPELT and T.Lexicon({})["plain"] is None
 
 
 def test_memo_stays_bounded(monkeypatch):

@@ -63,7 +63,28 @@ def f5(spark, d):
 @query("f6_registrable_domain", rf"""with {st.VARIANTS}
 select d, regexp_extract(d, '([^.]+\.(?:co\.uk|com|net|org))$', 1) as registrable from variants""")
 def f6(spark, d):
-    return urls.registrable_domain(st.variants(spark, d), "d", urls.suffix_table(spark))
+    return urls.registrable_domain(st.variants(spark, d), "d", st.suffix_rules(spark))
+
+
+RULES_SQL = ", ".join("('{}', '{}')".format(
+    line.lstrip("!*."), {"!": "exception", "*": "wildcard"}.get(line[0], "plain")) for line in st.SUFFIX_LINES if line[0] != "/")
+ENDINGS = [".ck", ".a.ck", ".city.kawasaki.jp", ".b.kawasaki.jp", ".kawasaki.jp", ".com.br", ".x.nom.br", ".Co.Uk", ".unknown"]
+
+
+@query("f6_registrable_domain_rules", rf"""with {st.SITES}, rules(base, kind) as (values {RULES_SQL}), hosts as (
+  select distinct regexp_replace(site, '\.[a-z]+$', e) as d from sites, unnest({ENDINGS!r}) u(e)
+  union select unnest(['www.ck', 'ck', 'a.www.ck', 'city.kawasaki.jp', 'co.uk', '10.1.2.3'])),
+l as (select d, string_split(lower(d), '.') as l from hosts), t as (select d, unnest(range(len(l))) as i, l from l),
+cuts as (select d, kind, i + case kind when 'wildcard' then -1 when 'exception' then 1 else 0 end as c from t
+  join rules on base = array_to_string(l[i + 1:], '.')),
+best as (select d, coalesce(min(c) filter (kind = 'exception'), min(c)) as c from cuts where c >= 0 group by d)
+select d, case when regexp_full_match(d, '[0-9.]+') then d else array_to_string(l[greatest(coalesce(c, len(l)), 1):], '.') end
+  as registrable from l left join best using (d)""")
+def f6_rules(spark, d):
+    site = F.col("site")
+    made = st.sites(spark, d).select(F.explode(F.array(*[F.regexp_replace(site, r"\.[a-z]+$", e) for e in ENDINGS])).alias("d"))
+    odd = spark.createDataFrame([(x,) for x in ("www.ck", "ck", "a.www.ck", "city.kawasaki.jp", "co.uk", "10.1.2.3")], "d string")
+    return urls.registrable_domain(made.unionByName(odd).distinct(), "d", st.suffix_rules(spark))
 
 
 BRAND_SQL = r"""trim(lower(replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(

@@ -29,7 +29,7 @@ NEW_SQL = rf"""{REG_SQL}, fresh as (select regexp_replace(domain, '\.[a-z]+$', '
 
 def registered(spark, d):
     sites = st.sites(spark, d)
-    return urls.registrable_domain(sites, "site", urls.suffix_table(spark), "domain")
+    return urls.registrable_domain(sites, "site", st.suffix_rules(spark), "domain")
 
 
 def fresh_domains(spark, d):
@@ -76,8 +76,8 @@ def j11_words(spark, d):
     return fuzzy_domain_join(new, old)
 
 
-ASCII_RICH = f"""{st.RICH}, firsts as (select min(page_id) as page_id from rich group by site), feat as (
-  select page_id, regexp_extract(site, '([^.]+\\.[^.]+)$', 1) as domain, regexp_replace(html, '[^ -~]', '', 'g') as html
+RICH_FEATURES = f"""{st.RICH}, firsts as (select min(page_id) as page_id from rich group by site), feat as (
+  select page_id, regexp_extract(site, '([^.]+\\.[^.]+)$', 1) as domain, html
   from rich where page_id in (select page_id from firsts)),
 one as (select * from feat where page_id in (select min(page_id) from feat group by domain)),
 ff as (select domain, page_id as seq, {TITLE_SQL} as title,
@@ -92,10 +92,20 @@ fe as (select domain, seq, title, descr, emails, fb, tw, case when og <> '' then
   else title end as name from ff)"""
 
 
+# DuckDB's levenshtein counts bytes: the characters of both sides are renamed to one byte each first
+ONE_BYTE = "".join(chr(i) for i in range(1, 128) if chr(i) != "'")
+
+
+def edits_sql(a: str, b: str) -> str:
+    used = f"array_to_string(list_distinct(string_split({a} || {b}, '')), '')"
+    renamed = lambda x: f"translate({x}, {used}, substr('{ONE_BYTE}', 1, length({used})))"
+    return f"levenshtein({renamed(a)}, {renamed(b)})"
+
+
 def sim_sql(x: str, y: str) -> str:
     a, b = f"trim(lower({x}))", f"trim(lower({y}))"
     return (f"(case when {x} = '' or {y} = '' then 0.0::double when {a} = {b} then 1.0::double else greatest(0.0::double, "
-            f"1.0::double - levenshtein({a}, {b})::double / greatest(length({a}), length({b}))) end)")
+            f"1.0::double - {edits_sql(a, b)}::double / greatest(length({a}), length({b}))) end)")
 
 
 WORDS = lambda c: f"list_distinct(regexp_extract_all(lower({c}), '[^ \\t\\r\\n]+'))"
@@ -109,15 +119,11 @@ HOME_SQL = f"""(0.25::double * {sim_sql('x.name', 'y.name')}
   + 0.05::double * least(((x.fb = y.fb)::int + (x.tw = y.tw)::int) / 3.0::double, 1.0::double))"""
 
 
-def site_features(spark, d, whole=False):
-    """One feature struct per registrable domain, from its first page, as a stored table.
-
-    The queries with SQL take the ASCII part, as their SQL does; ``whole`` takes the page as it is.
-    """
-    rich = urls.registrable_domain(st.rich_pages(spark, d), "site", urls.suffix_table(spark), "domain")
-    html = F.col("html") if whole else F.regexp_replace("html", r"[^ -~]", "")
+def site_features(spark, d):
+    """One feature struct per registrable domain, from its first page, as a stored table."""
+    rich = urls.registrable_domain(st.rich_pages(spark, d), "site", st.suffix_rules(spark), "domain")
     return cut_lineage(first_n_per_key(rich, ["domain"], ["page_id"]).select(
-        "domain", F.col("page_id").alias("seq"), H.homepage_features(html).alias("features")))
+        "domain", F.col("page_id").alias("seq"), H.homepage_features(F.col("html")).alias("features")))
 
 
 def new_features(spark, d, known):
@@ -129,7 +135,7 @@ def new_features(spark, d, known):
     return fresh.join(pages, "domain", "left")
 
 
-PAIRS_SQL = f"""{NEW_SQL}, {ASCII_RICH.replace(st.PG + ', ', '', 1)}, a as ({PARTS_SQL} from fresh), b as ({PARTS_SQL} from reg),
+PAIRS_SQL = f"""{NEW_SQL}, {RICH_FEATURES.replace(st.PG + ', ', '', 1)}, a as ({PARTS_SQL} from fresh), b as ({PARTS_SQL} from reg),
 pairs as (select a.domain, b.domain as candidate, {SCORE_SQL} as pattern_score from a, b where a.domain <> b.domain
   and {SCORE_SQL} >= 0.2),
 np as (select regexp_replace(domain, '\\.[a-z]+$', '.co') as domain, * exclude (domain) from fe union all
@@ -139,54 +145,50 @@ scored as (select p.domain, p.candidate, p.pattern_score, y.seq, {HOME_SQL} as h
   join nf x on x.domain = p.domain join fe y on y.domain = p.candidate)"""
 
 
-@query("f46_homepage_score", f"""with {PAIRS_SQL} select domain, candidate, round(homepage_score, 6) as score from scored""")
-def f46(spark, d):
-    return scored_pairs(spark, d).select("domain", "candidate", F.round("homepage_score", 6).alias("score"))
+F46_SQL = f"""with {PAIRS_SQL} select domain, candidate, round(homepage_score, 6) as score from scored"""
 
 
-# whole pages in every script; no SQL: DuckDB's levenshtein counts bytes
-@query("f46_homepage_score_whole")
-def f46_whole(spark, d):
-    return scored_pairs(spark, d, True).select("domain", "candidate", F.round("homepage_score", 6).alias("score"))
+@query("f46_homepage_score", F46_SQL)
+@query("f46_homepage_score_whole", F46_SQL)
+def f46(spark, d):
+    return scored_pairs(spark, d).select("domain", "candidate", F.round("homepage_score", 6).alias("score"))
 
 
-def scored_pairs(spark, d, whole=False):
+def scored_pairs(spark, d):
     pairs = fuzzy_domain_join(fresh_domains(spark, d), registered(spark, d))
-    known = site_features(spark, d, whole)
+    known = site_features(spark, d)
     old = known.select(F.col("domain").alias("candidate"), "seq", F.col("features").alias("old"))
     new = new_features(spark, d, known).where("features is not null")
     return pairs.join(new, "domain").join(old, "candidate").withColumn(
         "homepage_score", scores.homepage_score(F.col("features"), F.col("old"))).drop("features", "old")
 
 
-@query("w6_best_duplicate", f"""with {PAIRS_SQL} select domain, candidate, round(pattern_score + homepage_score, 6) as total
-from scored qualify row_number() over (partition by domain order by pattern_score + homepage_score desc, seq) = 1""")
-def w6(spark, d):
-    return best_duplicate(scored_pairs(spark, d)).select("domain", "candidate", F.round("total_score", 6).alias("total"))
+W6_SQL = f"""with {PAIRS_SQL} select domain, candidate, round(pattern_score + homepage_score, 6) as total
+from scored qualify row_number() over (partition by domain order by pattern_score + homepage_score desc, seq) = 1"""
 
 
-@query("w6_best_duplicate_whole")
-def w6_whole(spark, d):
-    return best_duplicate(scored_pairs(spark, d, True)).select("domain", "candidate", F.round("total_score", 6).alias("total"))
+@query("w6_best_duplicate", W6_SQL)
+@query("w6_best_duplicate_whole", W6_SQL)
+def w6(spark, d):
+    return best_duplicate(scored_pairs(spark, d)).select("domain", "candidate", F.round("total_score", 6).alias("total"))
 
 
-@query("u17_duplicate_check", f"""with {PAIRS_SQL}, best as (select * from scored
+U17_SQL = f"""with {PAIRS_SQL}, best as (select * from scored
   qualify row_number() over (partition by domain order by pattern_score + homepage_score desc, seq) = 1)
 select f.domain, case when pattern_score + homepage_score >= 0.70 then 'DUPLICATE' else 'UNIQUE' end as status,
   case when pattern_score + homepage_score >= 0.70 then candidate end as primary_domain,
   case when f.domain not in (select domain from pairs) then 'No pattern matches found'
     when f.domain not in (select domain from nf) then 'Could not fetch homepage for comparison' end as reason,
   round(pattern_score + homepage_score, 6) as total
-from fresh f left join best on best.domain = f.domain""")
-def u17(spark, d, whole=False):
-    known = site_features(spark, d, whole)
-    return duplicate_check(cut_lineage(new_features(spark, d, known)), known).select(
-        "domain", "status", "primary_domain", "reason", F.round("total_score", 6).alias("total"))
+from fresh f left join best on best.domain = f.domain"""
 
 
-@query("u17_duplicate_check_whole")
-def u17_whole(spark, d):
-    return u17(spark, d, True)
+@query("u17_duplicate_check", U17_SQL)
+@query("u17_duplicate_check_whole", U17_SQL)
+def u17(spark, d):
+    known = site_features(spark, d)
+    return duplicate_check(cut_lineage(new_features(spark, d, known)), known).select(
+        "domain", "status", "primary_domain", "reason", F.round("total_score", 6).alias("total"))
 
 
 @query("f47_cosine", """select a.vec_id, round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 6)

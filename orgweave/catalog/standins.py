@@ -15,6 +15,12 @@ from orgweave.functions import urls
 
 NOW = "2024-01-31 00:00:00"
 
+# A few rules of the public-suffix list; for real data read the whole list with urls.read_suffix_rules.
+SUFFIX_LINES = [
+    "// a comment", "com", "net", "org", "io", "co", "uk", "co.uk", "org.uk", "ac.uk", "de", "fr", "es", "it", "jp", "co.jp",
+    "*.kawasaki.jp", "!city.kawasaki.jp", "*.ck", "!www.ck", "br", "com.br", "*.nom.br", "au", "com.au", "za", "co.za",
+]
+
 HOST_SQL = (r"regexp_replace(lower(regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)', 1)), "
             r"'^www\.', '')")
 SITE_SQL = f"replace({HOST_SQL}, '.example.', '.')"
@@ -58,6 +64,10 @@ def variants(spark, sf_dir) -> DataFrame:
         F.regexp_replace(site, r"^([^.]+)", "$1-gkstore"))).alias("d"))
 
 
+def suffix_rules(spark) -> DataFrame:
+    return urls.suffix_rules(spark.createDataFrame([(line,) for line in SUFFIX_LINES], "line string"))
+
+
 def label(site: Column) -> Column:
     return F.regexp_extract(site, r"([^.]+)\.[^.]+$", 1)
 

@@ -20,14 +20,6 @@ SKIP_EXTENSIONS = [
 ]
 PATTERN_SUBDOMAINS = ["shop", "blog", "store", "www", "mail", "app", "portal", "secure"]
 FALLBACK_SUFFIXES = ["com", "co.uk", "io", "net", "org"]
-# Default public suffixes; pass a full table for real data.
-PUBLIC_SUFFIXES = [
-    "com", "net", "org", "info", "biz", "io", "co", "us", "uk", "co.uk", "org.uk", "ac.uk", "de", "es", "it", "fr",
-    "pl", "nl", "be", "ch", "at", "se", "no", "dk", "fi", "ie", "pt", "eu", "in", "co.in", "pk", "com.pk", "au",
-    "com.au", "net.au", "org.au", "nz", "co.nz", "ca", "jp", "co.jp", "cn", "com.cn", "br", "com.br", "mx", "com.mx",
-    "za", "co.za", "myshopify.com",
-]
-
 HAS_SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*://"
 
 
@@ -116,28 +108,57 @@ def domain_name_key(domain: Column) -> Column:
             .when(n >= 2, F.get(labels, n - 2)).otherwise(F.get(labels, F.lit(0))))
 
 
-def suffix_table(spark, suffixes: list[str] | None = None) -> DataFrame:
-    return spark.createDataFrame([(s,) for s in (suffixes or PUBLIC_SUFFIXES)], "suffix string")
+def suffix_rules(lines: DataFrame, private: bool = False) -> DataFrame:
+    """(base, kind) out of the lines of a public-suffix list: plain, wildcard and exception rules.
+
+    ``lines``: a string column ``line`` and, where the order of the file counts, an integer ``at``. A rule ends at the first blank;
+    ``//`` begins a comment. Rules between the private section's markers are taken with ``private`` only.
+    ``*.ck`` is the wildcard of base ck, ``!www.ck`` an exception of base www.ck.
+    """
+    text = F.lower(F.regexp_extract("line", r"^[ \t\uFEFF]*([^ \t\r\n]*)", 1))
+    kept = lines
+    if not private and "at" in lines.columns:
+        begins, ends = (lines.where(F.col("line").contains(f"==={word} PRIVATE DOMAINS===")).agg(F.min("at")).scalar()
+                        for word in ("BEGIN", "END"))
+        outside = (F.col("at") < begins) | (F.col("at") > F.coalesce(ends, F.lit(2 ** 62)))
+        kept = lines.where(F.coalesce(outside, F.lit(True)))
+    rules = kept.select(text.alias("rule")).where((F.col("rule") != "") & ~F.col("rule").startswith("//"))
+    kind = F.when(F.col("rule").startswith("!"), "exception").when(F.col("rule").startswith("*."), "wildcard").otherwise("plain")
+    return rules.select(F.regexp_replace("rule", r"^(?:!|\*\.|\.)", "").alias("base"), kind.alias("kind")).distinct()
+
+
+def read_suffix_rules(spark, path: str, private: bool = False) -> DataFrame:
+    """The rules of a public-suffix list file."""
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("at", "line"))
+    return suffix_rules(lines, private)
+
 
+def registrable_domain(df: DataFrame, host: str, rules: DataFrame, name: str = "registrable") -> DataFrame:
+    """Add the registrable domain of ``host``: its public suffix and the label before it.
 
-def registrable_domain(df: DataFrame, host: str, suffixes: DataFrame, name: str = "registrable") -> DataFrame:
-    """Add the registrable domain of ``host``: one label plus its longest public suffix.
+    ``rules`` come from ``suffix_rules``. Of the rules that match, an exception wins and
+    its suffix starts one label later; otherwise the longest suffix counts, a wildcard
+    taking one label more than its base. A host that is a suffix itself stays whole, one that no
+    rule matches is its last label, an IPv4 address stays whole.
 
-    Each distinct host is split into its at most 127 tails; tails are matched
-    with the suffix table by equality and the longest match wins.
+    Each distinct host is split into its at most 127 tails, which meet the rules by equality.
     """
+    if not {"base", "kind"} <= set(rules.columns):
+        raise ValueError("give the rules of a public-suffix list, see suffix_rules")
     hosts = df.select(F.col(host).alias("_host")).where(F.col(host).isNotNull()).distinct()
-    labels = F.split(F.lower(F.col("_host")), r"\.")
+    labels = F.split(F.regexp_replace(F.lower(F.col("_host")), r"\.$", ""), r"\.")
     tails = hosts.select(
-        "_host", labels.alias("_labels"), F.posexplode(F.transform(
+        "_host", F.posexplode(F.transform(
             labels, lambda _, i: F.array_join(F.slice(labels, i + 1, F.size(labels)), "."))).alias("_at", "_tail"))
-    best = (tails.join(suffixes.select(F.col("suffix").alias("_tail")).distinct(), "_tail", "inner")
-            .groupBy("_host").agg(F.min("_at").alias("_cut")))
-    found = best.withColumn("_labels", labels).select(
-        "_host",
-        F.array_join(F.expr("slice(_labels, greatest(_cut, 1), size(_labels))"), ".").alias(name))
-    return (df.join(found, F.col(host) == F.col("_host"), "left").drop("_host")
-            .withColumn(name, F.coalesce(F.col(name), F.lower(F.col(host)))))
+    # where the suffix starts: before the base of a wildcard, behind the first label of an exception
+    starts = F.col("_at") + F.when(F.col("kind") == "wildcard", -1).when(F.col("kind") == "exception", 1).otherwise(0)
+    best = (tails.join(rules.select(F.col("base").alias("_tail"), "kind").distinct(), "_tail", "inner")
+            .withColumn("_cut", starts).where("_cut >= 0").groupBy("_host")
+            .agg(F.coalesce(F.min(F.when(F.col("kind") == "exception", F.col("_cut"))), F.min("_cut")).alias("_cut")))
+    cut = F.when(F.col("_host").rlike(r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$"), 0).otherwise(F.coalesce("_cut", F.size(labels)))
+    found = hosts.join(best, "_host", "left").select("_host", F.array_join(F.slice(
+        labels, F.greatest(cut, F.lit(1)), F.size(labels)), ".").alias(name))
+    return df.join(found, F.col(host) == F.col("_host"), "left").drop("_host")
 
 
 def site_stem(domain: Column) -> Column:

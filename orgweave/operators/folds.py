@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from orgweave.functions.text import squeeze
 from orgweave.functions.urls import domain_name_key
-from orgweave.partitioning import BUCKET_ROWS, first_n_per_key, id_bucket, position, running
+from orgweave.partitioning import BUCKET_ROWS, first_n_per_key, id_bucket, position, running, since_last
 from orgweave.session import cut_lineage
 
 
@@ -88,10 +88,8 @@ def approved_first(vetting: DataFrame, order: str = "seq") -> DataFrame:
 
 def consecutive_failures(accesses: DataFrame, source: str, success: Column, order: str, limit: int = 3) -> DataFrame:
     """Failures in a row after each access; unhealthy from ``limit`` on, healthy again after a success."""
-    counted = running(accesses, [source], order, {"_n": ("sum", F.lit(1).cast("long"))})
-    marked = running(counted, [source], order, {"_ok": ("max", F.when(success, F.col("_n")))})
-    return marked.withColumn("failures", F.col("_n") - F.coalesce("_ok", F.lit(0))).withColumn(
-        "healthy", F.col("failures") < limit).drop("_n", "_ok")
+    counted = since_last(accesses, [source], order, success, "failures")
+    return counted.withColumn("healthy", F.col("failures") < limit)
 
 
 def cap_results(results: DataFrame, max_results: int, order: str = "seq") -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from orgweave.functions.contacts import first_email
 from orgweave.functions.html import jsonld_urls, page_links
 from orgweave.functions.urls import domain_name_key, domain_patterns, fallback_patterns
-from orgweave.partitioning import first_n_per_key, nest_pages, running
+from orgweave.partitioning import first_n_per_key, nest_pages, range_buckets, running
 
 
 def crawl_status_batch(domains: DataFrame, states: DataFrame) -> DataFrame:
@@ -109,15 +109,17 @@ def ttl_lookup(requests: DataFrame, cache: DataFrame, key: str, at: str, cached_
                ttl_hours: int = 168, request_id: str = "request_id") -> DataFrame:
     """Latest cached row at or before each request; null when there is none or it is older than the TTL.
 
-    Both sides are laid on one time line per key, one entry per point in time,
-    and the newest cached row is carried forward second by second: a busy key
-    or hour is spread, and rows stamped alike are one entry.
+    Both sides are laid on one time line per key, one entry per point in time:
+    rows stamped alike become one before they are shuffled. The line is cut into ranges of (key, time)
+    with as many points as a task takes, whatever the density of a key or hour,
+    and the newest cached row is carried forward within each and, one row per range and key, across them.
     """
     hit = F.struct(F.col(cached_at).alias("cached_at"), *[F.col(c).alias(c) for c in payload])
     entries = cache.select(key, F.col(cached_at).alias("_at"), hit.alias("_hit"))
     asks = requests.select(key, F.col(at).alias("_at"), F.lit(None).cast(entries.schema["_hit"].dataType).alias("_hit"))
     points = entries.unionByName(asks).groupBy(key, "_at").agg(F.max("_hit").alias("_hit"))
-    line = running(points, [key], ["_at"], {"_best": ("max", F.col("_hit"))}, bucket=F.unix_timestamp("_at")).select(
+    dealt = range_buckets(points, [key, "_at"], "_range")
+    line = running(dealt, [key], ["_at"], {"_best": ("max", F.col("_hit"))}, bucket=F.col("_range")).select(
         F.col(key).alias("_key"), F.col("_at").alias("_when"), "_best")
     found = requests.select(request_id, key, F.col(at).alias("_at")).join(
         line, F.col(key).eqNullSafe(F.col("_key")) & F.col("_at").eqNullSafe(F.col("_when")))

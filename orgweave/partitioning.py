@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from orgweave.session import cut_lineage
+
 BUCKET_ROWS = 65_536
 BUCKETS_TOGETHER = 1 << 24  # bucket totals that are carried over together: few, even where ids are sparse
 
@@ -46,14 +48,24 @@ _COMBINE = {
 }
 
 
+def range_buckets(df: DataFrame, order: Sequence[str | Column], name: str) -> DataFrame:
+    """Add an integer bucket that grows with ``order``, by range partitioning; the rows are kept in the shared folder.
+
+    Spark takes the borders from quantiles of a sample, so a bucket holds what one task takes, however
+    dense or sparse the values are. Equal rows share a bucket: make the order columns unique where they may be many.
+    """
+    dealt = df.repartitionByRange(*as_columns(order))
+    return cut_lineage(dealt.withColumn(name, F.spark_partition_id().cast("long")))
+
+
 def running(df: DataFrame, keys: Sequence[str], order: str | Sequence[str], values: dict[str, tuple[str, Column]],
-            width: int = BUCKET_ROWS, bucket: Column | None = None) -> DataFrame:
+            width: int = BUCKET_ROWS, bucket: Column | None = None, inclusive: bool = True) -> DataFrame:
     """Add running aggregates along ``order`` within ``keys``.
 
     ``order`` is a unique integer column, or several columns together with an
     integer ``bucket`` expression that grows with them. ``values`` maps an
     output name to ``(kind, expression)`` with kind sum, max or min; the running
-    value includes the current row. Rows are windowed per (keys, bucket); the
+    value includes the current row unless ``inclusive`` is false. Rows are windowed per (keys, bucket); the
     bucket totals, one row per bucket, carry the running value across buckets.
     Buckets may be many (sparse ids fill one each), so their totals are carried
     the same way, a bounded number of buckets at a time.
@@ -61,7 +73,22 @@ def running(df: DataFrame, keys: Sequence[str], order: str | Sequence[str], valu
     order = [order] if isinstance(order, str) else list(order)
     own = id_bucket(order[0], width) if bucket is None else bucket.cast("long")
     together = BUCKETS_TOGETHER if bucket is None else width
-    return _running(df, list(keys), order, values, own, 2, together, Window.currentRow)
+    return _running(df, list(keys), order, values, own, 2, together, Window.currentRow if inclusive else -1)
+
+
+def _null_safe(df: DataFrame, keys: list[str], depth: int) -> tuple[DataFrame, list[str], list[str]]:
+    """``df`` with key columns without nulls: null keys go with a flag, so that a join on them is a plain equality.
+
+    Returns the columns that stand for the keys, and those that were added.
+    """
+    nullable = [k for k in keys if df.schema[k].nullable]
+    flags = {k: f"_n{depth}_{i}" for i, k in enumerate(nullable)}
+    filled = {k: f"_f{depth}_{i}" for i, k in enumerate(nullable)}
+    kinds = dict(df.dtypes)
+    for k in nullable:
+        blank = F.lit("") if kinds[k] == "string" else F.lit(0).cast(kinds[k])
+        df = df.withColumns({flags[k]: F.col(k).isNull(), filled[k]: F.coalesce(F.col(k), blank)})
+    return df, [filled.get(k, k) for k in keys] + list(flags.values()), [*flags.values(), *filled.values()]
 
 
 def _running(df: DataFrame, keys: list[str], order: list[str], values: dict[str, tuple[str, Column]], bucket: Column,
@@ -72,17 +99,8 @@ def _running(df: DataFrame, keys: list[str], order: list[str], values: dict[str,
     local_names = {n: f"_l{depth}_{n}" for n in values}
     before_names = {n: f"_o{depth}_{n}" for n in values}
     df = df.withColumn(here, bucket)
-    # null keys are grouped through a flag, so that the join below is a plain equality on the columns the window
-    # is partitioned by and the rows are shuffled and sorted once
-    nullable = [k for k in keys if df.schema[k].nullable]
-    flags = {k: f"_n{depth}_{i}" for i, k in enumerate(nullable)}
-    filled = {k: f"_f{depth}_{i}" for i, k in enumerate(nullable)}
-    kinds = dict(df.dtypes)
-    for k in nullable:
-        df = df.withColumn(flags[k], F.col(k).isNull())
-        blank = F.lit("") if kinds[k] == "string" else F.lit(0).cast(kinds[k])
-        df = df.withColumn(filled[k], F.coalesce(F.col(k), blank))
-    parts = [filled.get(k, k) for k in keys] + list(flags.values())
+    # the join below is on the columns the window is partitioned by, so the rows are shuffled and sorted once
+    df, parts, added = _null_safe(df, keys, depth)
     for n, (_, expr) in values.items():
         df = df.withColumn(own[n], expr)
     names = [f"_k{depth}_{i}" for i in range(len(parts))]
@@ -103,10 +121,44 @@ def _running(df: DataFrame, keys: list[str], order: list[str], values: dict[str,
     joined = df.join(offsets, on, "inner")
     for n, (kind, _) in values.items():
         joined = joined.withColumn(n, _COMBINE[kind][1](F.col(before_names[n]), F.col(local_names[n])))
-    return joined.drop(here, there, *names, *flags.values(), *filled.values(), *own.values(), *local_names.values(),
+    return joined.drop(here, there, *names, *added, *own.values(), *local_names.values(),
                        *before_names.values())
 
 
+def since_last(df: DataFrame, keys: Sequence[str], order: str, condition: Column, name: str,
+               width: int = BUCKET_ROWS) -> DataFrame:
+    """Add the number of rows since the last one with ``condition`` (0 there), or since the start of the key.
+
+    ``order`` is a unique integer column. The summary of a stretch of rows is (rows, place of the last hit), which
+    merges from left to right: places move by the rows before them, the later one counts. Each bucket is summarised
+    alone, the summaries are merged along their buckets, and the rows are moved once.
+    """
+    here, there, count, place, hit = "_since_b", "_since_t", "_since_n", "_since_p", "_since_hit"
+    keys = list(keys)
+    df, parts, added = _null_safe(df.withColumns({here: id_bucket(order, width), hit: condition}), keys, 9)
+    names = [f"_since_k{i}" for i in range(len(parts))]
+
+    def placed(rows: DataFrame) -> DataFrame:
+        own = Window.partitionBy(*parts, here).orderBy(order)
+        return rows.withColumn(count, F.row_number().over(own).cast("long")).withColumn(place, F.max(F.when(
+            F.col(hit), F.col(count))).over(own.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+
+    # the summaries need the order and the hits only; they are used several times, so they are kept
+    totals = cut_lineage(placed(df.select(*parts, here, order, hit)).groupBy(
+        *[F.col(c).alias(a) for c, a in zip(parts, names)], F.col(here).alias(there)).agg(
+        F.max(count).alias("_since_rows"), F.max(place).alias("_since_last")))
+    carried = lambda rows, new: _running(rows, names, [there], new, id_bucket(there, BUCKETS_TOGETHER), 1, BUCKETS_TOGETHER, -1)
+    before = carried(totals, {"_since_before": ("sum", F.col("_since_rows"))})
+    before = carried(before, {"_since_hit_before": ("max", F.col("_since_before") + F.col("_since_last"))}).select(
+        *names, there, "_since_before", "_since_hit_before")
+    on = [F.col(c) == F.col(a) for c, a in zip(parts, names)] + [F.col(here) == F.col(there)]
+    joined = placed(df).join(before, on, "inner")
+    at = F.col("_since_before") + F.col(count)
+    last = F.coalesce(F.col("_since_before") + F.col(place), "_since_hit_before", F.lit(0))
+    return joined.withColumn(name, at - last).drop(
+        here, there, count, place, hit, *names, *added, "_since_before", "_since_hit_before")
+
+
 def position(df: DataFrame, keys: Sequence[str], order: str, name: str = "position",
              width: int = BUCKET_ROWS) -> DataFrame:
     """1-based position of each row within ``keys`` along the unique ``order``."""

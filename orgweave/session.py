@@ -86,10 +86,21 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def has_path(spark: SparkSession, path: str) -> bool:
+    """Whether there is such a file or folder, wherever it lies."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
+def delete_path(spark: SparkSession, path: str) -> bool:
+    """Delete a folder wherever it lies; False if there is none."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def release_work(spark: SparkSession) -> int:
     """Delete the working tables made so far; call it once their results are written. Returns how many went."""
     gone = 0
     while _WORK:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_WORK.pop())
-        gone += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        gone += delete_path(spark, _WORK.pop())
     return gone

@@ -16,7 +16,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from orgweave.operators.jobs import TERMINAL, job_state
 from orgweave.operators.writes import upsert_latest
-from orgweave.partitioning import running
+from orgweave.partitioning import range_buckets, running
 
 WATERMARK = "10 minutes"
 
@@ -94,32 +94,40 @@ def rate_windows(events: DataFrame, key: str = "user_id", ts: str = "ts", limit:
 def recent_contact_guard(sends: DataFrame, history: DataFrame, days: int = 30) -> DataFrame:
     """Planned sends with ``suppressed`` true when their domain got one in the ``days`` before (batch form).
 
-    Both tables are laid on one time line per domain and the last send is
-    carried forward second by second, so no pairs are built and a busy domain is spread.
+    Both tables are laid on one time line per domain, one entry per point in time, cut into
+    ranges of (domain, time) that a task takes, and the last send before each point is
+    carried forward; no pairs are built, and a busy domain or second is spread.
     """
-    asks = sends.select("domain", F.col("sent_at").alias("_at"), F.lit(0).alias("_side"),
-                        F.lit(None).cast("timestamp").alias("_sent"), "message_id")
-    past = history.select("domain", F.col("sent_at").alias("_at"), F.lit(1).alias("_side"),
-                          F.col("sent_at").alias("_sent"), F.lit(None).cast(asks.schema["message_id"].dataType)
-                          .alias("message_id"))
-    line = running(asks.unionByName(past), ["domain"], ["_at", "_side"], {"_prev": ("max", F.col("_sent"))},
-                   bucket=F.unix_timestamp("_at"))
-    cutoff = F.col("_at") - F.make_dt_interval(F.lit(days))
-    return line.where("_side = 0").select("message_id", "domain", F.col("_at").alias("sent_at"), F.coalesce(
-        F.col("_prev") >= cutoff, F.lit(False)).alias("suppressed"))
-
-
-def suppressed_sends_stream(planned: DataFrame, history: DataFrame, days: int = 30, watermark: str = WATERMARK) -> DataFrame:
+    points = sends.select("domain", F.col("sent_at").alias("_at"), F.lit(None).cast("timestamp").alias("_sent")).unionByName(
+        history.select("domain", F.col("sent_at").alias("_at"), F.col("sent_at").alias("_sent")))
+    dealt = range_buckets(points.groupBy("domain", "_at").agg(F.max("_sent").alias("_sent")), ["domain", "_at"], "_range")
+    line = running(dealt, ["domain"], ["_at"], {"_prev": ("max", F.col("_sent"))}, bucket=F.col("_range"), inclusive=False)
+    line = line.select(F.col("domain").alias("_domain"), "_at", "_prev")
+    found = sends.join(line, F.col("domain").eqNullSafe(F.col("_domain")) & F.col("sent_at").eqNullSafe(F.col("_at")))
+    cutoff = F.col("sent_at") - F.make_dt_interval(F.lit(days))
+    return found.select("message_id", "domain", "sent_at", F.coalesce(F.col("_prev") >= cutoff, F.lit(False)).alias("suppressed"))
+
+
+SLOT_DAYS = 3  # days of sends that share a piece of a domain's state
+
+
+def suppressed_sends_stream(planned: DataFrame, history: DataFrame, days: int = 30, watermark: str = WATERMARK,
+                            slot_days: int = SLOT_DAYS) -> DataFrame:
     """Stream form: planned sends with an earlier send of the domain within the interval, each once.
 
-    Both sides keep state only as long as the interval and the watermark need it.
+    State is kept per (domain, slot of some days), so a busy domain lies over many state
+    partitions. A planned send looks at the slots its interval touches; a message that finds sends in several of
+    them comes out once. Both sides keep state only as long as the interval and the watermark need it.
     """
-    p = planned.withWatermark("sent_at", watermark)
-    h = history.select(F.col("domain").alias("h_domain"), F.col("sent_at").alias("h_sent_at")).withWatermark(
-        "h_sent_at", watermark)
-    on = ((F.col("domain") == F.col("h_domain")) & (F.col("h_sent_at") < F.col("sent_at"))
-          & (F.col("h_sent_at") >= F.col("sent_at") - F.expr(f"interval {days} days")))
-    return p.join(h, on, "left_semi")
+    day = lambda at: F.unix_date(F.to_date(at))
+    slot = lambda number: F.floor(number / F.lit(slot_days)).cast("long")
+    first, last = slot(day(F.col("sent_at") - F.make_dt_interval(F.lit(days)))), slot(day(F.col("sent_at")))
+    p = planned.withWatermark("sent_at", watermark).withColumn("_slot", F.explode(F.sequence(first, last)))
+    h = history.select(F.col("domain").alias("h_domain"), F.col("sent_at").alias("h_sent_at"),
+                       slot(day(F.col("sent_at"))).alias("h_slot")).withWatermark("h_sent_at", watermark)
+    on = ((F.col("domain") == F.col("h_domain")) & (F.col("_slot") == F.col("h_slot"))
+          & (F.col("h_sent_at") < F.col("sent_at")) & (F.col("h_sent_at") >= F.col("sent_at") - F.expr(f"interval {days} days")))
+    return p.join(h, on, "left_semi").drop("_slot").dropDuplicatesWithinWatermark(["message_id", "domain", "sent_at"])
 
 
 def job_state_stream(events: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from orgweave.operators import folds
-from orgweave.partitioning import first_n_per_key, nest_pages, position, running
+from orgweave.partitioning import first_n_per_key, nest_pages, position, running, since_last
 
 
 def rows_of(df):
@@ -120,6 +120,27 @@ def test_consecutive_failures(spark):
     assert [r["healthy"] for r in got] == [True, True, True, False, True, True]
 
 
+@pytest.mark.parametrize("width", [5, 64, 100_000])
+def test_since_last_equals_plain_loop_for_a_hot_key(spark, width):
+    rng = random.Random(width)
+    ids = rng.sample(range(-2 ** 61, 2 ** 61), 900) + rng.sample(range(3000), 900)
+    rows = [(i, [None, "hot", "hot", f"d{k % 40}"][k % 4], rng.choice([True, False, False, False, None]), f"w{k}")
+            for k, i in enumerate(ids)]
+    df = spark.createDataFrame(rows, "seq long, domain string, ok boolean, extra string").repartition(5)
+    got = since_last(df, ["domain"], "seq", F.col("ok"), "since", width)
+    assert got.columns == [*df.columns, "since"]
+    found, since = {r.seq: r.since for r in got.collect()}, {}
+    for i, d, ok, _ in sorted(rows):
+        since[d] = 0 if ok else since.get(d, 0) + 1
+        assert found[i] == since[d], (i, d)
+
+
+def test_since_last_moves_the_rows_once(spark):
+    df = spark.range(1000).select(F.lit("a").alias("k"), "id", F.lit("wide").alias("wide"))
+    plan = since_last(df, ["k"], "id", F.col("id") % 7 == 0, "s")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window [row_number()") == 1 and plan.count("wide AS wide") == 1
+
+
 def test_family_cap_is_seeded(spark):
     df = spark.createDataFrame([(f, f"q{i}") for f in "ab" for i in range(30)], "family string, query string")
     a, b = rows_of(folds.family_cap(df, 5)), rows_of(folds.family_cap(df.repartition(7), 5))

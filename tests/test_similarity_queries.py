@@ -1,13 +1,15 @@
 """Similarity queries over whole pages and over all words, against brute force."""
 
+import random
 import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from orgweave.catalog import similarity as S
-from orgweave.functions.scores import pattern_score
+from orgweave.functions.scores import homepage_score, pattern_score
 from orgweave.operators import similarity as op
+from orgweave.plans.duplicates import best_matches, duplicate_check
 from scripts.check_oracle import rows_of
 
 SF = "/root/testdata/sf0.001"
@@ -50,25 +52,25 @@ def test_names_in_other_scripts_are_compared(spark, tmp_path, monkeypatch, name)
     rows = spark.createDataFrame([(1, "a.com", page), (2, "b.com", page.replace(name, name[::-1]))],
                                  "page_id long, site string, html string")
     monkeypatch.setattr(S.st, "rich_pages", lambda spark, d: rows)
-    found = {r.domain: r.features for r in S.site_features(spark, str(tmp_path), True).collect()}
+    found = {r.domain: r.features for r in S.site_features(spark, str(tmp_path)).collect()}
     assert found["a.com"]["company_name"] == name and found["b.com"]["company_name"] == name[::-1]
     assert brute_score(found["a.com"], found["a.com"]) >= 0.3 > brute_score(found["a.com"], found["b.com"])
 
 
 def test_whole_pages_equal_brute_force(spark):
-    known = S.site_features(spark, SF, True)
+    known = S.site_features(spark, SF)
     old = {r.domain: r.features for r in known.collect()}
     new = {r.domain: r.features for r in S.new_features(spark, SF, known).where("features is not null").collect()}
     assert any(not f["title"].isascii() or not (f["description"] or "").isascii() for f in old.values())
-    got = S.f46_whole(spark, SF).collect()
+    got = S.f46(spark, SF).collect()
     assert got and all(abs(r.score - brute_score(new[r.domain], old[r.candidate])) < 2e-6 for r in got)
-    totals = {(r.domain, r.candidate): r for r in S.scored_pairs(spark, SF, True).collect()}
+    totals = {(r.domain, r.candidate): r for r in S.scored_pairs(spark, SF).collect()}
     best = {}
     for (d, c), r in totals.items():
         key = (-(r.pattern_score + r.homepage_score), r.seq)
         best[d] = min(best.get(d, (key, c)), (key, c))
-    assert {r.domain: r.candidate for r in S.w6_whole(spark, SF).collect()} == {d: c for d, (_, c) in best.items()}
-    for r in S.u17_whole(spark, SF).collect():
+    assert {r.domain: r.candidate for r in S.w6(spark, SF).collect()} == {d: c for d, (_, c) in best.items()}
+    for r in S.u17(spark, SF).collect():
         total = -best[r.domain][0][0] if r.domain in best else None
         assert r.status == ("DUPLICATE" if total is not None and total >= 0.70 else "UNIQUE")
 
@@ -92,6 +94,66 @@ def test_words_of_all_documents_at_the_default_threshold(spark, tmp_path):
 def test_pairs_of_a_short_brand_are_dealt_out(spark):
     long = spark.createDataFrame([(f"e{i}brand",) for i in range(640)], "a string")
     short = spark.createDataFrame([("e",)], "b string")
-    assert op._inside(long, short).count() == 640
+    assert op.containment_pairs(long, short).count() == 640
     parts = long.withColumn("b", F.lit("e")).groupBy(op._dealt("b", "a")).count().collect()
     assert len(parts) > 32 and max(r["count"] for r in parts) < 64
+
+
+@pytest.mark.parametrize("group_rows", [200_000, 50])
+def test_containment_of_100000_brands_equals_a_lookup_of_all_substrings(spark, monkeypatch, group_rows):
+    monkeypatch.setattr(op, "GROUP_ROWS", group_rows)  # the second deals common beginnings over many groups
+    rng = random.Random(group_rows)
+    syllables = ["shop", "a", "be", "cor", "é", "日本", "du", "x"]
+    n = 100_000 if group_rows > 1000 else 2000
+    brands = sorted({"".join(rng.choice(syllables) for _ in range(rng.randrange(1, 7))) for _ in range(n)} | {
+        f"{i:x}brand{i * 7919 % 65536:x}" for i in range(n)})
+    old = set(brands[::2]) | {"shop", "sho", "e", "本", ""}
+    want = set()
+    for x in brands:
+        want.update((x, x[i:j]) for i in range(len(x)) for j in range(i + 1, len(x) + 1) if x[i:j] in old)
+    got = op.containment_pairs(spark.createDataFrame([(b,) for b in brands], "a string"),
+                               spark.createDataFrame([(b,) for b in sorted(old)], "b string")).distinct()
+    assert len(brands) >= n and len(want) > len(brands) / 4
+    assert {tuple(r) for r in got.collect()} == want
+
+
+def crowd(rng, n):
+    """Domains with short, equal, near and nested brands, and pages of which some are missing or alike."""
+    labels = ["a", "e", "ab", "abc", "acme", "acmee", "acne", "acmeshop", "my-acme", "best", "bestacme", "shop", "zzz"]
+    out = {}
+    for _ in range(n):
+        label = rng.choice(labels) + rng.choice(["", "", "x", "1", "co"])
+        page = None if rng.random() < 0.2 else {
+            "company_name": rng.choice(["", "Acme", "ACME inc", "Été", "Bést", "Zed"]), "title": rng.choice(["", "Home", "Acme home"]),
+            "description": rng.choice([None, "", "we sell shoes", "we sell red shoes", "other"]),
+            "emails": rng.choice([[], ["a@acme.com"], ["b@ACME.com", "c@x.com"], ["d@y.com"]]),
+            "social": rng.choice([{}, {"facebook": "acme"}, {"facebook": "@Acme", "twitter": "acme"}])}
+        out[f"{label}.{rng.choice(['com', 'de', 'co', 'shop'])}"] = page
+    return sorted(out.items())
+
+
+def test_the_best_match_equals_the_full_join(spark):
+    rng = random.Random(6)
+    page = ("features struct<company_name:string,title:string,description:string,emails:array<string>,"
+            "social:map<string,string>>")
+    new = spark.createDataFrame(crowd(rng, 300) + [("qqqqqq.com", None), ("wwwwwwww.de", dict.fromkeys(
+        ["company_name", "title", "description"], "w") | {"emails": [], "social": {}})], f"domain string, {page}")
+    old = spark.createDataFrame([(d, i * 7 % 50, f) for i, (d, f) in enumerate(crowd(rng, 300))],
+                                f"domain string, seq long, {page}")
+    pairs = op.fuzzy_domain_join(new, old)
+    olds = old.select(F.col("domain").alias("candidate"), "seq", F.col("features").alias("old"))
+    full = pairs.join(new, "domain").join(olds, "candidate").where("features is not null and old is not null").withColumn(
+        "homepage_score", homepage_score(F.col("features"), F.col("old")))
+    want = {}
+    for r in full.collect():
+        key = (r.pattern_score + r.homepage_score, -r.seq)
+        want[r.domain] = max(want.get(r.domain, key), key)
+    matched = {r.domain for r in pairs.collect()}
+    seqs = {r.domain: r.seq for r in old.collect()}
+    got = best_matches(new, old).collect()
+    assert len(got) == new.count() and {r.domain for r in got if r.matched} == matched
+    assert {r.domain: (r.best.total_score, -seqs[r.best.candidate]) for r in got if r.best} == want
+    status = {r.domain: r.reason for r in duplicate_check(new, old).collect()}
+    assert status["qqqqqq.com"] == "No pattern matches found" == status["wwwwwwww.de"]
+    assert all(status[r.domain] == "Could not fetch homepage for comparison" for r in new.where("features is null").collect()
+               if r.domain in matched)

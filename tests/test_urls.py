@@ -87,7 +87,51 @@ def test_pattern_counts(value):
     assert value(U.fallback_patterns(L("abc.com"))) == []
 
 
-def test_registrable_domain_takes_longest_suffix(spark):
-    df = spark.createDataFrame([("blog.acme.co.uk",), ("acme.com",), ("a.b.c.zz",), ("com",)], "host string")
-    got = {r["host"]: r["registrable"] for r in U.registrable_domain(df, "host", U.suffix_table(spark)).collect()}
-    assert got == {"blog.acme.co.uk": "acme.co.uk", "acme.com": "acme.com", "a.b.c.zz": "a.b.c.zz", "com": "com"}
+LIST = """// ===BEGIN ICANN DOMAINS===
+com
+biz  // a comment behind a rule
+jp
+ac.jp
+kyoto.jp
+ide.kyoto.jp
+*.kobe.jp
+!city.kobe.jp
+*.ck
+!www.ck
+us
+ak.us
+k12.ak.us
+co.uk
+// ===END ICANN DOMAINS===
+// ===BEGIN PRIVATE DOMAINS===
+blogspot.com
+// ===END PRIVATE DOMAINS===
+"""
+
+# The test cases that go with the public list, as far as these rules reach; a suffix alone stays whole here.
+CASES = {
+    "COM": "com", "example.COM": "example.com", "WwW.example.COM": "example.com", "b.example.com": "example.com",
+    "a.b.example.com": "example.com", "biz": "biz", "domain.biz": "domain.biz", "b.domain.biz": "domain.biz",
+    "a.b.domain.biz": "domain.biz", "jp": "jp", "test.jp": "test.jp", "www.test.jp": "test.jp", "ac.jp": "ac.jp",
+    "test.ac.jp": "test.ac.jp", "www.test.ac.jp": "test.ac.jp", "kyoto.jp": "kyoto.jp", "test.kyoto.jp": "test.kyoto.jp",
+    "ide.kyoto.jp": "ide.kyoto.jp", "b.ide.kyoto.jp": "b.ide.kyoto.jp", "a.b.ide.kyoto.jp": "b.ide.kyoto.jp",
+    "c.kobe.jp": "c.kobe.jp", "b.c.kobe.jp": "b.c.kobe.jp", "a.b.c.kobe.jp": "b.c.kobe.jp", "city.kobe.jp": "city.kobe.jp",
+    "www.city.kobe.jp": "city.kobe.jp", "ck": "ck", "test.ck": "test.ck", "b.test.ck": "b.test.ck", "a.b.test.ck": "b.test.ck",
+    "www.ck": "www.ck", "www.www.ck": "www.ck", "us": "us", "test.us": "test.us", "www.test.us": "test.us", "ak.us": "ak.us",
+    "test.ak.us": "test.ak.us", "www.test.ak.us": "test.ak.us", "k12.ak.us": "k12.ak.us", "test.k12.ak.us": "test.k12.ak.us",
+    "www.test.k12.ak.us": "test.k12.ak.us", "x.y.unknown": "unknown", "10.0.0.1": "10.0.0.1", "a.blogspot.com": "blogspot.com",
+    "example.com.": "example.com", "": "",
+}
+
+
+def test_registrable_domains_follow_the_list(spark, tmp_path):
+    (tmp_path / "list.dat").write_text(LIST)
+    df = spark.createDataFrame([(h,) for h in [*CASES, None]], "host string")
+    rules = U.read_suffix_rules(spark, str(tmp_path / "list.dat"))
+    got = {r["host"]: r["registrable"] for r in U.registrable_domain(df, "host", rules).collect()}
+    assert got == CASES | {None: None}
+    private = U.read_suffix_rules(spark, str(tmp_path / "list.dat"), private=True)
+    own = U.registrable_domain(df.where("host = 'a.blogspot.com'"), "host", private).collect()
+    assert own[0]["registrable"] == "a.blogspot.com"
+    with pytest.raises(ValueError, match="public-suffix"):
+        U.registrable_domain(df, "host", spark.createDataFrame([("com",)], "suffix string"))

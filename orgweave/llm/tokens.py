@@ -3,6 +3,10 @@
 Such a tokenizer gives a chunk between white space the same ids wherever it
 stands, so ids are looked up per chunk; the chunks that a batch brings for the
 first time are encoded together, joined by a separator that no chunk holds.
+
+The memo of a worker outlives its tasks and is bounded in bytes: it has a young
+and an old half; when the young one is full it becomes the old one, and what is
+still in use moves back. Long chunks are never kept.
 """
 
 from __future__ import annotations
@@ -13,7 +17,9 @@ import numpy as np
 
 from orgweave.llm.common import worker_state
 
-CACHED = 400_000  # chunks kept per worker
+MEMO_BYTES = 64_000_000  # a worker's memo: chunks, ids and about ENTRY_BYTES for the objects of each
+ENTRY_BYTES = 220
+LONG_CHUNK = 1000  # characters from which a chunk isn't kept
 SEPARATOR = "\x01"
 
 
@@ -32,6 +38,8 @@ class ChunkEncoder:
         # with plain_specials the strings of special tokens are ordinary text
         self.tokenizer.encode_special_tokens = plain_specials
         self.known: dict[str, bytes] = {"": b""}
+        self.old: dict[str, bytes] = {}
+        self.size = 0
         self.separator = np.array(self._ids(SEPARATOR), dtype="<u4")
         if len(self.separator) != 1:
             raise ValueError("the separator must be one token")
@@ -39,11 +47,10 @@ class ChunkEncoder:
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def _learn(self, chunks: list[str]) -> None:
+    def _learned(self, chunks: list[str]) -> dict[str, bytes]:
+        """The ids of each chunk."""
         joined = [c for c in chunks if SEPARATOR not in c and "<|" not in c]
-        for c in chunks:
-            if SEPARATOR in c or "<|" in c:
-                self.known[c] = np.array(self._ids(c), dtype="<u4").tobytes()
+        found = {c: np.array(self._ids(c), dtype="<u4").tobytes() for c in chunks if SEPARATOR in c or "<|" in c}
         for at in range(0, len(joined), 20_000):
             part = joined[at:at + 20_000]
             text = f" {SEPARATOR} ".join(part)
@@ -53,26 +60,37 @@ class ChunkEncoder:
                 raise ValueError("a chunk holds the separator's id")
             raw, last = ids.tobytes(), 0
             for c, cut in zip(part, [*cuts.tolist(), len(ids)], strict=True):
-                self.known[c] = raw[4 * last:4 * cut]
+                found[c] = raw[4 * last:4 * cut]
                 last = cut + 1
+        return found
+
+    def _keep(self, found: dict[str, bytes]) -> None:
+        self.known.update(found)
+        self.size += sum(map(len, found)) + sum(map(len, found.values())) + ENTRY_BYTES * len(found)
 
     def rest(self) -> None:
-        """Give the memo's memory back; an idle worker keeps the vocabulary only."""
+        """Give a finished task's buffers back; the memo stays for the next one."""
         import pyarrow
-        self.known = {"": b""}
         pyarrow.default_memory_pool().release_unused()
 
     def encode(self, texts: Iterable[str | None]) -> list[bytes]:
         rows = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        if len(self.known) > CACHED:
-            self.known = {"": b""}
-        known = self.known
+        if self.size > MEMO_BYTES // 2:
+            self.old, self.known, self.size = self.known, {"": b""}, 0
         new = set()
         for r in rows:
             new.update(r)
-        new.difference_update(known.keys())
+        new.difference_update(self.known.keys())
+        if self.old:
+            self._keep({c: self.old[c] for c in new & self.old.keys()})
+            new.difference_update(self.known.keys())
+        long = [c for c in new if len(c) > LONG_CHUNK]
+        new.difference_update(long)
         if new:
-            self._learn(list(new))
+            self._keep(self._learned(list(new)))
+        known = self.known
+        if long:
+            known = known | self._learned(long)
         return [b"".join(map(known.__getitem__, r)) for r in rows]
 
 

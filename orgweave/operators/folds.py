@@ -133,16 +133,38 @@ def _starts(lengths: np.ndarray, limit: int, carried: int, opened: bool) -> np.n
     return np.asarray(starts, dtype="int64")
 
 
+def _bucket_function(lengths: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What a bucket of pages does to a chunk that comes in from the left, as (end, count, fill) per class of fills.
+
+    A chunk that comes in with c characters takes pages up to the first whose ``end`` is above limit - c; from there on ``count``
+    chunks open, and the last one holds ``fill`` characters. Empty pages open no chunk, so there are at most limit + 2 classes.
+    The chains of openings are followed by pointer doubling: after k rounds a row knows its 2**k-th next opening.
+    """
+    ends = np.cumsum(lengths)
+    n = len(lengths)
+    jump = np.maximum(np.searchsorted(ends, ends - lengths + limit, side="right"), np.arange(n) + 1)
+    jumps = [np.append(jump, n)]  # row n is the end of the bucket
+    while (jumps[-1][:n] < n).any():
+        jumps.append(jumps[-1][jumps[-1]])
+    head = min(int(np.searchsorted(ends, limit, side="right")) + 1, n)
+    opens = np.flatnonzero((lengths[:head] > 0) | (np.arange(head) == 0))
+    last, count = opens.copy(), np.ones(len(opens), dtype="int64")
+    for k in range(len(jumps) - 1, -1, -1):
+        far = jumps[k][last]
+        inside = far < n
+        last, count = np.where(inside, far, last), count + (inside << np.int64(k))
+    return ends[opens], count, ends[-1] - ends[last] + lengths[last]
+
+
 def greedy_pack(pages: DataFrame, length: Column, order: str, limit: int = 25_000, key: str = "domain",
                 width: int = 4 * BUCKET_ROWS, rank: Column | None = None) -> DataFrame:
     """Number the chunks of each domain: pages in order, a page never split, at most ``limit`` characters.
 
     Exact and spread over tasks even when one domain holds most pages. Pages
     are numbered, cut into buckets of ``width`` and each bucket is summarised
-    alone: for every page that could be the first to overflow a chunk coming in
-    from the left (those within the first ``limit`` characters), how many
-    chunks open after it and how full the last one is. Walking the summaries of
-    a domain gives each bucket's incoming state; a second pass numbers its pages.
+    alone as a function of the fill a chunk comes in with: a row for every page that could be the
+    first to overflow it, with how many chunks open from there and how full the last one is.
+    Reading these rows in order gives each bucket's incoming state; a second pass numbers its pages.
     """
     narrow = pages.select(key, order, length.cast("long").alias("_len"), *([rank.alias("_rank")] if rank is not None else []))
     if rank is None:
@@ -160,46 +182,41 @@ def greedy_pack(pages: DataFrame, length: Column, order: str, limit: int = 25_00
     kind = kinds[key]
 
     def summarise(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_pos")
-        lens = pdf["_len"].to_numpy()
-        ends = np.cumsum(lens)
-        head = int(np.searchsorted(ends, limit, side="right")) + 1
-        # suffix states: opening a chunk at row i leads to count[i] chunks and fill[i] characters at the end
-        n = len(lens)
-        count, fill = np.ones(n, dtype="int64"), np.empty(n, dtype="int64")
-        following = np.maximum(np.searchsorted(ends, ends - lens + limit, side="right"), np.arange(n) + 1)
-        for i in range(n - 1, -1, -1):
-            j = following[i]
-            if j >= n:
-                fill[i] = ends[-1] - ends[i] + lens[i]
-            else:
-                count[i], fill[i] = count[j] + 1, fill[j]
-        head = min(head, n)
-        return pd.DataFrame({key: [pdf[key].iloc[0]], "_b": [pdf["_b"].iloc[0]], "total": [int(ends[-1])],
-                             "ends": [ends[:head].tolist()], "count": [count[:head].tolist()],
-                             "fill": [fill[:head].tolist()]})
+        lens = pdf.sort_values("_pos")["_len"].to_numpy()
+        end, count, fill = _bucket_function(lens, limit)
+        return pd.DataFrame({key: pdf[key].iloc[0], "_b": pdf["_b"].iloc[0], "end": end, "count": count, "fill": fill,
+                             "total": int(lens.sum())})
 
     # only domains of more than one bucket need summaries; all others start empty
     large = sized.where("_b > 0").select(F.col(key).alias("_large")).distinct()
     summary = sized.join(large, F.col(key).eqNullSafe(F.col("_large")), "left_semi").groupBy(key, "_b").applyInPandas(
-        summarise, f"{key} {kind}, _b long, total long, ends array<long>, count array<long>, fill array<long>")
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        carried, chunk, out, opened = 0, 0, [], False
-        for row in pdf.sort_values("_b").itertuples(index=False):
-            out.append((row[0], row[1], carried, chunk, opened))
-            ends, count, fill = row[3], row[4], row[5]
-            if not opened:
-                chunk, carried, opened = chunk + int(count[0]), int(fill[0]), True
-            elif carried + row[2] <= limit:
-                carried += int(row[2])
-            else:
-                i = int(np.searchsorted(np.asarray(ends), limit - carried, side="right"))
-                chunk, carried = chunk + int(count[i]), int(fill[i])
-        return pd.DataFrame(out, columns=[key, "_b", "_carried", "_chunk", "_opened"])
-
-    # one small summary row per bucket: a domain of a billion pages has some 4,000
-    entry = summary.groupBy(key).applyInPandas(
+        summarise, f"{key} {kind}, _b long, end long, count long, fill long, total long")
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # rows come sorted by domain, bucket and end; of each bucket one row is picked, the others pass by
+        domain, bucket, carried, chunk, opened, passed, picked = None, None, 0, 0, False, 0, True
+        for pdf in batches:
+            out = []
+            codes = pd.factorize(pdf[key])[0]
+            buckets, ends, totals = (pdf[c].to_numpy() for c in ("_b", "end", "total"))
+            cuts = np.flatnonzero((np.diff(codes) != 0) | (np.diff(buckets) != 0)) + 1
+            for i, j in zip([0, *cuts], [*cuts, len(pdf)]):
+                name = None if codes[i] < 0 else pdf[key].iat[i]
+                if bucket is None or (name, buckets[i]) != (domain, bucket):
+                    carried += 0 if picked else passed
+                    if bucket is None or name != domain:
+                        carried, chunk, opened = 0, 0, False
+                    domain, bucket, passed, picked = name, buckets[i], int(totals[i]), False
+                    out.append((name, bucket, carried, chunk, opened))
+                if not picked:
+                    at = i + int(np.searchsorted(ends[i:j], limit - carried, side="right")) if opened else i
+                    if at < j:
+                        chunk, carried = chunk + int(pdf["count"].iat[at]), int(pdf["fill"].iat[at])
+                        opened = picked = True
+            yield pd.DataFrame(out, columns=[key, "_b", "_carried", "_chunk", "_opened"])
+
+    # the summaries of a domain are read as a stream: nothing is collected, whatever the number of buckets
+    entry = summary.repartition(key).sortWithinPartitions(key, "_b", "end").mapInPandas(
         walk, f"{key} {kind}, _b long, _carried long, _chunk long, _opened boolean")
 
     def number(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -1,6 +1,7 @@
 import itertools
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -92,6 +93,36 @@ def test_greedy_pack_equals_loop_for_any_bucket_width(spark, width):
         assert [r["chunk_no"] for r in got if r["domain"] == domain] == naive_pack(lengths, 50), domain
 
 
+def test_a_bucket_as_a_function_equals_walking_its_pages():
+    rng = random.Random(12)
+    for _ in range(400):
+        limit = rng.choice([1, 5, 40])
+        lengths = np.array([rng.choice([0, 0, 1, 2, 7, limit, limit + 3]) for _ in range(rng.randrange(1, 60))])
+        end, count, fill = folds._bucket_function(lengths, limit)
+        assert len(end) <= limit + 2 and (np.diff(end) > 0).all()
+        for carried in [*range(limit + 1), limit + 9]:
+            chunks, full = 0, carried
+            for n in lengths:
+                if full + n > limit:
+                    chunks, full = chunks + 1, n
+                else:
+                    full += n
+            at = np.searchsorted(end, limit - carried, side="right")
+            got = (count[at], fill[at]) if at < len(end) else (0, carried + lengths.sum())
+            assert got == (chunks, full), (lengths, limit, carried)
+
+
+def test_greedy_pack_of_a_domain_of_empty_pages(spark):
+    # a row per bucket, however many empty pages it holds: ten million of them need no more
+    end, _, _ = folds._bucket_function(np.zeros(262_144, dtype="int64"), 25_000)
+    assert len(end) == 1
+    df = spark.range(30_000).select(F.lit("d").alias("domain"), F.col("id").alias("seq"),
+                                    F.when(F.col("id") % 10_000 == 9_999, "xxxx").otherwise("").alias("content"))
+    got = folds.greedy_pack(df, F.length("content"), "seq", 6, width=1000)
+    chunks = {r["chunk_no"]: r["n"] for r in got.groupBy("chunk_no").agg(F.count("*").alias("n")).collect()}
+    assert chunks == {1: 19_999, 2: 10_000, 3: 1}
+
+
 def test_greedy_pack_with_priority_pages_first(spark):
     from orgweave.operators.filters import priority_rank
     rows = [("d", 1, 20, False), ("d", 2, 20, True), ("d", 3, 20, False), ("d", 4, 20, True)]

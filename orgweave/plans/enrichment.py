@@ -51,8 +51,8 @@ def enrich_profile(profiles: DataFrame, min_confidence: float = 0.6, context_cha
     texts = F.filter(F.array(F.col("description"), F.array_join(F.coalesce("notes", F.array().cast("array<string>")), " ")),
                      lambda t: F.coalesce(t, F.lit("")) != "")
     rows = profiles.select("domain", F.posexplode(texts).alias("part", "text"))
-    found = rows.select("domain", "part", C.extract_phones(F.col("text")).alias("_p"),
-                        C.extract_whatsapp(F.col("text")).alias("_w"))
+    found = rows.withColumn("_p", C.extract_phones(F.col("text"))).withColumn(
+        "_w", C.extract_whatsapp(F.col("text"), phones=F.col("_p")))
     flat = found.select("domain", "part", F.posexplode(F.concat("_p", "_w")).alias("at", "c")).select(
         "domain", "c.*", (F.col("part") * 1_000_000 + F.col("at")).alias("seq"))
     best = dedup_contacts(flat, ["domain"]).where(F.col("confidence") >= min_confidence)
@@ -83,7 +83,7 @@ def site_contacts(pages: DataFrame, max_pages: int | None = None) -> DataFrame:
     text = H.scrape_text(F.col("html"))
     df = chosen.withColumn("_text", text)
     df = (df.withColumn("_phones", C.extract_phones(F.col("_text")))
-          .withColumn("_whatsapp", C.extract_whatsapp(F.col("_text"), F.col("html"))))
+          .withColumn("_whatsapp", C.extract_whatsapp(F.col("_text"), F.col("html"), phones=F.col("_phones"))))
     footer = F.transform(F.map_entries(H.footer_socials(F.col("html"), F.col("url"))), lambda e: F.struct(
         e["value"].alias("value"), F.concat(F.lit("social_"), e["key"]).alias("type"), F.lit(0.9).alias("confidence"),
         F.lit("footer").alias("context"), F.lit("website_footer").alias("source")))

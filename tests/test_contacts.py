@@ -1,3 +1,7 @@
+import random
+import re
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -29,6 +33,28 @@ def test_first_of_repeated_phones_stays(value):
     assert [(f["value"], f["context"]) for f in found] == [("555-010-0199", "a 555-010-0199 a")]
 
 
+def test_contexts_equal_slices_of_the_text(value):
+    rng = random.Random(8)
+    parts = ["555-010-0199", "+48 601 000 000", "5550100200", " ", "x", "call", "\n", "tel:+1 2", "z" * 30, "(555) 010-0199", "é", "1"]
+    for _ in range(8):
+        text = "".join(rng.choice(parts) for _ in range(rng.randrange(1, 60)))
+        for around in (0, 7, 50):
+            for pattern in C.PHONE_PATTERNS:
+                want = [(m[0], text[max(0, m.start() - around):m.end() + around].strip(C.BLANKS))
+                        for m in re.finditer(f"(?i){pattern}", text)]
+                assert [(x["hit"], x["context"]) for x in value(C.spans(L(text), pattern, around))] == want
+
+
+def test_a_text_of_100000_numbers_takes_linear_time(spark):
+    rows = spark.range(1).select(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(99_999)), lambda i: F.concat(
+        F.lit("555 "), F.lpad((i % 1000).cast("string"), 3, "0"), F.lit(" "), F.lpad((F.floor(i / 10)).cast("string"), 4, "0"))),
+        ", ").alias("text"))
+    start = time.time()
+    found = rows.select(F.explode(C.extract_phones(F.col("text"))).alias("c")).select("c.*").collect()
+    assert len(found) == len({f["value"] for f in found}) == 100_000 and time.time() - start < 60
+    assert found[0]["context"].startswith("555 000 0000, 555 001 0000")
+
+
 def test_whatsapp(value):
     found = value(C.extract_whatsapp(L("wa.me/48601000000 or chat.whatsapp.com/abc, whatsapp +1 555 010 0199"),
                                      L("<a href='https://api.whatsapp.com/send?phone=4915'>")))

@@ -3,9 +3,11 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from orgweave.llm import packing as P
+from orgweave.llm import tokens
 from orgweave.llm.tokens import ChunkEncoder, tokenizer_path
 from tests.llm.conftest import DOCS, words
 
@@ -79,6 +81,31 @@ def test_chunks_give_the_ids_of_whole_texts():
         assert np.frombuffer(raw, dtype="<u4").tolist() == whole(t), repr(t)
 
 
+def test_words_merged_directly_get_the_ids_of_the_whole_tokenizer():
+    coder = ChunkEncoder(tokenizer_path())
+    assert coder.direct
+    docs = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"])["text"].to_pylist()
+    chunks = sorted({w for t in docs for w in (t or "").split()})[::7]
+    chunks += ["ΑΣ", "İstanbul", "e\u0301a", "ﬁn", "ǅ", "straße.", "a..", ".", "!", "don't", "o'", "ª", "Ⅷ", "ⅷ.", "x²", "日本.", "ΌΣΟΣ!"]
+    got = coder._learned(chunks)
+    assert sum(coder._plain(c) is not None for c in chunks) > 0.8 * len(chunks)
+    for c, ids in coder._encoded(chunks).items():
+        assert got[c] == ids, c
+
+
+def test_memo_outlives_tasks_and_is_bounded_in_bytes(monkeypatch):
+    monkeypatch.setattr(tokens, "MEMO_BYTES", 60_000)
+    coder = ChunkEncoder(tokenizer_path())
+    rng = random.Random(4)
+    for _ in range(30):
+        texts = [words(rng, 100, 3000) + " " + "y" * 5000]
+        assert np.frombuffer(coder.encode(texts)[0], dtype="<u4").tolist() == whole(texts[0])
+        coder.rest()
+        assert coder.known and not any(len(c) > tokens.LONG_CHUNK for c in coder.known)
+        assert len(coder.known) + len(coder.old) < 60_000 / tokens.ENTRY_BYTES + 200
+    assert coder.old
+
+
 def test_odd_input(odd, empty, crowded):
     rows = [(r.doc_id, r.text) for r in odd.collect()]
     check(P.pack(odd).collect(), rows, 2048)

@@ -48,7 +48,41 @@ def whatsapp_text():
                     F.col("doc_id").cast("string"))
 
 
-@query("f28_extract_whatsapp")
+def spans_sql(name: str, rows: str, patterns: list[str], around: int = 50) -> str:
+    """CTEs that give (the columns of ``rows``, p, i, hit, context) for every match of the patterns in ``text``."""
+    values = ", ".join(f"({i}, '(?i){p}')" for i, p in enumerate(patterns))
+    return rf"""{name}_p(p, pat) as (values {values}),
+{name}_m as (select *, regexp_extract_all(text, pat) as hits, string_split_regex(text, pat) as gaps from {rows}, {name}_p),
+{name}_o as (select *, hits[i] as hit, (list_sum(list_transform(gaps[1:i], lambda x: length(x)))
+  + coalesce(list_sum(list_transform(hits[1:i - 1], lambda x: length(x))), 0))::bigint as pos
+  from (select *, unnest(range(1, len(hits) + 1)) as i from {name}_m)),
+{name} as (select *, trim(replace(hit, 'tel:', ''), {WS_SQL}) as value, trim(substring(text, greatest(pos - {around}, 0) + 1,
+  pos - greatest(pos - {around}, 0) + length(hit) + {around}), {WS_SQL}) as context from {name}_o)"""
+
+
+def whatsapp_sql(texts: str) -> str:
+    """CTEs up to ``wa`` (key, value, confidence, context, source) for the rows (key, part, text) of ``texts``.
+
+    Part text holds phones and links, part html links only.
+    """
+    return rf"""{spans_sql('links', texts, C.WHATSAPP_PATTERNS)}, known as (select *, nullif(case
+    when contains(hit, 'wa.me/') then regexp_extract(hit, '.*wa\.me/(.*)$', 1)
+    when contains(hit, 'phone=') then regexp_extract(hit, '.*phone=(.*)$', 1) end, '') as number from links
+  qualify row_number() over (partition by key, hit order by part = 'html', p, i) = 1),
+own as (select * from {texts} where part = 'text' and contains(lower(text), 'whatsapp')),
+{spans_sql('phones', 'own', C.PHONE_PATTERNS)}, named as (select * from phones
+  where length(regexp_replace(value, '[^0-9]', '', 'g')) >= 7
+  qualify row_number() over (partition by key, value order by p, i) = 1),
+wa as (select key, coalesce(number, hit) as value, case when number is null then 0.8::double else 0.95 end as confidence,
+    context, part as source from known
+  union all select key, value, 0.85, context, 'keyword_match' from named n where contains(lower(context), 'whatsapp')
+    and not exists (select 1 from known k where k.key = n.key and k.hit = n.value))"""
+
+
+@query("f28_extract_whatsapp", f"""with t as (select doc_id as key, 'text' as part, text || ' whatsapp +44 20 7946 ' || doc_id
+  || ' or wa.me/48601' || doc_id as text from documents
+  union all select doc_id, 'html', 'api.whatsapp.com/send?phone=' || n_chars from documents), {whatsapp_sql('t')}
+select key as doc_id, value, 'whatsapp' as type, confidence, context, source from wa""")
 def f28(spark, d):
     found = C.extract_whatsapp(whatsapp_text(), F.concat(F.lit("api.whatsapp.com/send?phone="), F.col("n_chars")))
     return table(spark, d, "documents").select("doc_id", F.explode(found).alias("c")).select("doc_id", "c.*")
@@ -121,7 +155,14 @@ def f31(spark, d):
         F.concat(F.lit("website_"), page).alias("source"))
 
 
-@query("f32_serp_contacts")
+@query("f32_serp_contacts", rf"""with t as (select doc_id as key, source as domain, lang, 'text' as part, lang || ' ' || text as text
+  from documents), ph as (select * from t where lang not in ('fr', 'es')), {spans_sql('tel', 'ph', C.PHONE_PATTERNS, 100)},
+wt as (select key, part, text from t where lang = 'es'), {whatsapp_sql('wt')}
+select key as seq, domain, 'phone' as type, value, 0.7::double as confidence, context, 'google_search' as source from tel
+where length(regexp_replace(value, '[^0-9]', '', 'g')) >= 7 qualify row_number() over (partition by key, value order by p, i) = 1
+union all select key, domain, 'whatsapp', value, 0.75, context, 'google_search' from wa join t using (key)
+union all select key, domain, 'linkedin_individual', 'https://linkedin.com/in/' || domain, 0.85, substring(text, 1, 100),
+  'google_search' from t where lang = 'fr'""")
 def f32(spark, d):
     from orgweave.plans.enrichment import serp_contacts
     docs = table(spark, d, "documents").select(

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 # Fixed value: the platforms a profile knows.
 PLATFORMS = ["linkedin", "instagram", "twitter", "facebook", "youtube", "tiktok"]
-LIST_STEP = 1_000_000
 
 
 def merge_profiles(chunks: DataFrame) -> dict[str, DataFrame]:
@@ -18,7 +17,7 @@ def merge_profiles(chunks: DataFrame) -> dict[str, DataFrame]:
     The longest name and description win, earlier chunks on ties; the first
     contact page and the first link per platform win. List members stay rows
     (field, value, first_at) so that a domain with very many of them is not
-    gathered into one row; ``first_at`` orders them by first appearance.
+    gathered into one row; ``first_at``, a struct of chunk and place, orders them by first appearance.
     """
     text = lambda c: F.coalesce(c, F.lit(""))
     longest = lambda c: F.max_by(c, F.struct(F.length(text(F.col(c))), -F.col("seq")))
@@ -32,7 +31,7 @@ def merge_profiles(chunks: DataFrame) -> dict[str, DataFrame]:
     rows = chunks.select("domain", "seq", F.explode(tagged).alias("t")).select(
         "domain", "seq", "t.field", F.posexplode("t.members").alias("at", "value"))
     values = rows.where(text(F.col("value")) != "").groupBy("domain", "field", "value").agg(
-        F.min(F.col("seq").cast("long") * LIST_STEP + F.col("at")).alias("first_at"))
+        F.min(F.struct("seq", "at")).alias("first_at"))
     links = chunks.select("domain", "seq", F.explode("social_media").alias("platform", "url")).where(
         F.col("platform").isin(PLATFORMS) & (text(F.col("url")) != ""))
     socials = links.groupBy("domain", "platform").agg(F.min_by("url", "seq").alias("url"))

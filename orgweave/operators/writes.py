@@ -20,14 +20,16 @@ def upsert_latest(base: DataFrame, changes: DataFrame | None, keys: Sequence[str
     """Latest row per key of both tables by ``order``; changes win ties.
 
     ``base`` has one row per key (without ``changes`` it is reduced to that). The
-    changes are cut to one row per key first, so the base is only joined: Spark
-    broadcasts a small change set, and the base is neither sorted nor moved.
+    changes are cut to one row per key first. The base meets them in two joins whose other side is the
+    change set: it is broadcast when small, and then only base rows whose keys are changed move.
     """
     if changes is None:
         return first_n_per_key(base, keys, [F.col(order).desc()])
     latest = first_n_per_key(changes, keys, [F.col(order).desc()])
     newer = latest.select(*[F.col(k).alias(f"_c_{k}") for k in keys], F.col(order).alias("_c_at"))
     older = base.select(*[F.col(k).alias(f"_b_{k}") for k in keys], F.col(order).alias("_b_at"))
+    changed = reduce(and_, [F.col(f"_b_{k}").eqNullSafe(F.col(f"_c_{k}")) for k in keys])
+    older = older.join(newer, changed, "left_semi")
     # a missing order value is older than any other
     loses = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_c_{k}")) for k in keys]) & (
         F.col(order).isNull() | F.coalesce(F.col("_c_at") >= F.col(order), F.lit(False)))

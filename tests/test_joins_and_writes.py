@@ -15,6 +15,21 @@ def test_upsert_latest_changes_win_ties(spark):
     assert rows_of(writes.upsert_latest(base, new, ["k"], "at")) == [("a", 1, "new"), ("b", 5, "old"), ("c", 1, "new")]
 
 
+def test_upsert_moves_only_changed_rows_of_the_base(spark, tmp_path):
+    spark.range(200_000).selectExpr("cast(id as string) k", "id at", "'old' v").write.parquet(str(tmp_path / "base"))
+    base = spark.read.parquet(str(tmp_path / "base"))
+    new = spark.createDataFrame([("5", 9, "new"), ("7", 1, "late"), ("x", 1, "new"), (None, 1, "new")], "k string, at long, v string")
+    out = writes.upsert_latest(base, new, ["k"], "at")
+    kept = {r.k: r.v for r in out.where("k in ('5', '7', 'x') or k is null").collect()}
+    assert kept == {"5": "new", "7": "old", "x": "new", None: "new"} and out.count() == 200_002
+    out.collect()
+    # no exchange stands right over the base's scan
+    plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    scans = [i for i, line in enumerate(plan.split("\n")) if "FileScan parquet" in line]
+    lines = plan.split("\n")
+    assert scans and all("BroadcastHashJoin" in "".join(lines[max(i - 6, 0):i]) for i in scans)
+
+
 def test_partial_update_touches_only_set_fields(spark):
     base = spark.createDataFrame([(1, "x", 1, 0), (2, "y", 2, 0)], "id int, a string, b int, updated_at int")
     patch = spark.createDataFrame([(1, None, 9)], "id int, a string, b int")

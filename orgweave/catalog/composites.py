@@ -4,11 +4,13 @@ from pyspark.sql import functions as F
 
 from orgweave.catalog import standins as st
 from orgweave.catalog.base import query, table
+from orgweave.catalog.scalars_contact import spans_sql, whatsapp_sql
 from orgweave.catalog.scalars_page import visible_sql
 from orgweave.catalog.scalars_text import STOP_SQL
 from orgweave.catalog.scalars_url import NAME_KEY_SQL, TRIM_SQL
 from orgweave.functions import html as H
 from orgweave.functions import urls
+from orgweave.functions.contacts import PHONE_PATTERNS
 from orgweave.operators import filters, setops
 from orgweave.partitioning import first_n_per_key, position
 from orgweave.plans import chunks, crawl, discovery, enrichment, extraction, retrieval, vetting
@@ -292,7 +294,20 @@ def u19(spark, d):
     return enrichment.site_contacts(pages)
 
 
-@query("u20_profile_scrape_contacts")
+PHONE_SCORE_SQL = """case when regexp_matches(lower(context), 'phone|tel|call|contact') then 0.9::double
+    when regexp_matches(lower(context), 'fax|mobile|office') then 0.8 else 0.5 end"""
+
+
+@query("u20_profile_scrape_contacts", f"""with {st.RICH}, pp as (select page_id as key, site as domain, case when contains(url, '.html')
+  then 'instagram' when ends_with(url, '#top') then 'x' else 'youtube' end as platform, html || '<p>tel: 555-555-0' || (page_id + 100)
+  || ' wa.me/4912345' || page_id || '</p>' as html from rich), kn as (select * from pp where platform in ('instagram', 'x')),
+t as (select key, 'text' as part, {visible_sql('html', ['script', 'style'], ['meta', 'link'])} as text from kn
+  union all select key, 'html', html from kn), tx as (select * from t where part = 'text'),
+{spans_sql('tel', 'tx', PHONE_PATTERNS, 100)}, {whatsapp_sql('t')},
+found as (select key, 'phone' as type, value, {PHONE_SCORE_SQL} as confidence, context from tel
+  where length(regexp_replace(value, '[^0-9]', '', 'g')) >= 7 qualify row_number() over (partition by key, value order by p, i) = 1
+  union all select key, 'whatsapp', value, confidence, context from wa)
+select domain, platform, type, value, confidence, context, 'social_' || platform as source from found join kn using (key)""")
 def u20(spark, d):
     pages = st.rich_pages(spark, d).select(
         F.col("site").alias("domain"), F.when(F.col("url").contains(".html"), "instagram").when(

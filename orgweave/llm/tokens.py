@@ -13,6 +13,8 @@ still in use moves back. Long chunks are never kept.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import json
 from collections.abc import Iterable
 from unicodedata import is_normalized
@@ -21,7 +23,7 @@ import numpy as np
 
 from orgweave.llm.common import worker_state
 
-MEMO_BYTES = 128_000_000  # a worker's memo: chunks, ids and about ENTRY_BYTES for the objects of each
+MEMO_BYTES = 96_000_000  # a worker's memo: chunks, ids and about ENTRY_BYTES for the objects of each
 ENTRY_BYTES = 220
 LONG_CHUNK = 1000  # characters from which a chunk isn't kept
 SEPARATOR = "\x01"
@@ -141,9 +143,11 @@ class ChunkEncoder:
         self.size += sum(map(len, found)) + sum(map(len, found.values())) + ENTRY_BYTES * len(found)
 
     def rest(self) -> None:
-        """Give a finished task's buffers back; the memo stays for the next one."""
+        """Give a finished task's buffers back to the system; the memo stays for the next one."""
         import pyarrow
         pyarrow.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # a C library without it keeps what it has
+            ctypes.CDLL(None).malloc_trim(0)
 
     def encode(self, texts: Iterable[str | None]) -> list[bytes]:
         rows = [(t or "").replace("\n", " ").split(" ") for t in texts]
@@ -172,7 +176,7 @@ def encoder(path: str, plain_specials: bool = False) -> ChunkEncoder:
     return worker_state(key, lambda: ChunkEncoder(path, plain_specials))
 
 
-def slices(texts: list, most: int = 4_000_000) -> Iterable[slice]:
+def slices(texts: list, most: int = 1_500_000) -> Iterable[slice]:
     """Runs of texts of about ``most`` characters together, one text at least."""
     start = size = 0
     for i, t in enumerate(texts):

@@ -16,6 +16,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import json
+import os
 from collections.abc import Iterable
 from unicodedata import is_normalized
 
@@ -48,6 +49,8 @@ class ChunkEncoder:
     """Encodes texts to little-endian unsigned 32-bit ids, one bytes object per text."""
 
     def __init__(self, path: str, plain_specials: bool = False):
+        # a task has a core; the library's own threads would only wait for each other
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         # with plain_specials the strings of special tokens are ordinary text
@@ -176,7 +179,7 @@ def encoder(path: str, plain_specials: bool = False) -> ChunkEncoder:
     return worker_state(key, lambda: ChunkEncoder(path, plain_specials))
 
 
-def slices(texts: list, most: int = 1_500_000) -> Iterable[slice]:
+def slices(texts: list, most: int = 4_000_000) -> Iterable[slice]:
     """Runs of texts of about ``most`` characters together, one text at least."""
     start = size = 0
     for i, t in enumerate(texts):

@@ -1,5 +1,7 @@
 """Event streams, in batch form and as streaming queries."""
 
+import math
+
 from pyspark.sql import functions as F
 
 from orgweave.catalog import standins as st
@@ -9,11 +11,20 @@ from orgweave.session import tune, work_path
 from orgweave.streaming import events as S
 
 EVENT_SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def table_stream(spark, d, name, schema):
+    """A table as a stream, be it one file or a folder of them (a stream takes a single file only by a pattern).
+
+    It arrives as one micro-batch, so first rows and watermarks don't depend on how it lies in files.
+    """
+    return S.read_events(spark, f"{d}/{{{name}}}.parquet", schema, files_per_batch=None)
 
 
 def event_stream(spark, d):
     tune(spark)
-    raw = S.read_events(spark, d, EVENT_SCHEMA, glob="events.parquet")
+    raw = table_stream(spark, d, "events", EVENT_SCHEMA)
     return raw.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
@@ -155,29 +166,32 @@ def t6_stream(spark, d):
 @query("t7_stream_page_dedup", "select distinct source as domain, sha256(text) as content_hash from documents")
 def t7(spark, d):
     tune(spark)
-    docs = S.read_events(spark, d, "doc_id long, text string, lang string, source string, n_chars long", "documents.parquet")
+    docs = table_stream(spark, d, "documents", DOCUMENTS)
     pages = docs.select("doc_id", F.col("source").alias("domain"), F.col("text").alias("content"))
     unique = S.dedup_pages_stream(pages).select("domain", "content_hash")
     return run_rows(spark, unique, "unique")
 
 
-DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
-
-
-def twice(spark, d, stream, name, path):
-    """Drain a stream over the first half of the documents, then restart it from its checkpoint over the rest."""
-    folder = work_path(spark, name)
-    docs = table(spark, d, "documents").select(F.col("doc_id"), "text", "lang", "source", F.col("n_chars").cast("long"))
+def twice(spark, d, run):
+    """``run`` a stream of the first half of the documents, then once more with the rest landed, each in two micro-batches."""
+    folder, before = work_path(spark, "halves"), 0
+    docs = table(spark, d, "documents").select("doc_id", "text", "lang", "source", F.col("n_chars").cast("long"))
     for half in (0, 1):
-        docs.where(F.pmod("doc_id", F.lit(2)) == half).repartition(2).write.mode("append").parquet(folder)
-        S.drain(stream(S.read_events(spark, folder, DOCUMENTS, "*.parquet")), path, path + "-checkpoint")
+        rows = docs.where(F.pmod("doc_id", F.lit(2)) == half)
+        # a large table lands as it lies, in a file per task
+        rows = rows if rows.rdd.getNumPartitions() > 1 else rows.repartition(2)
+        rows.write.mode("append").parquet(folder)
+        files = len(spark.read.schema(DOCUMENTS).parquet(folder).inputFiles())
+        run(S.read_events(spark, folder, DOCUMENTS, files_per_batch=max(1, math.ceil((files - before) / 2))))
+        before = files
 
 
 @query("t7_stream_page_dedup_restart", "select distinct source as domain, sha256(text) as content_hash from documents")
 def t7_restart(spark, d):
     path = work_path(spark, "unique")
-    twice(spark, d, lambda docs: S.dedup_pages_stream(docs.select(
-        F.col("source").alias("domain"), F.col("text").alias("content"))).select("domain", "content_hash"), "halves", path)
+    twice(spark, d, lambda docs: S.drain(S.dedup_pages_stream(docs.select(
+        F.col("source").alias("domain"), F.col("text").alias("content"))).select("domain", "content_hash"), path,
+        path + "-checkpoint"))
     return spark.read.parquet(path)
 
 
@@ -200,14 +214,10 @@ def t4_stream(spark, d):
   select distinct source, text from documents) group by 1, 2""")
 def t8_restart(spark, d):
     from orgweave.plans.incremental import embed_stream, read_stored
-    folder, path = work_path(spark, "halves"), work_path(spark, "embeddings")
-    docs = table(spark, d, "documents").select("doc_id", "text", "lang", "source", F.col("n_chars").cast("long"))
-    for half in (0, 1):
-        docs.where(F.pmod("doc_id", F.lit(2)) == half).repartition(2).write.mode("append").parquet(folder)
-        new = S.read_events(spark, folder, DOCUMENTS, "*.parquet").select(
-            F.concat_ws("-", "source", "doc_id").alias("chunk_id"), F.col("source").alias("domain"),
-            F.col("text").alias("content"), F.col("doc_id").alias("seq"))
-        embed_stream(new, path, path + "-checkpoint")
+    path = work_path(spark, "embeddings")
+    twice(spark, d, lambda docs: embed_stream(docs.select(
+        F.concat_ws("-", "source", "doc_id").alias("chunk_id"), F.col("source").alias("domain"),
+        F.col("text").alias("content"), F.col("doc_id").alias("seq")), path, path + "-checkpoint"))
     return read_stored(spark, path).groupBy("domain", "content_hash").agg(F.count("*").alias("n"))
 
 
@@ -217,7 +227,7 @@ where rn = 1""")
 def t8(spark, d):
     from orgweave.plans.incremental import embed_stream, read_stored
     tune(spark)
-    docs = S.read_events(spark, d, "doc_id long, text string, lang string, source string, n_chars long", "documents.parquet")
+    docs = table_stream(spark, d, "documents", DOCUMENTS)
     chunks = docs.select(F.concat_ws("-", "source", "doc_id").alias("chunk_id"), F.col("source").alias("domain"),
                          F.col("text").alias("content"), F.col("doc_id").alias("seq"))
     path = work_path(spark, "embeddings")

@@ -28,10 +28,13 @@ EVENT_TYPES = [
 MESSAGE = "struct<event:string,data:string,user_id:string,team_id:string,timestamp:timestamp>"
 
 
-def read_events(spark: SparkSession, folder: str, schema: str, glob: str = "*.parquet", files_per_batch: int = 1) -> DataFrame:
-    """A Parquet folder as a stream."""
-    return (spark.readStream.schema(schema).option("pathGlobFilter", glob)
-            .option("maxFilesPerTrigger", files_per_batch).parquet(folder))
+def read_events(spark: SparkSession, folder: str, schema: str, glob: str = "*.parquet",
+                files_per_batch: int | None = 1) -> DataFrame:
+    """A Parquet folder as a stream; with ``files_per_batch`` None, all that has arrived is one micro-batch."""
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", glob)
+    if files_per_batch is not None:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    return reader.parquet(folder)
 
 
 def decode_messages(raw: DataFrame, column: str = "value") -> DataFrame:

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from orgweave.partitioning import first_n_per_key
-from orgweave.plans.retrieval import Embedder, embed_batches, hashing_embedder
+from orgweave.plans.retrieval import TEXT_ROWS, Embedder, embed_batches, hashing_embedder
 from orgweave.plans.seen import SeenIndex, content_key
-from orgweave.session import has_path
+from orgweave.session import arrow_rows, has_path
 from orgweave.streaming.events import drain
 
 STORED = ("chunk_id string, domain string, content string, seq long, content_hash string, embedding array<float>, "
@@ -53,7 +53,8 @@ def embed_stream(chunks: DataFrame, path: str, checkpoint: str, embed: Embedder
             new = fresh.join(seen, "key", "left_anti")
         # one file per part and batch
         done = embed_batches(new.drop("key").repartition("part"), embed).withColumn("embedded_at", F.current_timestamp())
-        done.write.mode("overwrite").partitionBy("part").parquet(f"{path}/batch_id={batch_id}")
+        with arrow_rows(spark, TEXT_ROWS):
+            done.write.mode("overwrite").partitionBy("part").parquet(f"{path}/batch_id={batch_id}")
         index.add(batch_id, index.stored_keys(batch_id, batch_id + 1))
         fresh.unpersist()
 

@@ -14,21 +14,21 @@ from pyspark.sql import types as T
 from orgweave.operators.joins import not_embedded_by_hash
 from orgweave.operators.ordering import topk_cosine
 from orgweave.operators.writes import upsert_latest
-from orgweave.session import cut_lineage
+from orgweave.session import arrow_rows, cut_lineage
 
 BATCH_SIZE = 100
+TEXT_ROWS = 500  # whole texts that a worker holds at a time where chunks are made and embedded
 
 Embedder = Callable[[list[str]], Sequence[Sequence[float]]]
 
 
 def hashing_embedder(texts: list[str], dim: int = 64) -> np.ndarray:
-    """Signed word hashing, for tests and dry runs."""
+    """Signed word hashing, for tests and dry runs; a null text is an empty one."""
     from zlib import crc32
     out = np.zeros((len(texts), dim), dtype="float32")
     for row, text in enumerate(texts):
-        for word in text.lower().split():
-            h = crc32(word.encode())
-            out[row, h % dim] += 1.0 if h & 0x10000 else -1.0
+        h = np.array([crc32(word.encode()) for word in (text or "").lower().split()], dtype=np.int64)
+        out[row] = np.bincount(h % dim, np.where(h & 0x10000, 1.0, -1.0), dim)
     return out
 
 
@@ -41,7 +41,7 @@ def embed_batches(chunks: DataFrame, embed: Embedder = hashing_embedder, text: s
         for pdf in batches:
             for at in range(0, len(pdf), batch_size):
                 part = pdf.iloc[at:at + batch_size].copy()
-                part["embedding"] = [[float(v) for v in vec] for vec in embed(part[text].tolist())]
+                part["embedding"] = [np.asarray(vec, dtype="float32") for vec in embed(part[text].tolist())]
                 yield part
 
     return chunks.mapInPandas(run, schema)
@@ -94,9 +94,10 @@ def embed_domain(chunk_tables: Sequence[DataFrame], stored: DataFrame, embed: Em
     """
     shared = ["chunk_id", "domain", "collection_name", "content", "content_hash", "tokens"]
     # chunking and embedding are costly and both feed the table and the counts: run each once
-    chunks = cut_lineage(reduce(lambda a, b: a.unionByName(b), [t.select(*shared) for t in chunk_tables]))
-    todo = not_embedded_by_hash(chunks, stored, force)
-    embedded = cut_lineage(embed_batches(todo, embed))
+    with arrow_rows(stored.sparkSession, TEXT_ROWS):
+        chunks = cut_lineage(reduce(lambda a, b: a.unionByName(b), [t.select(*shared) for t in chunk_tables]))
+        todo = not_embedded_by_hash(chunks, stored, force)
+        embedded = cut_lineage(embed_batches(todo, embed))
     table = upsert_latest(stored.select(*shared, "embedding").withColumn("_at", F.lit(0)),
                           embedded.withColumn("_at", F.lit(1)), ["chunk_id"], "_at").drop("_at")
     keys = ["domain", "collection_name"]

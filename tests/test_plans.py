@@ -197,3 +197,25 @@ def test_extraction(spark):
     assert out["profile"].head()["company"] == "About us here"
     assert [r["value"] for r in out["values"].where("field = 'email'").collect()] == ["jo@d.com"]
     assert out["socials"].head()["url"] == "https://twitter.com/acme"
+
+
+def test_embed_domain_hands_over_few_rows_at_a_time(spark):
+    from orgweave.plans.retrieval import TEXT_ROWS, embed_domain
+    from orgweave.session import arrow_rows
+
+    @F.pandas_udf("int")
+    def rows_at_once(col):
+        return col * 0 + len(col)
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    chunks = spark.range(0, 3 * TEXT_ROWS, 1, 1).select(
+        F.concat(F.lit("c"), "id").alias("chunk_id"), F.lit("d").alias("domain"), F.lit("raw_pages").alias("collection_name"),
+        F.concat(F.lit("text "), "id").alias("content"), F.col("id").cast("string").alias("content_hash"),
+        rows_at_once("id").alias("tokens"))
+    stored = chunks.withColumn("embedding", F.array().cast("array<float>")).where("false")
+    out = embed_domain([chunks], stored)
+    assert out["embeddings"].agg(F.max("tokens"), F.count("embedding")).head() == (TEXT_ROWS, 3 * TEXT_ROWS)
+    assert spark.conf.get(key) == before
+    with arrow_rows(spark, 10 ** 9):
+        assert spark.conf.get(key) == before

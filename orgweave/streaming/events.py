@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -142,34 +143,64 @@ def job_state_stream(events: DataFrame) -> DataFrame:
     return job_state(events)
 
 
-STALE_STATE = "started_at timestamp, ended boolean, reported boolean"
+STALE_BUCKETS = 1 << 14  # jobs are watched by bucket of their id: a call of Python per job would cost more than its rows
+STALE_STATE = "ids binary, started binary, timers binary, closed binary"
 STALE_OUTPUT = "id long, started_at timestamp, stale_at timestamp"
+NEVER = 2 ** 63 - 1
 
 
-def stale_jobs_stream(events: DataFrame, hours: int = 24, watermark: str = WATERMARK) -> DataFrame:
-    """Jobs (id, ts, status) that are still running ``hours`` after their start, once the watermark says so."""
+def stale_jobs_stream(events: DataFrame, hours: int = 24, watermark: str = WATERMARK, buckets: int = STALE_BUCKETS) -> DataFrame:
+    """Jobs (id, ts, status) that are still running ``hours`` after their start, once the watermark says so.
+
+    The state of a bucket holds, per job, its first start in microseconds, the time in milliseconds its limit is up at,
+    and whether it has ended or was reported. A job without a limit to wait for has the time ``NEVER``.
+    """
     limit_ms = hours * 3_600_000
 
     def watch(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        started, ended, reported = state.get if state.exists else (None, False, False)
-        if state.hasTimedOut:
-            state.update((started, ended, True))
-            since = pd.Timestamp(started)
-            yield pd.DataFrame({"id": [key[0]], "started_at": [since], "stale_at": [since + pd.Timedelta(hours=hours)]})
-            return
-        for pdf in batches:
-            running_at = pdf.loc[pdf["status"] == "running", "ts"]
-            if len(running_at) and (started is None or running_at.min() < pd.Timestamp(started)):
-                started = running_at.min()
-            ended = bool(ended or pdf["status"].isin(TERMINAL).any())
-        started = None if started is None or pd.isna(started) else pd.Timestamp(started)
-        state.update((started, ended, reported))
-        if started is not None and not ended and not reported:
-            due = int(started.timestamp() * 1000) + limit_ms
-            state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
-
-    keyed = events.select("id", "ts", "status").withWatermark("ts", watermark).groupBy("id")
-    return keyed.applyInPandasWithState(watch, STALE_OUTPUT, STALE_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+        now = state.getCurrentWatermarkMs()
+        kinds = (np.int64, np.int64, np.int64, np.bool_)
+        ids, started, timers, closed = (np.frombuffer(v, kind).copy() for v, kind in zip(
+            state.get if state.exists else [b""] * 4, kinds, strict=True))
+        # what was due before this batch; a job that the batch names waits for a later one
+        due = timers < now
+        if not state.hasTimedOut:
+            rows = pd.concat(list(batches))
+            new, at = np.unique(rows["id"].to_numpy(), return_inverse=True)
+            kind, us = rows["kind"].to_numpy(), rows["us"].to_numpy()
+            known = np.union1d(ids, new)
+            here, there = np.searchsorted(known, ids), np.searchsorted(known, new)
+
+            def wider(old: np.ndarray, blank: int) -> np.ndarray:
+                out = np.full(len(known), blank, old.dtype)
+                out[here] = old
+                return out
+
+            ids, started, timers, closed, due = known, wider(started, NEVER), wider(timers, NEVER), wider(closed, 0), wider(due, 0)
+            np.minimum.at(started, there[at[kind == 1]], us[kind == 1])
+            closed[there[at[kind == 2]]] = True
+            due[there] = False
+            open_ = (started[there] < NEVER) & ~closed[there]
+            limits = np.maximum(started[there] // 1000 + limit_ms, now + 1, where=open_, out=np.full(len(there), NEVER))
+            timers[there] = limits
+        closed |= due
+        timers[due] = NEVER
+        state.update(tuple(v.tobytes() for v in (ids, started, timers, closed)))
+        if len(timers) and timers.min() < NEVER:
+            state.setTimeoutTimestamp(max(int(timers.min()), now + 1))
+        if due.any():
+            since = pd.Series(pd.to_datetime(started[due], unit="us", utc=True))
+            named = pd.array(ids[due] if key[0] >= 0 else [None], dtype="Int64")
+            yield pd.DataFrame({"id": named, "started_at": since, "stale_at": since + pd.Timedelta(hours=hours)})
+
+    status = F.col("status")
+    bucket = F.when(F.col("id").isNull(), F.lit(-1)).otherwise(F.pmod(F.xxhash64("id"), F.lit(buckets))).cast("int")
+    rows = events.select("id", "ts", "status").withWatermark("ts", watermark).select(
+        bucket.alias("bucket"), F.coalesce(F.col("id").cast("long"), F.lit(0)).alias("id"), "ts",
+        F.coalesce(F.unix_micros("ts"), F.lit(NEVER)).alias("us"),
+        F.coalesce(F.when(status == "running", 1).when(status.isin(TERMINAL), 2), F.lit(0)).cast("byte").alias("kind"))
+    return rows.groupBy("bucket").applyInPandasWithState(
+        watch, STALE_OUTPUT, STALE_STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def drain(stream: DataFrame, sink: str, checkpoint: str, mode: str = "append",

@@ -139,3 +139,20 @@ def test_lifecycle_messages(spark):
                                "id long, user_id string, job_type string, status string, progress int, result string, error string, "
                                "ts timestamp")
     assert [r["event"] for r in jobs.lifecycle_messages(df).collect()] == ["job_started", "job_progress", "job_completed", "job_failed"]
+
+
+def test_stale_jobs_are_watched_by_bucket(spark, tmp_path):
+    src, sink, cp = (str(tmp_path / n) for n in ("in", "out", "cp"))
+    schema = "id long, ts timestamp, status string"
+    jobs_of = lambda n: None if n == 0 else n
+    first = [(jobs_of(n), at(n), "running") for n in range(200)] + [(jobs_of(n), at(n + 5), "running") for n in range(0, 200, 2)]
+    second = [(n, at(300), "failed") for n in range(3, 200, 3)] + [(500, at(1600), "queued"), (501, None, "running"), (502, at(1600), None)]
+    # job 1 has a row in the wave that makes it due, and is reported all the same
+    third = [(1, at(3300), "running"), (600, at(3300), "running"), (4, at(3300), "completed")]
+    for n, wave in enumerate([first, second, third, [(601, at(9000), "queued")]]):
+        land(spark, src, wave, schema, n)
+        query = S.drain(S.stale_jobs_stream(S.read_events(spark, src, schema), buckets=4), sink, cp)
+        assert 0 < query.lastProgress["stateOperators"][0]["numRowsTotal"] <= 5
+    got = rows_of(spark.read.parquet(sink))
+    kept = [n for n in range(200) if n % 3 or n == 0]
+    assert got == sorted([(jobs_of(n), at(n), at(n + 1440)) for n in kept] + [(600, at(3300), at(4740))], key=repr)

@@ -141,7 +141,11 @@ def _decoded(text: Column) -> Column:
 
 
 def _mentions(patterns: Column, texts: Column) -> Column:
-    return F.exists(patterns, lambda p: F.exists(texts, lambda t: t.contains(p)))
+    """Whether one of the texts holds one of the patterns."""
+    # bound to a variable, both arrays are made once and not once per pattern
+    both = F.array(F.struct(patterns.alias("patterns"), texts.alias("texts")))
+    held = F.transform(both, lambda b: F.exists(b["patterns"], lambda p: F.exists(b["texts"], lambda t: t.contains(p))))
+    return F.get(held, F.lit(0))
 
 
 def backlink_verified(links: Column, structured: Column, page: Column, domain: Column) -> Column:
@@ -158,7 +162,7 @@ def backlink_verified(links: Column, structured: Column, page: Column, domain: C
     data = lowered(links["data_urls"])
     texts = F.concat(hrefs, once, twice, data, F.transform(data, _decoded), lowered(links["meta_urls"]),
                      lowered(structured), links["link_texts"], F.array(F.lower(page)))
-    return _mentions(domain_patterns(domain), texts) | _mentions(fallback_patterns(domain), texts)
+    return _mentions(F.concat(domain_patterns(domain), fallback_patterns(domain)), texts)
 
 
 def verify_backlinks(profiles: DataFrame, name: str = "verified") -> DataFrame:

@@ -140,3 +140,13 @@ def test_empty_reports(spark):
     assert reports.send_stats(empty).head()["total_sent"] == 0
     none = spark.createDataFrame([], "is_valid boolean, reason string, seconds double")
     assert reports.verification_summary(none).head()["valid_pct"] is None
+
+
+def test_backlink_texts_are_made_once_per_page(spark):
+    rows = [(1, "longname.com", '<a href="https://l.x.com/?u=https%3A%2F%2Flongname.com%2F">x</a>'), (2, "longname.zz", "see longname.io"),
+            (3, "other-name.dev", '<a href="https://longname.com">x</a>'), (4, "abc.zz", "see abc.io"), (5, None, "x.com"), (6, "x.com", None)]
+    found = joins.verify_backlinks(spark.createDataFrame(rows, "n int, domain string, html string"))
+    assert {r["n"]: r["verified"] for r in found.collect()} == {1: True, 2: True, 3: False, 4: False, 5: None, 6: None}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    # one search over all patterns: the texts were made anew for each of two lists, and for each pattern in them
+    assert plan.lower().count("exists(") == 2

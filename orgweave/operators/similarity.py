@@ -143,6 +143,12 @@ def brand_pairs(new_brands: DataFrame, old_brands: DataFrame, threshold: float =
     return pairs.distinct()
 
 
+def is_brand_pair(a: Column, b: Column, threshold: float = 0.20) -> Column:
+    """Whether ``brand_pairs`` finds the two brands."""
+    near = F.levenshtein(a, b, 2) >= 0
+    return near | ((a != "") & (b != "") & (a.contains(b) | b.contains(a))) if threshold <= 0.25 else near
+
+
 def domains_of_brands(a: DataFrame, old: DataFrame, brands: DataFrame) -> DataFrame:
     """The rows of ``a`` and ``old`` (its columns named c_) whose brands are a pair (a, b)."""
     dealt = brands.withColumns({"_pa": _dealt("a", "b"), "_pb": _dealt("b", "a")})
@@ -168,9 +174,12 @@ def fuzzy_domain_join(new: DataFrame, existing: DataFrame, threshold: float = 0.
     b = cut_lineage(name_parts(existing, expand_gk=expand_gk))
     old = b.select(*[F.col(c).alias(f"c_{c}") for c in b.columns])
     brands = brand_pairs(a.select("brand").distinct(), b.select("brand").distinct(), threshold)
+    # a pair of brands comes once and so does a domain: only pairs of equal stems could come twice, so these leave out
+    # what the brands give, and the wide rows need no shuffle to tell them apart
     by_brand = domains_of_brands(a, old, brands)
     by_stem = a.join(old, F.col("stem") == F.col("c_stem")).select(*by_brand.columns)
-    return (by_brand.unionByName(by_stem).where(F.col("domain") != F.col("c_domain")).distinct()
+    by_stem = by_stem.where(~F.coalesce(is_brand_pair(F.col("brand"), F.col("c_brand"), threshold), F.lit(False)))
+    return (by_brand.unionByName(by_stem).where(F.col("domain") != F.col("c_domain"))
             .select("domain", F.col("c_domain").alias("candidate"), score_of_names().alias("pattern_score"))
             .where(F.col("pattern_score") >= threshold))
 

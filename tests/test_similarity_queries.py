@@ -157,3 +157,19 @@ def test_the_best_match_equals_the_full_join(spark):
     assert status["qqqqqq.com"] == "No pattern matches found" == status["wwwwwwww.de"]
     assert all(status[r.domain] == "Could not fetch homepage for comparison" for r in new.where("features is null").collect()
                if r.domain in matched)
+
+
+@pytest.mark.parametrize("threshold", [0.20, 0.30])
+def test_fuzzy_join_gives_each_pair_once_without_a_shuffle_of_names(spark, threshold):
+    rng = random.Random(5)
+    piece = lambda: "".join(rng.choice(["a", "b", "c", "-", "gk", "store", "shop", "best"]) for _ in range(rng.randint(1, 4)))
+    names = lambda: [(f"{piece()}.{rng.choice(['com', 'de', 'co.uk', 'b.io'])}",) for _ in range(150)]
+    new, old = (spark.createDataFrame(names(), "domain string") for _ in range(2))
+    found = op.fuzzy_domain_join(new, old, threshold)
+    got = sorted(tuple(r) for r in found.collect())
+    b = op.name_parts(old).select(*[F.col(c).alias(f"c_{c}") for c in ("domain", "brand", "stem", "tld")])
+    score = pattern_score(*[F.col(c) for c in ("brand", "stem", "tld", "c_brand", "c_stem", "c_tld")])
+    nested = op.name_parts(new).crossJoin(b).where("domain <> c_domain").select("domain", "c_domain", score.alias("s"))
+    assert got == sorted(tuple(r) for r in nested.where(F.col("s") >= threshold).collect()) and got
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Aggregate [" in line and "c_stem" in line]

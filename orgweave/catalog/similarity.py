@@ -13,7 +13,7 @@ from orgweave.operators.similarity import best_duplicate, fuzzy_domain_join
 from orgweave.partitioning import first_n_per_key
 from orgweave.plans import retrieval
 from orgweave.plans.duplicates import duplicate_check
-from orgweave.session import cut_lineage
+from orgweave.session import cut_lineage, stored
 
 SCORE_SQL = """(case when a.brand = b.brand and a.tld <> b.tld then 0.40::double when a.stem = b.stem then 0.35::double
   when levenshtein(a.brand, b.brand) = 1 then 0.35::double when levenshtein(a.brand, b.brand) = 2 then 0.30::double
@@ -70,7 +70,7 @@ def j11(spark, d):
 @query("j11_fuzzy_domain_join_words")
 def j11_words(spark, d):
     word = F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))))
-    words = table(spark, d, "documents").select(word.alias("w"), F.coalesce("lang", F.lit("xx")).alias("lang")).distinct()
+    words = stored(table(spark, d, "documents").select(word.alias("w"), F.coalesce("lang", F.lit("xx")).alias("lang")).distinct(), "words")
     new = words.select(F.concat_ws(".", "w", "lang").alias("domain"))
     old = words.select(F.concat("w", F.lit(".com")).alias("domain"))
     return fuzzy_domain_join(new, old)

@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 from orgweave.functions.scores import pattern_score
 from orgweave.functions.urls import brand_name, site_stem
+from orgweave.operators import name_pairs
+from orgweave.operators.name_pairs import equal_names, names_inside, near_names
 from orgweave.partitioning import first_n_per_key
-from orgweave.session import cut_lineage
+from orgweave.session import stored
 
 SHORT, PARTS = 3, 64  # brands of so few characters have their pairs dealt over so many parts
 GRAM = 3  # longer brands meet the suffixes that begin with the same characters
@@ -130,25 +132,6 @@ def near_pairs(a: DataFrame, b: DataFrame, edits: int = 2) -> DataFrame:
             .select("a", "b"))
 
 
-def brand_pairs(new_brands: DataFrame, old_brands: DataFrame, threshold: float = 0.20) -> DataFrame:
-    """(a, b) brand pairs that can reach ``threshold``: equal, within two edits, or one inside the other.
-
-    Each side holds every brand once, so no block is larger than the number of
-    distinct brands sharing a key.
-    """
-    a, b = new_brands.select(F.col("brand").alias("a")), old_brands.select(F.col("brand").alias("b"))
-    pairs = near_pairs(a, b)
-    if threshold <= 0.25:
-        pairs = pairs.unionByName(containment_pairs(a, b)).unionByName(containment_pairs(b, a))
-    return pairs.distinct()
-
-
-def is_brand_pair(a: Column, b: Column, threshold: float = 0.20) -> Column:
-    """Whether ``brand_pairs`` finds the two brands."""
-    near = F.levenshtein(a, b, 2) >= 0
-    return near | ((a != "") & (b != "") & (a.contains(b) | b.contains(a))) if threshold <= 0.25 else near
-
-
 def domains_of_brands(a: DataFrame, old: DataFrame, brands: DataFrame) -> DataFrame:
     """The rows of ``a`` and ``old`` (its columns named c_) whose brands are a pair (a, b)."""
     dealt = brands.withColumns({"_pa": _dealt("a", "b"), "_pb": _dealt("b", "a")})
@@ -169,19 +152,16 @@ def fuzzy_domain_join(new: DataFrame, existing: DataFrame, threshold: float = 0.
     Domains should be registrable domains: a brand then occurs at most once per
     public suffix, which bounds how many domains share it.
     """
-    # the name parts are used three times: keep them, not the tables they come from
-    a = cut_lineage(name_parts(new, expand_gk=expand_gk))
-    b = cut_lineage(name_parts(existing, expand_gk=expand_gk))
-    old = b.select(*[F.col(c).alias(f"c_{c}") for c in b.columns])
-    brands = brand_pairs(a.select("brand").distinct(), b.select("brand").distinct(), threshold)
-    # a pair of brands comes once and so does a domain: only pairs of equal stems could come twice, so these leave out
-    # what the brands give, and the wide rows need no shuffle to tell them apart
-    by_brand = domains_of_brands(a, old, brands)
-    by_stem = a.join(old, F.col("stem") == F.col("c_stem")).select(*by_brand.columns)
-    by_stem = by_stem.where(~F.coalesce(is_brand_pair(F.col("brand"), F.col("c_brand"), threshold), F.lit(False)))
-    return (by_brand.unionByName(by_stem).where(F.col("domain") != F.col("c_domain"))
-            .select("domain", F.col("c_domain").alias("candidate"), score_of_names().alias("pattern_score"))
-            .where(F.col("pattern_score") >= threshold))
+    a = stored(name_parts(new, expand_gk=expand_gk), "names")
+    b = stored(name_parts(existing, expand_gk=expand_gk), "names")
+    found = equal_names(a, b.withColumnsRenamed({c: f"c_{c}" for c in b.columns}), score_of_names())
+    if threshold <= 0.35:
+        cards = stored(name_pairs.cards(a, b), "cards")
+        counts = name_pairs.sizes(cards)
+        found = found.unionByName(near_names(cards, counts))
+        if threshold <= 0.25:
+            found = found.unionByName(names_inside(cards, counts))
+    return found.where(F.col("pattern_score") >= threshold)
 
 
 # the name scores there are, best first, and how their pairs are found among the brands of two tables

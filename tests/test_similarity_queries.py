@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from orgweave.catalog import similarity as S
 from orgweave.functions.scores import homepage_score, pattern_score
+from orgweave.operators import name_pairs
 from orgweave.operators import similarity as op
 from orgweave.plans.duplicates import best_matches, duplicate_check
 from scripts.check_oracle import rows_of
@@ -173,3 +174,49 @@ def test_fuzzy_join_gives_each_pair_once_without_a_shuffle_of_names(spark, thres
     assert got == sorted(tuple(r) for r in nested.where(F.col("s") >= threshold).collect()) and got
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert not [line for line in plan.splitlines() if "Aggregate [" in line and "c_stem" in line]
+
+
+def nested_loop(new, old, threshold):
+    b = op.name_parts(old).select(*[F.col(c).alias(f"c_{c}") for c in ("domain", "brand", "stem", "tld")])
+    score = pattern_score(*[F.col(c) for c in ("brand", "stem", "tld", "c_brand", "c_stem", "c_tld")])
+    pairs = op.name_parts(new).crossJoin(b).where("domain <> c_domain").select("domain", "c_domain", score.alias("s"))
+    return sorted(tuple(r) for r in pairs.where(F.col("s") >= threshold).collect())
+
+
+@pytest.mark.parametrize("threshold", [0.20, 0.35])
+@pytest.mark.parametrize("size", [None, 40])
+def test_pairs_of_names_in_blocks_equal_the_nested_loop(spark, monkeypatch, size, threshold):
+    if size:  # brands of one length in many blocks, common beginnings in many groups, short brands in many parts
+        for name in ("GROUP_ROWS", "BLOCK_KEYS", "SHORT_ROWS"):
+            monkeypatch.setattr(name_pairs, name, size)
+    rng = random.Random(8)
+    piece = lambda: "".join(rng.choice(["a", "b", "ab", "é", "日", "𝒳", "gk", "-", "shop", "Best", " "]) for _ in range(rng.randint(0, 6)))
+    odd = ["", "a", "aa", "a" * 30, "a" * 29 + "b", "a" * 31, "ab" * 20, "ba" * 20, "\0a", "=a", "!a", "a\nb", "official", "my-shop", "myshop"]
+    names = lambda: [(f"{x}.{rng.choice(['com', 'de', 'co.uk'])}",) for x in [*(piece() for _ in range(150)), *odd]] + [(None,)]
+    new, old = (spark.createDataFrame(names(), "domain string") for _ in range(2))
+    found = sorted(tuple(r) for r in op.fuzzy_domain_join(new, old, threshold).collect())
+    assert found == nested_loop(new, old, threshold) and found
+
+
+def test_a_brand_of_thousands_of_domains_is_on_many_cards(spark):
+    new = spark.createDataFrame([(f"acme.t{i}",) for i in range(2500)] + [("other.com",)], "domain string")
+    old = spark.createDataFrame([("acme.t7",), ("acme.x",), ("acm.de",), ("bestacme.de",)], "domain string")
+    cards = name_pairs.cards(op.name_parts(new), op.name_parts(old)).collect()
+    assert sorted(r.a for r in cards if r.a and r.brand == "acme") == sorted(f"=.t{i}" for i in range(2500))
+    assert sorted(r.b for r in cards if r.b) == ["=.de", "=.de", "=.t7", "=.x"]
+    found = sorted(tuple(r) for r in op.fuzzy_domain_join(new, old).collect())
+    assert found == nested_loop(new, old, 0.20) and len(found) == 4 * 2500 - 1
+
+
+def test_pairs_of_names_are_not_shuffled_or_joined_again(spark):
+    names = spark.createDataFrame([(f"{x}{y}.{t}",) for x in "abcde" for y in ["", "x", "yy", "zzz"] for t in ("com", "de")], "domain string")
+    found = op.fuzzy_domain_join(names, names)
+
+    def above_pairs(plan, above=()):
+        if plan.nodeName() == "MapInArrow":
+            yield set(above)
+        for i in range(plan.children().size()):
+            yield from above_pairs(plan.children().apply(i), (*above, plan.nodeName()))
+
+    seen = list(above_pairs(found._jdf.queryExecution().optimizedPlan()))
+    assert len(seen) >= 3 and set().union(*seen) <= {"Union", "Project", "Filter"}

@@ -24,11 +24,13 @@ from pyspark.sql import functions as F
 GRAM = 3  # brands of so many characters and more meet the suffixes that begin with the same ones
 GROUP_ROWS = 200_000  # suffixes with one beginning that a task sorts together
 BLOCK_KEYS = 5_000_000  # keys that a block of brands holds in memory
+PAST_ROWS = 1_000_000  # brands that go past a copy of a block
 SHORT_ROWS = 100_000  # brands under GRAM characters that a task holds, and brands that it looks up in
 PROBES, CANDIDATES, OUT_ROWS = 500_000, 200_000, 50_000  # keys, pairs and rows made at a time
 
 FOUND = "domain string, candidate string, pattern_score double"
 CARD = ["brand", "stem", "a", "b"]
+HELD, COPY, PAST = 0, 1, 2  # what a row is in a slot: to hold, a copy of what another slot holds, or to go past that
 _STEP = np.uint64(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2^64
 _BACK, _BACK_2 = (np.uint64(pow(0x9E3779B97F4A7C15, -k, 1 << 64)) for k in (1, 2))
 
@@ -91,9 +93,8 @@ def _joined(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
         [pa.concat_arrays([p.column(i) for p in parts]) for i in range(parts[0].num_columns)], schema=parts[0].schema)
 
 
-def _rows(x: pa.RecordBatch, ix: np.ndarray, y: pa.RecordBatch, iy: np.ndarray, score: np.ndarray,
-          both: bool = True) -> Iterator[pa.RecordBatch]:
-    """The domains of side a on cards ``ix`` of x with those of side b on cards ``iy`` of y; if ``both``, the other way round too."""
+def _rows(x: pa.RecordBatch, ix: np.ndarray, y: pa.RecordBatch, iy: np.ndarray, score: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The domains of side a on cards ``ix`` of x with those of side b on cards ``iy`` of y, and the other way round."""
     full = lambda batch, c: batch[c].is_valid().to_numpy(zero_copy_only=False)
     odd = np.flatnonzero(full(x, "stem")[ix] | full(y, "stem")[iy])
     if len(odd):  # pairs of equal stems are equal_names'
@@ -102,7 +103,7 @@ def _rows(x: pa.RecordBatch, ix: np.ndarray, y: pa.RecordBatch, iy: np.ndarray,
         keep = np.ones(len(ix), bool)
         keep[odd[same]] = False
         ix, iy, score = ix[keep], iy[keep], score[keep]
-    for u, iu, v, iv in ((x, ix, y, iy), (y, iy, x, ix))[: 1 + both]:
+    for u, iu, v, iv in ((x, ix, y, iy), (y, iy, x, ix)):
         at = np.flatnonzero(full(u, "a")[iu] & full(v, "b")[iv])
         for lo in range(0, len(at), OUT_ROWS):
             i = at[lo:lo + OUT_ROWS]
@@ -137,30 +138,32 @@ def _distinct(numbers: np.ndarray) -> np.ndarray:
 
 
 def _meet(rows: DataFrame, slots: int, index: type) -> DataFrame:
-    """The pairs of rows (slot, past, cards) that meet in a slot: those to hold come first, the others go past them."""
-    names = ["slot", "past", *CARD]
+    """The pairs of rows (slot, role, cards) that meet in a slot, and of those held once: what is held comes first, the others go past it."""
+    names = ["slot", "role", *CARD]
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slot, parts, held = None, [], None
+        slot, parts, held, own = None, [], None, False
 
         def hold() -> Iterator[pa.RecordBatch]:
             nonlocal parts, held
             if parts:
                 held, parts = index(_joined(parts)), []
-                yield from held.among()
+                if own:
+                    yield from held.among()
 
         for batch in batches:
-            cuts = batch["slot"].to_numpy().astype(np.int64) * 2 + batch["past"].to_numpy(zero_copy_only=False)
+            cuts = batch["slot"].to_numpy().astype(np.int64) * 3 + batch["role"].to_numpy()
             batch = _whole(batch)
             ends = [*(np.flatnonzero(np.diff(cuts)) + 1).tolist(), len(cuts)]
             for lo, hi in zip([0, *ends], ends, strict=False):
                 if lo == hi:
                     continue
-                at, past = divmod(int(cuts[lo]), 2)
+                at, role = divmod(int(cuts[lo]), 3)
                 if at != slot:
                     yield from hold()
                     slot, held = at, None
-                if not past:
+                if role != PAST:
+                    own = role == HELD
                     parts.append(batch.slice(lo, hi - lo))
                     continue
                 yield from hold()
@@ -168,7 +171,7 @@ def _meet(rows: DataFrame, slots: int, index: type) -> DataFrame:
                     yield from held.meets(batch.slice(lo, hi - lo))
         yield from hold()
 
-    return rows.select(*names).repartition(slots, "slot").sortWithinPartitions("slot", "past").mapInArrow(match, FOUND)
+    return rows.select(*names).repartition(slots, "slot").sortWithinPartitions("slot", "role").mapInArrow(match, FOUND)
 
 
 def _left(chars: np.ndarray, without: int) -> np.ndarray:
@@ -254,10 +257,12 @@ class _Near:
         return out
 
     def among(self) -> Iterator[pa.RecordBatch]:
-        for lo in range(0, self.held.num_rows, 10_000):  # a pair comes up from both sides
-            yield from self.meets(self.held.slice(lo, 10_000), both=False)
+        for lo in range(0, self.held.num_rows, 10_000):
+            yield from self.meets(self.held.slice(lo, 10_000), lo)
 
-    def meets(self, batch: pa.RecordBatch, both: bool = True) -> Iterator[pa.RecordBatch]:
+    def meets(self, batch: pa.RecordBatch, place_held: int | None = None) -> Iterator[pa.RecordBatch]:
+        """The pairs with the batch; if it is held itself, from this place on, those with what is held behind each row."""
+        bits = len(self.chars).bit_length()
         for at, chars in _by_length(batch):
             without = 2 - (self.size - chars.shape[1])
             step = max(1, PROBES // max(1, chars.shape[1] ** without))
@@ -281,13 +286,17 @@ class _Near:
                     end = int(np.searchsorted(upto, (upto[done - 1] if done else 0) + CANDIDATES, "right"))
                     end = int(np.searchsorted(who, who[max(end, done + 1) - 1], "right"))  # all of a brand at once
                     card = self.card[_ranges(self.first[place[done:end]], count[done:end])]
-                    pairs = _distinct(np.repeat(who[done:end], count[done:end]) * len(self.chars) + card)
+                    other = np.repeat(who[done:end], count[done:end])
                     done = end
-                    other, card = np.divmod(pairs, len(self.chars))
+                    if place_held is not None:
+                        later = card > at[lo + other] + place_held
+                        card, other = card[later], other[later]
+                    pairs = _distinct(other << bits | card)
+                    other, card = pairs >> bits, pairs & (1 << bits) - 1
                     edits = _apart(np.ascontiguousarray(self.chars[card].T), np.ascontiguousarray(part[other].T))
                     near = np.flatnonzero((edits == 1) | (edits == 2))
                     score = np.where(edits[near] == 1, 0.35, 0.30)
-                    yield from _rows(self.held, card[near], batch, at[lo + other[near]], score, both)
+                    yield from _rows(self.held, card[near], batch, at[lo + other[near]], score)
 
 
 def near_names(cards: DataFrame, counts: list[int]) -> DataFrame:
@@ -298,12 +307,17 @@ def near_names(cards: DataFrame, counts: list[int]) -> DataFrame:
     keys = lambda n: max(1, n * (n - 1) // 2)
     # short brands are few but have many in reach
     blocks = [-(-count // max(1, min(BLOCK_KEYS // keys(n), 1000 << min(n, 20)))) for n, count in enumerate(counts)]
-    first = F.lit([0, *accumulate([*blocks, 0, 0, 0])])
-    n = F.length("brand")
-    from_, to = (F.get(first, n + k) for k in (0, 1))
-    own = from_ + F.pmod(F.xxhash64("brand", "a", "b"), to - from_).cast("int")
-    rows = cards.withColumn("own", own).select(*CARD, "own", F.explode(F.sequence("own", F.get(first, n + 3) - 1)).alias("slot"))
-    return _meet(rows.withColumn("past", F.col("slot") != F.col("own")), max(1, sum(blocks)), _Near)
+    splits = [max(1, -(-sum(counts[max(0, n - 2):n + 1]) // PAST_ROWS)) for n in range(len(counts))]
+    tasks = [splits[n] for n, k in enumerate(blocks) for _ in range(k)]
+    first, begin = F.lit([0, *accumulate([*blocks, 0, 0, 0])]), F.lit([0, *accumulate(tasks)])
+    n, block = F.length("brand"), F.col("block")
+    dealt = lambda row, from_, to: from_ + F.pmod(row, to - from_).cast("int")
+    rows = cards.withColumn("own", dealt(F.xxhash64("brand", "a", "b"), F.get(first, n), F.get(first, n + 1))).select(
+        *CARD, "own", F.explode(F.sequence("own", F.get(first, n + 3) - 1)).alias("block"))
+    from_, to = F.get(begin, block), F.get(begin, block + 1)
+    slots = F.when(block == F.col("own"), F.sequence(from_, to - 1)).otherwise(F.array(dealt(F.xxhash64("a", "b", "brand"), from_, to)))
+    role = F.when(block != F.col("own"), PAST).when(F.col("slot") == from_, HELD).otherwise(COPY)
+    return _meet(rows.select(*CARD, "own", "block", F.explode(slots).alias("slot")).withColumn("role", role), max(1, sum(tasks)), _Near)
 
 
 class _Short:
@@ -355,9 +369,9 @@ def _short_inside(cards: DataFrame, counts: list[int]) -> DataFrame:
     n, parts = F.length("brand"), max(1, -(-sum(counts) // SHORT_ROWS))
     groups = max(1, -(-sum(counts[1:GRAM]) // SHORT_ROWS))
     own = F.xxhash64("brand", "a", "b")
-    held = cards.where((n > 0) & (n < GRAM)).select(*CARD, F.lit(False).alias("past"), F.explode(F.sequence(
+    held = cards.where((n > 0) & (n < GRAM)).select(*CARD, F.lit(HELD).alias("role"), F.explode(F.sequence(
         F.pmod(own, F.lit(groups)) * parts, F.pmod(own, F.lit(groups)) * parts + parts - 1)).alias("slot"))
-    others = cards.where(n >= 4).select(*CARD, F.lit(True).alias("past"), F.explode(F.transform(
+    others = cards.where(n >= 4).select(*CARD, F.lit(PAST).alias("role"), F.explode(F.transform(
         F.sequence(F.lit(0), F.lit(groups - 1)), lambda g: g * parts + F.pmod(own, F.lit(parts)))).alias("slot"))
     return _meet(held.unionByName(others), parts * groups, _Short)
 

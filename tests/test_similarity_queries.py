@@ -187,7 +187,7 @@ def nested_loop(new, old, threshold):
 @pytest.mark.parametrize("size", [None, 40])
 def test_pairs_of_names_in_blocks_equal_the_nested_loop(spark, monkeypatch, size, threshold):
     if size:  # brands of one length in many blocks, common beginnings in many groups, short brands in many parts
-        for name in ("GROUP_ROWS", "BLOCK_KEYS", "SHORT_ROWS"):
+        for name in ("GROUP_ROWS", "BLOCK_KEYS", "PAST_ROWS", "SHORT_ROWS"):
             monkeypatch.setattr(name_pairs, name, size)
     rng = random.Random(8)
     piece = lambda: "".join(rng.choice(["a", "b", "ab", "é", "日", "𝒳", "gk", "-", "shop", "Best", " "]) for _ in range(rng.randint(0, 6)))
